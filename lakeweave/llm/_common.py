@@ -51,6 +51,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, marked for broadcast if it has so few rows; else it stays as it is and joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

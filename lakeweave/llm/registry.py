@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, quality, secrets
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op8_secret_scans": secrets.op8_secret_scans,
 }
 
 ORACLES = {
