@@ -84,7 +84,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes; pieces seen lately are remembered in two generations of bounded size."""
 
-    LIMIT = 150_000
+    LIMIT = 400_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
@@ -123,16 +123,29 @@ class Codec:
         return sum([x[1] for x in found]), sha256(ids.encode()).hexdigest(), sha256(b"".join([x[2] for x in found])).hexdigest()
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec(name: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """The codec of a worker process: what one task has learned serves the next."""
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(ranks, pattern)
+    return _CODECS[name]
+
+
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256. The table of ranks, of a fixed size, is broadcast."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    table = read_ranks(ranks_path)
+    name = sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
+    ranks = spark.sparkContext.broadcast(table)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        own = codec(name, ranks.value, pattern)
         for b in batches:
-            rows = [codec.digest(str(x.as_py() or b"", "utf-8", "replace")) for x in b.column(1)]
+            rows = [own.digest(str(x.as_py() or b"", "utf-8", "replace")) for x in b.column(1)]
             n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["id", "n", "i", "d"])
 
