@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality, secrets
+from . import bpe, exact_dedup, licenses, lm_score, mixing, near_dedup, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_lm_scoring": lm_score.op4_lm_scoring,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_license_scans": licenses.op9_license_scans,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
