@@ -18,30 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, stash
-
-BITS_PER_ROW, MAX_BITS, PROBES = 24, 1 << 29, 3
-BLOCK_BITS = 32_768  # what one value of bitmap_construct_agg holds
+from .bloom import MAX_BITS, filter_of, marked
 
 
 def possibly_repeated(hashed: DataFrame, key: str = "_h", max_bits: int = MAX_BITS) -> DataFrame:
     """``hashed`` with a boolean column ``_twice``: false only where no other row has the same ``key``."""
-    rows = hashed.count()
-    blocks = max(1, min(max_bits, rows * BITS_PER_ROW) // BLOCK_BITS)
-    block = F.pmod(F.col(key), F.lit(blocks)).cast("int")
-    bit = lambda i: F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(BLOCK_BITS)).cast("int")
-    bits = F.array_distinct(F.array(*[bit(i) for i in range(PROBES)]))
-    twice = (
-        hashed.select(block.alias("_block"), F.explode(bits).alias("_bit"))
-        .groupBy("_block", "_bit").agg(F.count("*").alias("_n")).filter("_n > 1")
-        .groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("_map"))
-    )
-    is_set = lambda p: F.expr(f"conv(hex(substring(_map, ({p} div 8) + 1, 1)), 16, 10)").cast("int")
-    marked = hashed.withColumn("_block", block).withColumn("_bits", bits).join(F.broadcast(twice), "_block", "left")
-    test = F.lit(True)
-    for i in range(PROBES):
-        p = f"_bits[{i}]"
-        test = test & F.when(F.size("_bits") > i, F.getbit(is_set(p), F.expr(f"{p} % 8").cast("int")) == 1).otherwise(True)
-    return marked.withColumn("_twice", F.coalesce(F.col("_map").isNotNull() & test, F.lit(False))).drop("_block", "_bits", "_map")
+    return marked(hashed, filter_of(hashed, key, times=2, max_bits=max_bits), key, "_twice")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -163,5 +163,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return linked.unionByName(alone).select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group: the one with the group's id."""
+    kept = stash(near_dedup(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("_of")).agg(F.count("*").alias("_n")))
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_of")), "left_semi")
+    return out.dropDuplicates([id_col]) if kept.filter("_n > 1").limit(1).count() else out
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))

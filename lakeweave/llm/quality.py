@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, small, spread, stash, windows
+from ._common import WordHashes, documents, small, spread, windows
 
 BUCKETS, SMOOTHING, SHRINK, STEPS = 1 << 15, 1.0, 50, 6.0
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -82,6 +82,18 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.n
     return np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS))
 
 
+def judged(text: bytes | None, hashes: WordHashes, ratios: np.ndarray) -> tuple[int, int, int, int, int, float]:
+    """The base counts and the score of a text."""
+    text = text or b""
+    words = text.split()
+    own = ratios[buckets(words, hashes)]
+    return *base_counts(text, words, hashes), float(own.sum() / (len(own) + SHRINK))
+
+
+def failed(row: tuple) -> bool:
+    return row[0] < MIN_WORDS or 100 * row[4] > MAX_REPEAT_PERCENT * row[0]
+
+
 def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the base counts, base_failed and the score of each document."""
     model = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -89,12 +101,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ratio = WordHashes(), model.value
         for b in batches:
-            rows = []
-            for x in b.column(1):
-                text = x.as_py() or b""
-                words = text.split()
-                own = ratio[buckets(words, hashes)]
-                rows.append((*base_counts(text, words, hashes), float(own.sum() / (len(own) + SHRINK))))
+            rows = [judged(x.as_py(), hashes, ratio) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5)), pa.array([r[5] for r in rows], pa.float64())], names=list("abcdefg"))
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -102,13 +109,35 @@ def scored(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def threshold(docs: DataFrame, trusted: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) -> float:
+    """The score under which documents are rejected. Only trusted documents are read."""
+    good = docs.select(id_col, text_col).join(small(trusted.select(id_col).distinct()), id_col, "left_semi")
+    least = scored(good, ratios, id_col, text_col).filter("not base_failed").agg(F.avg("score") - STEPS * F.stddev_pop("score")).first()[0]
+    return float("-inf") if least is None else least
+
+
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``scored`` and ``kept``. ``trusted`` has the ids of the trusted documents."""
     docs = spread(docs)
-    rows = stash(scored(docs, fit(docs, trusted, id_col, text_col), id_col, text_col))
-    good = rows.join(small(trusted.select(id_col).distinct()), id_col, "left_semi").filter("not base_failed")
-    least = good.agg(F.avg("score") - STEPS * F.stddev_pop("score")).first()[0]
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float("-inf") if least is None else least)))
+    ratios = fit(docs, trusted, id_col, text_col)
+    least = threshold(docs, trusted, ratios, id_col, text_col)
+    return scored(docs, ratios, id_col, text_col).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+
+
+def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns and without a shuffle."""
+    docs = spread(docs)
+    ratios = fit(docs, trusted, id_col, text_col)
+    least = threshold(docs, trusted, ratios, id_col, text_col)
+    model, at = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            keep = [not failed(row) and row[5] >= least for row in (judged(x.as_py(), hashes, model.value) for x in b.column(at).cast(pa.binary()))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, lm_score, mixing, near_dedup, quality, secrets, toxicity
+from . import bpe, exact_dedup, licenses, line_dedup, lm_score, mixing, near_dedup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_lm_scoring": lm_score.op4_lm_scoring,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_secret_scans": secrets.op8_secret_scans,

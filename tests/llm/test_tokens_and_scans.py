@@ -4,7 +4,7 @@ from hashlib import sha256
 
 import pytest
 
-from lakeweave.llm import automaton, bpe, exact_dedup, quality, secrets
+from lakeweave.llm import automaton, bloom, bpe, exact_dedup, quality, secrets
 
 from . import odd
 
@@ -72,7 +72,7 @@ def test_secrets_of_odd_rows(spark):
 
 
 def test_exact_dedup_of_odd_rows(spark):
-    for bits in (exact_dedup.MAX_BITS, exact_dedup.BLOCK_BITS):
+    for bits in (exact_dedup.MAX_BITS, bloom.BLOCK_BITS):
         got = exact_dedup.exact_dedup(odd.documents(spark), max_bits=bits).collect()
         rows = odd.rows()
         assert len(got) == len(rows)
