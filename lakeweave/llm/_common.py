@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.sources.shipping import ship
+
 #: One word: a run of anything but ASCII white space. ``bytes.split()`` finds the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and no executor owns the copy."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/lakeweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -47,7 +49,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """At least one input partition for each core where a small table has fewer."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    n = ship(df.sparkSession).sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
