@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse features of the words.
 
 A word's features are the runs of GRAM bytes in it (its two ends marked), hashed to 32 bits. The model keeps those that
-LEAST documents of the sample have and whose odds differ between toxic and other documents by exp(ODDS) or more, the
+a share LEAST of the sample's toxic documents, and 3 documents, have at least and whose odds differ between toxic and other documents by exp(ODDS) or more, the
 MOST features with the largest difference at most. A document's features count its distinct words that have them. With one weight vector w and ordered thresholds t_1 < .. < t_K,
 P(grade >= k) = 1 / (1 + exp(t_k - w.x)); the expected severity is the sum of these over k.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ._common import documents, spread
 
 GRAM, SAMPLE, GRADES = 4, 2_000, 3
-LEAST, ODDS, MOST = 6, 2.0, 20_000
-ROUNDS, RATE, RIDGE = 1_000, 0.5, 1e-6
+LEAST, ODDS, MOST = 0.01, 2.5, 20_000
+ROUNDS, RATE, RIDGE, PRIOR = 1_000, 0.5, 1e-3, 0.5
 
 
 def places(word: bytes) -> list[int]:
@@ -54,7 +54,7 @@ class Model:
         self.weight = dict(zip(features.tolist(), w.tolist(), strict=True))
 
 
-def fit(samples: list[tuple[list[np.ndarray], int]], toxic_share: float) -> Model:
+def fit(samples: list[tuple[list[np.ndarray], int]], prior: float = PRIOR) -> Model:
     """Weights and thresholds from (the places of each distinct word, toxic or not), by Adagrad on the whole sample."""
     flat = [np.unique(np.concatenate(words), return_counts=True) if words else (np.empty(0, np.uint32), np.empty(0, int)) for words, _ in samples]
     toxic = np.array([t for _, t in samples])
@@ -63,7 +63,7 @@ def fit(samples: list[tuple[list[np.ndarray], int]], toxic_share: float) -> Mode
     n = np.log1p(np.concatenate([c for _, c in flat]).astype(float))
     bad, all_ = np.bincount(at, toxic[rows], len(features)), np.bincount(at, minlength=len(features))
     odds = np.log((bad + 0.5) / (toxic.sum() - bad + 0.5)) - np.log((all_ - bad + 0.5) / ((1 - toxic).sum() - (all_ - bad) + 0.5))
-    rank = np.where(all_ >= LEAST, np.abs(odds), 0)
+    rank = np.where(all_ >= max(3, LEAST * toxic.sum()), np.abs(odds), 0)
     keep = (rank >= ODDS) & (rank >= np.sort(rank)[-min(MOST, len(rank)):][0] if len(rank) else False)
     grade = grades(samples, features[all_ == bad], toxic)
     top = int(grade.max())
@@ -81,8 +81,8 @@ def fit(samples: list[tuple[list[np.ndarray], int]], toxic_share: float) -> Mode
         gt += dt * dt
         w -= RATE * dw / np.sqrt(gw)
         t = np.sort(t - RATE * dt / np.sqrt(gt))
-    own = toxic.mean()  # the sample has more toxic documents than the labels; the thresholds make up for it
-    t = t + np.log((1 - toxic_share) / toxic_share) - np.log((1 - own) / own)
+    own = toxic.mean()  # the thresholds are moved from the sample's share of toxic documents to the prior
+    t = t + np.log((1 - prior) / prior) - np.log((1 - own) / own)
     return Model(features[keep], w, t)
 
 
@@ -122,8 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         samples.append((np.split(np.frombuffer(r.p, np.uint32), cuts[:-1]) if len(cuts) else [], r.t))
     if {t for _, t in samples} != {0, 1}:
         return None
-    bad, known = labels.agg(F.count_if(F.col(label_col) == 1), F.count_if(F.col(label_col).isin(0, 1))).first()
-    return fit(samples, min(max(bad / known, 1e-4), 0.5))
+    return fit(samples)
 
 
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
