@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse features of the words.
 
 A word's features are the runs of GRAM bytes in it (its two ends marked), hashed to 32 bits. The model keeps those that
-a share LEAST of the sample's toxic documents, and 3 documents, have at least and whose odds differ between toxic and other documents by exp(ODDS) or more, the
+a share LEAST of the sample's toxic documents, and 2 documents, have at least and whose odds differ between toxic and other documents by exp(ODDS) or more, the
 MOST features with the largest difference at most. A document's features count its distinct words that have them. With one weight vector w and ordered thresholds t_1 < .. < t_K,
 P(grade >= k) = 1 / (1 + exp(t_k - w.x)); the expected severity is the sum of these over k.
 
@@ -30,7 +30,7 @@ from ._common import documents, spread
 
 GRAM, SAMPLE, GRADES = 4, 2_000, 3
 LEAST, ODDS, MOST = 0.01, 2.5, 20_000
-ROUNDS, RATE, RIDGE, PRIOR = 1_000, 0.5, 1e-3, 0.5
+ROUNDS, RATE, RIDGE, PRIOR = 1_000, 0.5, 1e-4, 0.5
 
 
 def places(word: bytes) -> list[int]:
@@ -63,7 +63,7 @@ def fit(samples: list[tuple[list[np.ndarray], int]], prior: float = PRIOR) -> Mo
     n = np.log1p(np.concatenate([c for _, c in flat]).astype(float))
     bad, all_ = np.bincount(at, toxic[rows], len(features)), np.bincount(at, minlength=len(features))
     odds = np.log((bad + 0.5) / (toxic.sum() - bad + 0.5)) - np.log((all_ - bad + 0.5) / ((1 - toxic).sum() - (all_ - bad) + 0.5))
-    rank = np.where(all_ >= max(3, LEAST * toxic.sum()), np.abs(odds), 0)
+    rank = np.where(all_ >= max(2, LEAST * toxic.sum()), np.abs(odds), 0)
     keep = (rank >= ODDS) & (rank >= np.sort(rank)[-min(MOST, len(rank)):][0] if len(rank) else False)
     grade = grades(samples, features[all_ == bad], toxic)
     top = int(grade.max())
