@@ -41,7 +41,7 @@ def vector_join_threshold(t):
 
 def _roll_up(how, agg, order):
     @query(
-        f"""WITH {TOP_SQL}, g AS (SELECT qid, cgroup, count(*) AS matches, round({agg}(sim), 6) AS score FROM top GROUP BY qid, cgroup)
+        f"""WITH {TOP_SQL}, g AS (SELECT qid, cgroup, count(*) AS matches, round({agg}(sim), 8) AS score FROM top GROUP BY qid, cgroup)
         SELECT qid, cgroup, matches, score, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM g QUALIFY rank <= 5""",
         name=f"table_rollup_{how}",
     )
@@ -133,8 +133,8 @@ def csls_scores(t):
     return J.csls(two_groups(t), 5).select("qid", "cid", "sim", "csls")
 
 
-@query(f"""WITH {CSLS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY csls DESC, cid) AS a, row_number() OVER (PARTITION BY cid ORDER BY csls DESC, qid) AS b FROM s)
-SELECT qid, cid, csls FROM l WHERE a = 1 AND b = 1""")
+@query(f"""WITH {CSLS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY csls DESC, cid) AS a, row_number() OVER (PARTITION BY cid ORDER BY csls DESC, qid) AS b FROM s)
+SELECT qid, cid, csls FROM best WHERE a = 1 AND b = 1""")
 def mutual_nn_one_round(t):
     return J.mutual_best(J.csls(two_groups(t), 5), "csls").select("qid", "cid", "csls")
 
