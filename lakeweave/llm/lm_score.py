@@ -34,6 +34,7 @@ MAX_FILTER, MAX_WORDS = 256 << 20, 8_000_000
 END = b" "  # no word is equal to it
 U = np.uint64
 FLUSH = 8_000_000  # n-grams that a task holds before it hands them on
+CHUNK = 100_000  # tokens that are scored at once
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -44,9 +45,13 @@ def level(count: np.ndarray) -> np.ndarray:
 MEANS = np.array([0.0] + [(np.ceil(BASE ** (q - 1) - 1e-9) + max(np.ceil(BASE**q - 1e-9) - 1, np.ceil(BASE ** (q - 1) - 1e-9))) / 2 for q in range(1, 110)])
 
 
+def couple(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(before * U(0x9DDFEA08EB382D69) + h)
+
+
 def pairs(h: np.ndarray) -> np.ndarray:
     """Hashes of each word with the one before it; the end comes before the first."""
-    return mix(np.concatenate([h[-1:], h[:-1]]) * U(0x9DDFEA08EB382D69) + h)
+    return couple(np.concatenate([h[-1:], h[:-1]]), h)
 
 
 def probe(h: np.ndarray, q: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +66,7 @@ def probe(h: np.ndarray, q: int, words: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Words(dict):
     """Places of words in a bounded table of their hashes, exact counts and counts by the filter."""
 
-    LIMIT = 200_000
+    LIMIT = 500_000
 
     def __init__(self, model: dict):
         self.model, self.todo = model, []
@@ -212,35 +217,45 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     del held, bits
     lowest, spare = np.log10(n + v + 1), 1.0 / (n + v + 1)
 
-    def of(words: Words, text: bytes | None) -> tuple[np.ndarray, float]:
-        at = words.of(tokens(text))
-        mean = words.mean[at]
-        before = np.concatenate([mean[-1:], mean[:-1]])
-        both = read(words.model, pairs(words.hash[at]))
-        p = WEIGHT * np.minimum(1.0, both / np.maximum(before, 1.0)) + (1 - WEIGHT) * np.minimum(1.0, (mean + 1) * spare)
-        return at, float(np.log10(p).sum())
+    def chunks(words: Words, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For CHUNK tokens or so at once: the places of all tokens, where each text begins, and each text's score."""
+        flat, firsts = [], []
+        for i, x in enumerate(texts):
+            firsts.append(len(flat))
+            flat += tokens(x.as_py())
+            if len(flat) >= CHUNK or i == len(texts) - 1:
+                at, first = words.of(flat), np.array(firsts)
+                before = np.concatenate([at[-1:], at[:-1]])
+                before[first] = at[-1]  # each text's last token is the end, and so it is before its first
+                both = read(words.model, couple(words.hash[before], words.hash[at]))
+                p = WEIGHT * np.minimum(1.0, both / np.maximum(words.mean[before], 1.0)) + (1 - WEIGHT) * np.minimum(1.0, (words.mean[at] + 1) * spare)
+                yield at, first, np.add.reduceat(np.log10(p), first)
+                flat, firsts = [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(cast.value)
         for b in batches:
-            rows = []
-            for x in b.column(1):
-                at, own = of(words, x.as_py())
+            n, known, base, own = [], [], [], []
+            for at, first, p in chunks(words, b.column(1)):
                 c = words.exact[at]
-                rows.append((len(at), int((c > 0).sum()), float(np.log10(c + 1.0).sum() - len(at) * lowest), own))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=list("abcde"))
+                size = np.diff([*first, len(at)])
+                n.append(size)
+                known.append(np.add.reduceat((c > 0).astype(np.int64), first))
+                base.append(np.add.reduceat(np.log10(c + 1.0), first) - size * lowest)
+                own.append(p)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(x) if x else [], t) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (own, pa.float64())))], names=list("abcde"))
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(cast.value)
         for b in batches:
             n_tokens, h, count, own = [], [], [], []
-            for x in b.column(1):
-                at, p = of(words, x.as_py())
-                u, c = np.unique(words.hash[at].view(np.int64), return_counts=True)
-                n_tokens.append(len(at))
-                own.append(p)
-                h.append(u)
-                count.append(c)
+            for at, first, p in chunks(words, b.column(1)):
+                for part in np.split(at, first[1:]):
+                    u, c = np.unique(words.hash[part].view(np.int64), return_counts=True)
+                    n_tokens.append(len(part))
+                    h.append(u)
+                    count.append(c)
+                own += p.tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(own, pa.float64()), pa.array(h, pa.list_(pa.int64())), pa.array(count, pa.list_(pa.int64()))], names=list("abcde"))
 
     kind = docs.schema[id_col].dataType.simpleString()
