@@ -75,7 +75,7 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column, name: str = "ran
 def roll_up(hits: DataFrame, how: str, k: int) -> DataFrame:
     """Column hits to tables: max, mean or sum of sim; count_then_sum orders by number of hits, then sum. Top k a query."""
     score = {"max": F.max("sim"), "mean": F.avg("sim"), "sum": F.sum("sim"), "count_then_sum": F.sum("sim")}[how]
-    by = hits.groupBy("qid", "cgroup").agg(F.count("*").alias("matches"), F.round(score, 8).alias("score"))
+    by = hits.groupBy("qid", "cgroup").agg(F.count("*").alias("matches"), F.round(score, 10).alias("score"))
     first = [F.col("matches").desc()] if how == "count_then_sum" else []
     return top_k(by, ["qid"], k, *first, F.col("score").desc(), F.col("cgroup"))
 

@@ -215,9 +215,9 @@ def json_flatten(t):
     return t("events").select("event_id", F.from_json("props", "k long").alias("props")).select("event_id", F.col("props.k").alias("props_k"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SELL, "it"' WHEN 1 THEN ' x ' WHEN 2 THEN '' ELSE 'plain' END AS raw,
+@query('''SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SELL, "it"' WHEN 1 THEN ' x ' WHEN 2 THEN '' ELSE 'plain' END AS raw,
 CASE event_id % 4 WHEN 0 THEN '"SELL, ""it"""' WHEN 1 THEN ' x ' WHEN 2 THEN '' ELSE 'plain' END AS escaped,
-CASE event_id % 4 WHEN 0 THEN 'sell, "it"' WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE 'plain' END AS cleaned FROM events""")
+CASE event_id % 4 WHEN 0 THEN 'sell, "it"' WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE 'plain' END AS cleaned FROM events''')
 def scalar_cleaning(t):
     k = F.col("event_id") % 4
     raw = F.when(k == 0, 'SELL, "it"').when(k == 1, " x ").when(k == 2, "").otherwise("plain")

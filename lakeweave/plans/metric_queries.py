@@ -40,7 +40,7 @@ def join_average_precision(t):
 
 
 @query(f"""WITH {RANKED_SQL}, ks AS (SELECT unnest(range(1, 11)) AS k), h AS (SELECT qid, k, coalesce(sum(rel) FILTER (rank <= k), 0) AS h FROM r, ks GROUP BY ALL),
-p AS (SELECT k, avg(h / k) AS p FROM h GROUP BY k) SELECT k, round(p, 6) AS precision, round(avg(p) OVER (ORDER BY k), 6) AS map FROM p""")
+m AS (SELECT k, avg(h / k) AS x FROM h GROUP BY k) SELECT k, round(x, 6) AS precision, round(avg(x) OVER (ORDER BY k), 6) AS map FROM m""")
 def union_map_mean_precision(t):
     return M.union_map(ranked(t), 10)
 

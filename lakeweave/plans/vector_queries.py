@@ -41,7 +41,7 @@ def vector_join_threshold(t):
 
 def _roll_up(how, agg, order):
     @query(
-        f"""WITH {TOP_SQL}, g AS (SELECT qid, cgroup, count(*) AS matches, round({agg}(sim), 8) AS score FROM top GROUP BY qid, cgroup)
+        f"""WITH {TOP_SQL}, g AS (SELECT qid, cgroup, count(*) AS matches, round({agg}(sim), 10) AS score FROM top GROUP BY qid, cgroup)
         SELECT qid, cgroup, matches, score, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM g QUALIFY rank <= 5""",
         name=f"table_rollup_{how}",
     )
