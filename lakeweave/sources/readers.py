@@ -79,6 +79,12 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VECTOR_SCHEMA).parquet(path)
 
 
+def read_vector_json(spark: SparkSession, path: str) -> DataFrame:
+    """Vector records as JSON lines, whose map keys are text."""
+    text = T.StructType([T.StructField(f.name, T.MapType(T.StringType(), f.dataType.valueType) if f.name == "column_embeddings" else f.dataType) for f in VECTOR_SCHEMA])
+    return spark.read.schema(text).json(path).withColumn("column_embeddings", F.transform_keys("column_embeddings", lambda k, v: k.cast("int")))
+
+
 def columns_of(vectors: DataFrame) -> DataFrame:
     """(table_id, col_idx, name, v): a name from the record, else the index as text; the last of equal names wins."""
     c = vectors.select("table_id", "column_names", F.explode("column_embeddings").alias("col_idx", "v"))
