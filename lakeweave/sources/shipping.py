@@ -8,11 +8,13 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Texts may be long: Arrow batches are kept small where the session has Spark's defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add the package to the session's files, once; workers then import it from there wherever they run."""
+    """Add the package to the session's files, once; workers then import it from there wherever they run. Bounds Arrow's batches."""
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -23,5 +25,8 @@ def ship(spark: SparkSession) -> SparkSession:
                     if n.endswith(".py"):
                         z.write(os.path.join(folder, n), os.path.join("lakeweave", os.path.relpath(os.path.join(folder, n), top)))
         sc.addPyFile(path)
+        for key, most in BATCH.items():
+            if spark.conf.get(key, None) in (None, "10000", "-1"):
+                spark.conf.set(key, most)
         _SHIPPED.add(sc.applicationId)
     return spark
