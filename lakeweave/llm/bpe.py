@@ -84,7 +84,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes; pieces seen lately are remembered in two generations of bounded size."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
