@@ -55,7 +55,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """``df``, marked for broadcast if it has so few rows; else it stays as it is and joins by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return df.hint("broadcast") if df.count() <= rows else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ after it as ``df`` needs to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:

@@ -15,7 +15,7 @@ or so, sums run within cells, and a cell starts at the sum of the cells before i
 
 Tokens are words here (runs of anything but ASCII white space). Defined cases: a null source is a source of its own;
 a document without tokens weighs one token, so that it has a place; rows that are equal in all columns are placed
-each; an empty table gives an empty result; columns whose names begin with _ may clash and are not used.
+each; an empty table gives an empty result; other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, documents, stash
+from ._common import WORD, documents, stash, unused
 
 ENTROPY, MAX_REPEAT, BLOCK_TOKENS, CELL, STEPS = 0.97, 2.0, 1_000_000, 2_000, 40
 
@@ -93,19 +93,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Rows that share an id are told apart by a digest of all columns, and equal rows by their number.
     """
-    mark = F.xxhash64(*docs.columns)
-    numbered = docs.withColumn("_mark", mark)
-    narrow = numbered.select(F.col(id_col).alias("_id"), "_mark", F.col(source_col).alias("_from"), tokens(text_col).alias("_tokens"))
+    mark, own, block, place = unused(docs, "_digest", "_own", "_block", "_place")
+    marked = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    narrow = marked.select(F.col(id_col).alias("_id"), F.col(mark).alias("_mark"), F.col(source_col).alias("_from"), tokens(text_col).alias("_tokens"))
     narrow = narrow.groupBy("_id", "_mark", "_from", "_tokens").agg(F.count("*").alias("_copies"))
     narrow = stash(narrow.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
-    places = plan(narrow, ["_id", "_mark", "_copy"], "_from", "_tokens", **options).select("_id", "_mark", "_copy", "block", "place")
-    one = numbered.withColumnRenamed(id_col, "_own") if id_col != "_own" else numbered
-    single = narrow.groupBy("_id", "_mark").agg(F.max("_copy").alias("_most")).filter("_most > 1").count() == 0
-    one = one if single else one.dropDuplicates(["_own", "_mark"])
-    out = one.join(places, F.col("_own").eqNullSafe(F.col("_id")) & (one["_mark"] == places["_mark"]))
-    out = out.withColumnRenamed("_own", id_col) if id_col != "_own" else out
+    places = plan(narrow, ["_id", "_mark", "_copy"], "_from", "_tokens", **options)
+    places = places.select(F.col("_id").alias(own), F.col("_mark").alias(f"{mark}_"), F.col("block").alias(block), F.col("place").alias(place))
+    one = marked.dropDuplicates([id_col, mark]) if narrow.filter("_copy > 1").limit(1).count() else marked
+    out = one.join(places, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(f"{mark}_")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.select(*docs.columns, "block", "place").repartition(n, "block").sortWithinPartitions("block", "place").select(*docs.columns)
+    return out.select(*docs.columns, block, place).repartition(n, block).sortWithinPartitions(block, place).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
