@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -35,7 +37,36 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lakeweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lakeweave_path = path
+    return out
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at its end, what was stashed within it, but for the stashed tables given to the yielded function."""
+    own: list[str] = []
+    kept: list[str] = []
+    _SCRATCH.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._lakeweave_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for path in own:
+            if path not in kept:
+                _remove(SparkSession.active(), path)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

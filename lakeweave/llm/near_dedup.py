@@ -3,17 +3,19 @@
 A document's set holds the hashes of its distinct runs of SHINGLE words (ASCII lower case); with fewer words, of the whole
 sequence. Documents with equal sets are one node. A node's sketch is the K smallest hashes of its set.
 
-Candidates come from inverted lists of retained values. Two sets of similarity THRESHOLD or more share at least REQUIRED
-values of their sketches (all but surely: see below; sets of up to WHOLE hashes are retained whole and share THRESHOLD
-of them for certain). So they share one of the first (size - required + 1) values of each, in the order of how many nodes
-retain a value; only these are listed, and values that one node alone retains take up places without a list.
-
-Lists are not turned into all their pairs. First each list's smallest node is compared with the others. Then only
-pairs that the links so far leave in different components are compared. A pair goes on if its estimate, the share of the
-K smallest values of both sketches that both retain, is at least ESTIMATE; full sets then decide.
-
-For similarity 0.75 the estimate's standard deviation is 0.054 or less and the shared values' 3.5 of 48 or more, so
-that ESTIMATE and REQUIRED lie five deviations away: a link is missed once in some millions, if ever.
+Candidates come from inverted lists of retained values. If sets of n and m hashes have similarity 0.75, they share
+(n + m) * 0.75 / 1.75 hashes, and of the K smallest hashes of the larger one a hypergeometric number lies among these.
+``required`` is DEVIATIONS standard deviations less than its mean; for sets that are retained whole it is exact. Two nodes
+of that similarity share ``required`` values of their sketches, so they share one of the first (size - required + 1)
+of each, in the order of how many nodes retain a value. Only these are listed, with their places, and a shared value at a
+later place than the two sizes allow makes no pair.
+
+Lists are not turned into all their pairs. In each of STARS rounds one node of each list is compared with those others
+that the links so far leave in other components. Then only pairs that the links so far leave in different components
+are compared, each in the first list that they share, if their sketches share ``required`` values. In the rounds a pair
+goes on if its estimate, the share of the K smallest values of both sketches that both retain, is ESTIMATE or more (for
+similarity 0.75 its standard deviation is 0.038 or less); full sets then decide. A link is missed once in
+some 4,000 links of exactly that similarity whose sizes are as unequal as can be, and hardly ever otherwise.
 
 Defined cases: a null text is the empty text; a document without words has an empty set and is linked with nothing; null
 ids are left out when the smallest id is taken, and a component of null ids alone has a null id; rows with the same
@@ -27,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, mix, spread, stash, windows
+from ._common import WordHashes, documents, mix, scratch, small, spread, stash, unused, windows
 
-SHINGLE, K, PERCENT = 5, 64, 75
-WHOLE, REQUIRED, ESTIMATE = K * PERCENT // 100, 30, 0.48
+SHINGLE, K, PERCENT = 5, 128, 75
+DEVIATIONS, ESTIMATE, STARS = 3.5, 0.58, 4
 
 
 def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -65,20 +67,52 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.mapInArrow(run, f"`{id_col}` {kind}, _mark binary, n_shingles long, _sketch array<long>").withColumnRenamed(id_col, "_id").withColumn("_row", F.monotonically_increasing_id())
 
 
-def listed(nodes: DataFrame) -> DataFrame:
-    """(v, node, n): the values by which nodes are compared, without those that one node alone retains."""
+def required(n: Column, m: Column) -> Column:
+    """How many values the sketches of sets of n and m hashes share at least, if the sets are similar enough."""
+    large = F.greatest(n, m).cast("double")
+    p = (n + m) * (PERCENT / (100 + PERCENT)) / large
+    seen = F.least(large, F.lit(float(K)))
+    return F.ceil(seen * p - DEVIATIONS * F.sqrt(seen * p * F.greatest(1 - p, F.lit(0.0)) * (1 - seen / large)) - 1e-6)
+
+
+def least_required(n: Column) -> Column:
+    """``required`` for the partner that asks for least: the sizes of partners lie between n * 0.75 and n / 0.75."""
+    part = PERCENT / 100
+    return F.ceil(part * F.least(n, F.lit(K)) - DEVIATIONS * F.sqrt(K * part * (1 - part) * F.greatest(F.lit(0.0), 1 - K * part / n)) - 1e-6)
+
+
+def may_meet(n: Column, at: Column, m: Column, there: Column) -> Column:
+    """Whether a value at place ``at`` of one sketch and ``there`` of the other can be the first that similar sets share."""
+    left = lambda size, place: F.least(size, F.lit(K)) - place + 1
+    near = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return near & (left(n, at) >= required(n, m)) & (left(m, there) >= required(n, m))
+
+
+def ordered(nodes: DataFrame) -> DataFrame:
+    """(node, n, alone, s): the values that other nodes retain too, rarest first, and the number of those that none does."""
     post = nodes.select("node", "n", F.explode("sketch").alias("v"))
     shared = post.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
-    size = F.least(F.col("n"), F.lit(K))
-    required = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(REQUIRED))
     own = post.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("s"))  # K values at most
-    places = F.greatest(size - required + 1 - (size - F.size("s")), F.lit(0)).cast("int")
-    return own.select("node", "n", F.explode(F.slice("s", F.lit(1), places)).alias("s")).select("s.v", "node", "n")
+    return own.select("node", "n", (F.least("n", F.lit(K)) - F.size("s")).alias("alone"), F.transform("s", lambda x: x["v"]).alias("s"))
+
+
+def listed(order: DataFrame) -> DataFrame:
+    """(v, node, n, at): the values by which nodes are compared, and their places in the nodes' orders."""
+    places = F.greatest(F.least("n", F.lit(K)) - least_required(F.col("n")) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    return order.select("node", "n", "alone", F.posexplode(F.slice("s", F.lit(1), places)).alias("i", "v")).select("v", "node", "n", (F.col("alone") + F.col("i") + 1).alias("at"))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of the pairs, each once."""
+    one = lambda k: pairs.select(F.col(k).alias("node")).distinct()
+    return stash(one("a").unionByName(one("b")).distinct())
 
 
 def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sketches say that they may be similar enough."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"))
+    used = small(ends(pairs))
+    own = nodes.select("node", "sketch").join(used, "node")
+    side = lambda k: own.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
@@ -87,10 +121,10 @@ def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough. Only the texts of nodes in pairs are read again."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_id", "_mark"), "node")
+    used = stash(nodes.select("node", "_id", "_mark").join(small(ends(pairs)), "node"))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    wanted = used.select(F.col("_id").alias("_of")).distinct()
+    wanted = small(used.select(F.col("_id").alias("_of")).distinct())
     texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_of")), "left_semi")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +134,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mark(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=list("abc"))
 
     sets = texts.mapInArrow(again, f"_id {kind}, _mark binary, set binary").drop("_id")
-    sets = stash(used.select("node", "_mark").join(sets, "_mark").select("node", "set").dropDuplicates(["node"]))
+    sets = stash(sets.join(small(used.select("node", "_mark")), "_mark").select("node", "set").dropDuplicates(["node"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,32 +154,57 @@ def components(edges: DataFrame) -> DataFrame:
     both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
+        of = small(labels)
+        seen = both.join(of.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = seen.join(of, "node").select("node", "comp", F.least("comp", "near").alias("new"))
+        jump = of.select(F.col("node").alias("new"), F.col("comp").alias("far"))
         now = stash(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("comp"), (F.col("comp") != F.least("new", F.coalesce("far", "new"))).alias("moved")))
         labels = now.select("node", "comp")
         if not now.filter("moved").limit(1).count():
             return labels
 
 
-def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all links."""
-    lists = stash(listed(nodes))
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
-    first = lists.groupBy("v").agg(F.min_by(F.struct("node", "n"), "node").alias("c"), F.count("*").alias("k")).filter("k > 1").select("v", F.col("c.node").alias("a"), F.col("c.n").alias("m"))
-    pairs = lists.join(first, "v").filter((F.col("a") != F.col("node")) & near).select("a", F.col("node").alias("b")).distinct()
-    found = stash(confirmed(stash(alike(pairs, nodes)), nodes, docs, id_col, text_col))
-    comps = components(found)
-    own = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    left = own.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("v")
-    own = stash(own.join(left, "v"))
-    other = own.select("v", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("far"))
-    rest = own.join(first.select("v", "a"), "v").withColumnRenamed("a", "centre")
-    rest = rest.join(other, "v").filter((F.col("node") < F.col("b")) & (F.col("node") != F.col("centre")) & (F.col("comp") != F.col("far")) & near)
-    rest = rest.select(F.col("node").alias("a"), "b").distinct()
-    more = confirmed(stash(alike(rest, nodes)), nodes, docs, id_col, text_col)
-    return stash(found.unionByName(more))
+def star(lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): one node of each list, by a hash of its own for each turn, with each other of another component that it may meet."""
+    centre = lists.groupBy("v").agg(F.min_by(F.struct("node", "n", "at", "comp"), F.xxhash64("node", F.lit(turn))).alias("c"))
+    centre = centre.select("v", F.col("c.node").alias("a"), F.col("c.n").alias("m"), F.col("c.at").alias("there"), F.col("c.comp").alias("far"))
+    met = (F.col("a") != F.col("node")) & (F.col("comp") != F.col("far")) & may_meet(F.col("n"), F.col("at"), F.col("m"), F.col("there"))
+    return lists.join(centre, "v").filter(met).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (node, comp) after edges (a, b) have joined components: only the edges between components are walked."""
+    side = lambda k: small(labels).select(F.col("node").alias(k), F.col("comp").alias(f"c{k}"))
+    between = edges.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    moved = components(between.distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return stash(labels.join(small(moved), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
+
+
+def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``lists`` with the components by ``labels``, without the lists that lie in one component."""
+    own = lists.drop("comp").join(small(labels), "node")
+    open_ = own.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("v")
+    return stash(own.join(open_, "v"))
+
+
+def labelled(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, comp) by all links, of the nodes that share a value with another one."""
+    order = stash(ordered(nodes))
+    labels = order.select("node", F.col("node").alias("comp"))
+    lists = listed(order).withColumn("comp", F.col("node"))
+    several = lists.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
+    lists = stash(lists.join(several, "v"))
+    for turn in range(STARS):
+        found = confirmed(stash(alike(star(lists, turn), nodes)), nodes, docs, id_col, text_col)
+        labels = joined(labels, stash(found))
+        lists = unsettled(lists, labels)
+    own = lists.join(order.select("node", "s"), "node")
+    other = own.select(F.col("v").alias("w"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("comp").alias("far"), F.col("s").alias("z"))
+    both = F.array_intersect("s", "z")
+    met = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("far")) & may_meet(F.col("n"), F.col("at"), F.col("m"), F.col("there"))
+    met = met & (F.size(both) >= required(F.col("n"), F.col("m"))) & (F.get(both, F.lit(0)) == F.col("v"))
+    rest = own.join(other, (F.col("v") == F.col("w")) & met).select(F.col("node").alias("a"), "b")
+    return joined(labels, stash(confirmed(stash(rest), nodes, docs, id_col, text_col)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,8 +212,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = spread(docs)
     rows = stash(features(docs, id_col, text_col))
     classes = rows.filter(F.col("_mark").isNotNull()).groupBy("_mark").agg(F.min("_row").alias("node"), F.min("_id").alias("_least"))
-    nodes = stash(rows.join(classes.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), "_id", "_mark", F.col("n_shingles").alias("n"), F.col("_sketch").alias("sketch")))
-    comps = components(links(nodes, docs, id_col, text_col))
+    with scratch() as keep:
+        nodes = stash(rows.join(small(classes.select(F.col("node").alias("_row")), 1_000_000), "_row").select(F.col("_row").alias("node"), "_id", "_mark", F.col("n_shingles").alias("n"), F.col("_sketch").alias("sketch")))
+        comps = keep(labelled(nodes, docs, id_col, text_col))
     where = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = where.groupBy("comp").agg(F.min("_least").alias("component_id"))
     where = where.join(least, "comp").select("_mark", "component_id")
@@ -165,9 +225,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group: the one with the group's id."""
-    kept = stash(near_dedup(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("_of")).agg(F.count("*").alias("_n")))
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_of")), "left_semi")
-    return out.dropDuplicates([id_col]) if kept.filter("_n > 1").limit(1).count() else out
+    of, n = unused(docs, "_of", "_n")
+    kept = stash(near_dedup(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias(of)).agg(F.count("*").alias(n)))
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(of)), "left_semi")
+    return out.dropDuplicates([id_col]) if kept.filter(F.col(n) > 1).limit(1).count() else out
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
