@@ -20,7 +20,7 @@ join follows; where the filter is full more lines reach the join and the result
 
 Defined cases: a null text has no lines and stays null; empty lines stay; null ids come first; rows with equal ids are
 one document's, so that equal lines at equal places both stay; an empty table gives an empty result; all columns are
-passed on, and their names may be any but _id, _line and _drop.
+passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +28,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, stash
+from ._common import documents, scratch, small, stash, unused
 from .bloom import contained, filter_of
 
-LEAST, NEAR, EDGE, BLOCK = 5, 8, 8, 128
-SPACE = r"[\x20\x09-\x0D]+"
+LEAST, NEAR, EDGE, BLOCK, LONG = 5, 8, 8, 128, 512
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    """Lower-case words between ASCII white space. Splitting at one plain character is the fast way."""
+    plain = F.when(line.rlike(OTHER_SPACE), F.regexp_replace(line, OTHER_SPACE, " ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,19 +60,21 @@ def _running(a: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, at, o): for each line o the hash of the line without word ``at``, and of the whole line with ``at`` -1."""
-    w = lines.select("o", "w", F.size("w").alias("n"))
-    w = w.select("o", "n", F.transform("w", lambda x, j: F.xxhash64(x, j)).alias("here"), F.transform("w", lambda x, j: F.xxhash64(x, j - 1)).alias("moved"))
-    w = w.select("o", "n", _running(F.col("here")).alias("p"), _running(F.col("moved")).alias("q"))
-    whole = F.get("p", F.col("n"))
-    without = lambda i: F.get("p", i).bitwiseXOR(F.get("q", F.col("n"))).bitwiseXOR(F.get("q", i + 1))
-    keys = F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda i: F.struct(F.when(i < 0, whole).otherwise(without(i)).alias("key"), i.alias("at")))
-    return w.select("o", F.explode(keys).alias("x")).select("x.key", "x.at", "o")
+    """(key, at, o): for each line (o, n, text) of n words the hash of the line without word ``at``, and of the whole line with ``at`` -1."""
+    cut = lambda part: lines.filter(part).select("o", F.split("text", " ").alias("w"), "n")
+    without = lambda i: F.when(i < 0, F.xxhash64("w")).otherwise(F.xxhash64(F.slice("w", F.lit(1), F.greatest(i, F.lit(0))), F.slice("w", i + 2, F.col("n"))))
+    emit = lambda df, key: df.select("o", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("at"), *df.columns[1:]).select(key(F.col("at")).alias("key"), "at", "o")
+    short = emit(cut(F.col("n") <= LONG + 1), without)
+    long_ = cut(F.col("n") >= LONG).select("o", "n", F.transform("w", lambda x, j: F.xxhash64(x, j)).alias("here"), F.transform("w", lambda x, j: F.xxhash64(x, j - 1)).alias("moved"))
+    long_ = long_.select("o", "n", _running(F.col("here")).alias("p"), _running(F.col("moved")).alias("q"))
+    key = lambda i: F.when(i < 0, F.get("p", F.col("n"))).otherwise(F.get("p", i).bitwiseXOR(F.get("q", F.col("n"))).bitwiseXOR(F.get("q", i + 1)))
+    keys = F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda i: F.struct(key(i).alias("key"), i.alias("at")))
+    return short.unionByName(long_.select("o", F.explode(keys).alias("x")).select("x.key", "x.at", "o"))
 
 
 def verified(links: DataFrame, lines: DataFrame) -> DataFrame:
     """Of the links (late, early, at, kind), those whose words are within one edit: word ``at`` of the longer line, or of both."""
-    side = lambda k, name: lines.select(F.col("o").alias(k), F.col("w").alias(name))
+    side = lambda k, name: lines.select(F.col("o").alias(k), F.split("text", " ").alias(name))
     without = lambda c: F.concat(F.slice(c, F.lit(1), F.col("at")), F.slice(c, F.col("at") + 2, F.size(c)))
     both = links.join(side("late", "a"), "late").join(side("early", "b"), "early")
     cut = lambda c, other: F.when((F.size(c) > F.size(other)) | (F.size(c) == F.size(other)), without(F.col(c))).otherwise(F.col(c))
@@ -79,10 +83,15 @@ def verified(links: DataFrame, lines: DataFrame) -> DataFrame:
 
 def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _line, near): the lines that go; ``near`` tells those that only an edit parts from an earlier line."""
+    with scratch() as keep:
+        return keep(_decided(docs, id_col, text_col))
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     w = words_of(F.col("line"))
     edge = lambda c, salt: F.when(F.size("w") >= 2 * EDGE, F.xxhash64(c, F.lit(salt)))
-    own = lines_of(docs, id_col, text_col).withColumn("w", w).filter(F.size("w") >= LEAST)
-    own = stash(own.select("_id", "_line", F.size("w").alias("n"), F.xxhash64("w").alias("k"), F.xxhash64("w", F.lit(1)).alias("k2"), edge(F.slice("w", 1, EDGE), 2).alias("head"), edge(F.slice("w", -EDGE, EDGE), 3).alias("tail")))
+    own = lines_of(docs, id_col, text_col).withColumn("w", w)  # a filter on the words here would cut every line twice
+    own = stash(own.select("_id", "_line", F.size("w").alias("n"), F.xxhash64("w").alias("k"), F.xxhash64("w", F.lit(1)).alias("k2"), edge(F.slice("w", 1, EDGE), 2).alias("head"), edge(F.slice("w", -EDGE, EDGE), 3).alias("tail"))).filter(f"n >= {LEAST}")
     first = own.groupBy("k", "k2", "n", "head", "tail").agg(F.min(F.struct("_id", "_line")).alias("f")).select("f._id", "f._line", "n", "head", "tail")
     first = stash(first.orderBy("_id", "_line").withColumn("o", F.monotonically_increasing_id()))
     ends = first.filter(f"n >= {2 * EDGE}").select("o", "n", F.explode(F.array("head", "tail")).alias("h"))
@@ -93,13 +102,14 @@ def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = contained(lines_of(docs, id_col, text_col).withColumn("_h", place), filter_of(chosen.select(place.alias("_h")), "_h"), "_h").drop("_h")
     chosen = chosen.select(F.col("_id").alias("id_"), F.col("_line").alias("line_"), "o")
     again = again.join(chosen, F.col("_id").eqNullSafe(F.col("id_")) & (F.col("_line") == F.col("line_"))).select("o", "line")
-    lines = stash(again.dropDuplicates(["o"])).select("o", words_of(F.col("line")).alias("w"))
-    rows = variants(lines)
+    lines = again.dropDuplicates(["o"]).select("o", words_of(F.col("line")).alias("w"))
+    lines = stash(lines.select("o", F.size("w").alias("n"), F.array_join("w", " ").alias("text")))
+    rows = stash(variants(lines))
     parts = rows.filter("at >= 0")
     group = parts.groupBy("key", "at").agg(F.min("o").alias("early"), F.count("*").alias("c")).filter("c > 1").select("key", "at", "early")
-    replaced = parts.join(group, ["key", "at"]).filter("early < o").select(F.col("o").alias("late"), "early", "at")
+    replaced = parts.join(small(stash(group)), ["key", "at"]).filter("early < o").select(F.col("o").alias("late"), "early", "at")
     whole = rows.filter("at < 0").select("key", F.col("o").alias("whole"))
-    left_out = parts.join(whole, "key").select(F.greatest("o", "whole").alias("late"), F.least("o", "whole").alias("early"), "at")
+    left_out = parts.join(small(whole), "key").select(F.greatest("o", "whole").alias("late"), F.least("o", "whole").alias("early"), "at")
     links = replaced.unionByName(left_out).groupBy("late").agg(F.min(F.struct("early", "at")).alias("x")).select("late", "x.early", "x.at")
     near = stash(verified(links, lines).select(F.col("late").alias("o")))
     near = first.join(near, "o").select(F.col("_id").alias("id_"), F.col("_line").alias("line_"))
@@ -112,10 +122,11 @@ def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that go; all columns, and documents that lose all their lines, stay."""
-    gone = decided(docs, id_col, text_col).groupBy(F.col("_id").alias("_of")).agg(F.collect_set("_line").alias("_drop"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_drop", i))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_of")), "left")
-    return out.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    of, drop = unused(docs, "_of", "_drop")
+    gone = decided(docs, id_col, text_col).groupBy(F.col("_id").alias(of)).agg(F.collect_set("_line").alias(drop))
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(drop, i))
+    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(of)), "left")
+    return out.withColumn(text_col, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
