@@ -10,9 +10,10 @@ bits of one entry lie in one 64-bit word, so that a probe reads memory once. A t
 over its words and one end, where the end also stands before the first word, and all c come from the filter.
 
 Counting: each task counts its n-grams and hands each bucket its hashes and counts as two packed arrays; a bucket adds
-them up and makes its own segment of the filter, of BITS bits an entry. The segments together are broadcast, within
-MAX_FILTER bytes: a larger corpus gets fewer bits an entry. The words' exact counts, which the base score needs, are
-broadcast up to MAX_WORDS words; beyond that, texts' words join them by a shuffle.
+them up and makes its own segment of the filter, of BITS bits an entry at every size. The segments are broadcast in parts
+of MAX_FILTER bytes or so, by whole segments. With several parts a worker holds one at a time: for each FAR_BYTES of texts it loads the
+parts one after the other and reads from each the n-grams whose buckets it has. The words' exact counts, which the base
+score needs, are broadcast up to MAX_WORDS words; beyond that, texts' words join them by a shuffle.
 
 Defined cases: a null text is the empty text and scores its one end; a null doc_id is never held out; with nothing to
 train on the base is 0 and all words are unknown; rows with the same id are scored each; extra columns are left out.
@@ -35,6 +36,7 @@ END = b" "  # no word is equal to it
 U = np.uint64
 FLUSH = 8_000_000  # n-grams that a task holds before it hands them on
 CHUNK = 100_000  # tokens that are scored at once
+FAR_BYTES, FAR_CHUNK = 16 << 20, 4_000_000  # texts and tokens for which all parts of a filter of several are loaded once
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ class Words(dict):
     LIMIT = 500_000
 
     def __init__(self, model: dict):
-        self.model, self.todo = model, []
+        self.model, self.todo, self.unread = model, [], np.empty(0, np.int64)
         self.hash = np.zeros(self.LIMIT + 1, U)
         self.exact, self.mean = np.zeros(self.LIMIT + 1, np.int64), np.zeros(self.LIMIT + 1)
 
@@ -89,13 +91,20 @@ class Words(dict):
         if self.todo:
             h = hashed(self.todo)
             new = np.arange(len(self) - len(self.todo), len(self))
-            self.hash[new], self.mean[new] = h, read(self.model, h)
+            self.hash[new], self.unread = h, new
             if (known := self.model["words"]) is not None and len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 self.exact[new] = np.where(known[i] == h, self.model["counts"][i], 0)
             self.todo = []
         return at
 
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The counts of n-grams by the filter; those of new words are read along with them."""
+        n = len(self.unread)
+        both = read(self.model, np.concatenate([self.hash[self.unread], h]))
+        self.mean[self.unread], self.unread = both[:n], np.empty(0, np.int64)
+        return both[n:]
+
 
 def hashed(words: list[bytes]) -> np.ndarray:
     import xxhash
@@ -104,20 +113,59 @@ def hashed(words: list[bytes]) -> np.ndarray:
 
 
 def read(model: dict, h: np.ndarray) -> np.ndarray:
-    """The counts of n-grams as the filter has them."""
-    q, live, at = np.zeros(len(h), np.int64), np.arange(len(h)), h
-    buckets = model["buckets"]
-    for j in range(1, len(MEANS)):
-        b = (at >> U(40)) % U(buckets)
-        place, mask = probe(at, j, model["sizes"][b])
-        there = (model["bits"][model["firsts"][b] + place] & mask) == mask
-        live, at = live[there], at[there]
+    """The counts of n-grams as the filter has them. Of several parts none stays in memory."""
+    q, parts = np.zeros(len(h), np.int64), model["parts"]
+    for k, part in enumerate(parts):
+        live, at = np.arange(len(h)), h
+        if len(parts) > 1:
+            live = np.flatnonzero(model["part"][(h >> U(40)) % U(model["buckets"])] == k)
+            at = h[live]
         if not len(live):
-            break
-        q[live] = j
+            continue
+        bits = part.value
+        for j in range(1, len(MEANS)):
+            b = (at >> U(40)) % U(model["buckets"])
+            place, mask = probe(at, j, model["sizes"][b])
+            there = (bits[model["firsts"][b] + place] & mask) == mask
+            live, at = live[there], at[there]
+            if not len(live):
+                break
+            q[live] = j
+        if len(parts) > 1:
+            del bits
+            part.__dict__.pop("_value", None)  # the worker's copy; the next use loads it again from the executor's file
     return MEANS[q]
 
 
+def filter_parts(spark: SparkSession, model: DataFrame, buckets: int) -> dict:
+    """The filter of ``train`` in broadcast parts of MAX_FILTER bytes or so, and where each bucket's segment lies."""
+    sizes, firsts, part = np.ones(buckets, np.int64), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    parts, held, size = [], [], 0
+    cast = lambda: parts.append(spark.sparkContext.broadcast(np.concatenate(held or [np.zeros(1, U)])))
+    for r in model.select("bucket", "bits", "size").toLocalIterator():  # a segment at a time
+        if held and 8 * (size + r.size) > MAX_FILTER:
+            cast()
+            held, size = [], 0
+        sizes[r.bucket], firsts[r.bucket], part[r.bucket] = r.size, size, len(parts)
+        held.append(np.frombuffer(r.bits, U))
+        size += r.size
+    if held or not parts:
+        cast()
+    return {"parts": parts, "sizes": sizes.astype(U), "firsts": firsts, "part": part, "buckets": buckets}
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together, each of ``least`` bytes or more but for the last."""
+    own: list[pa.RecordBatch] = []
+    for b in batches:
+        own.append(b)
+        if sum(x.nbytes for x in own) >= least:
+            yield pa.concat_batches(own)
+            own = []
+    if own:
+        yield pa.concat_batches(own)
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
@@ -137,7 +185,6 @@ def _packed(kind: int, h: np.ndarray, count: np.ndarray, buckets: int) -> pa.Rec
 def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """A row for each bucket: words and their counts (sorted by hash), the bucket's segment of the filter, and its totals."""
     buckets = max(8, 2 * docs.rdd.getNumPartitions())
-    most = MAX_FILTER // 8 // buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -178,7 +225,7 @@ def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out[kind] = sums, np.bincount(at, weights=n, minlength=len(sums)).astype(np.int64)
         both = [(h, level(n)) for h, n in out.values()]
         entries = int(sum(q.sum() for _, q in both))
-        size = max(1, min(most, -(-entries * BITS // 64)))
+        size = max(1, -(-entries * BITS // 64))
         bits = np.zeros(size, U)
         for h, q in both:
             for j in range(1, int(q.max(initial=0)) + 1):
@@ -198,14 +245,10 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     model = stash(train(training, text_col))
     total = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.max("buckets").alias("b")).first()
     n, v, buckets = total.n or 0, total.v or 0, total.b or 1
-    parts = {r.bucket: r for r in model.select("bucket", "bits", "size").toLocalIterator()}  # MAX_FILTER bytes at most
-    sizes = np.array([parts[b].size if b in parts else 1 for b in range(buckets)], np.int64)
-    firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    bits = np.zeros(int(sizes.sum()), U)
-    for b in range(buckets):
-        if b in parts:
-            bits[firsts[b] : firsts[b] + sizes[b]] = np.frombuffer(parts.pop(b).bits, U)
-    held = {"bits": bits, "sizes": sizes.astype(U), "firsts": firsts, "buckets": buckets, "words": None, "counts": None}
+    held = filter_parts(spark, model, buckets) | {"words": None, "counts": None}
+    far = len(held["parts"]) > 1
+    chunk = FAR_CHUNK if far else CHUNK
+    filled = (lambda batches: gathered(batches, FAR_BYTES)) if far else iter
     near = v <= max_words
     if near:
         own = [(np.frombuffer(r.h, U), np.frombuffer(r.n, np.int64)) for r in model.select("h", "n").toLocalIterator()]
@@ -213,28 +256,29 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         order = np.argsort(h)
         held["words"], held["counts"] = h[order], np.concatenate([x for _, x in own] or [np.empty(0, np.int64)])[order].astype(np.uint32)
         del own, h, order
+    parts = held.pop("parts")
     cast = spark.sparkContext.broadcast(held)
-    del held, bits
+    del held
     lowest, spare = np.log10(n + v + 1), 1.0 / (n + v + 1)
 
     def chunks(words: Words, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For CHUNK tokens or so at once: the places of all tokens, where each text begins, and each text's score."""
+        """For ``chunk`` tokens or so at once: the places of all tokens, where each text begins, and each text's score."""
         flat, firsts = [], []
         for i, x in enumerate(texts):
             firsts.append(len(flat))
             flat += tokens(x.as_py())
-            if len(flat) >= CHUNK or i == len(texts) - 1:
+            if len(flat) >= chunk or i == len(texts) - 1:
                 at, first = words.of(flat), np.array(firsts)
                 before = np.concatenate([at[-1:], at[:-1]])
                 before[first] = at[-1]  # each text's last token is the end, and so it is before its first
-                both = read(words.model, couple(words.hash[before], words.hash[at]))
+                both = words.counts(couple(words.hash[before], words.hash[at]))
                 p = WEIGHT * np.minimum(1.0, both / np.maximum(words.mean[before], 1.0)) + (1 - WEIGHT) * np.minimum(1.0, (words.mean[at] + 1) * spare)
                 yield at, first, np.add.reduceat(np.log10(p), first)
                 flat, firsts = [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(cast.value)
-        for b in batches:
+        words = Words(cast.value | {"parts": parts})
+        for b in filled(batches):
             n, known, base, own = [], [], [], []
             for at, first, p in chunks(words, b.column(1)):
                 c = words.exact[at]
@@ -246,8 +290,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(x) if x else [], t) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (own, pa.float64())))], names=list("abcde"))
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(cast.value)
-        for b in batches:
+        words = Words(cast.value | {"parts": parts})
+        for b in filled(batches):
             n_tokens, h, count, own = [], [], [], []
             for at, first, p in chunks(words, b.column(1)):
                 for part in np.split(at, first[1:]):

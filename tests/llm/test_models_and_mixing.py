@@ -114,6 +114,15 @@ def test_lm_is_better_than_its_base_on_held_out_texts(spark):
     assert got[0] > 0.6 * got[1]
 
 
+@pytest.mark.parametrize("most", [lm_score.MAX_WORDS, 3])
+def test_lm_scores_do_not_depend_on_the_bound_of_a_part(spark, monkeypatch, most):
+    docs = odd.documents(spark).repartition(3)
+    one = lambda: Counter((x.doc_id, x.n_tokens, x.n_known, round(x.base_score, 9), round(x.score, 9)) for x in lm_score.score(docs, docs.filter("doc_id % 3 = 0"), max_words=most).collect())
+    whole = one()
+    monkeypatch.setattr(lm_score, "MAX_FILTER", 1 << 7)
+    assert one() == whole
+
+
 def test_counts_by_the_filter_are_near():
     import numpy as np
 
