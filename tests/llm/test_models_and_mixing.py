@@ -85,6 +85,18 @@ def brute_base(rows):
     return out
 
 
+def test_near_dedup_hardly_misses_a_link(spark):
+    k = near_dedup.K
+    choose = lambda n, i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+    below = lambda n, s, x: sum(math.exp(choose(s, i) + choose(n - s, k - i) - choose(n, k)) for i in range(max(0, k - (n - s)), x))
+    sizes = [(n, round(n * part)) for n in (200, 500, 2000, 20_000, 200_000) for part in (1, 0.95, 0.875, 0.8, 0.76)]
+    rows = spark.createDataFrame(sizes, "n long, m long").select("n", "m", near_dedup.required(F.col("n"), F.col("m")).alias("q"), *[near_dedup.least_required(F.col(c)).alias(f"q{c}") for c in "nm"])
+    for x in rows.collect():
+        shared = math.ceil((x.n + x.m) * 0.75 / 1.75)
+        assert below(x.n, shared, x.q) + below(x.m, shared, x.q) < 1e-6
+        assert max(x.qn, x.qm) <= x.q
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_lm_base_equals_brute_force(spark, most):
     docs = odd.documents(spark).repartition(3)
