@@ -1,9 +1,11 @@
 """License scans by recognition of sentences and of their sequences.
 
-A text is cut into sentences at line feeds and after . ! ? ; : before white space. A sentence is normalised: A-Z in lower
-case, comment signs and quotes off, all that is no letter, digit, point, plus or hyphen one space, no point at its end.
-A table maps normalised licence sentences to identifiers. The sequence of a text's identifiers (other sentences are
-gaps) is matched against ordered rules: at each place the first rule whose identifiers follow there, with at most GAP
+A text is cut into pieces at line feeds and after . ! ? ; : before white space. A piece is read as its words: A-Z in lower
+case, all that is no letter, digit, point, plus or hyphen between two words, no points or hyphens around a word; so comment
+signs and quotes are off. A table maps licence sentences, read alike, to identifiers. A known sentence is one piece or several
+in a row, the longest from where it begins: lines may be wrapped anywhere, but no sentence runs over a blank line. Sentences
+that are not known end where a piece does, but not at a single line feed. The sequence of a text's identifiers (other sentences
+are gaps) is matched against ordered rules: at each place the first rule whose identifiers follow there, with at most GAP
 other sentences between two of them, takes those sentences; what is left is tried against the later rules.
 
 Defined cases: a null text is the empty text and has no licence; a licence that is stated twice is found twice; ids and
@@ -89,6 +91,7 @@ RULES = [
 ]
 _CUT = re.compile(rb"\n|(?<=[.!?;:])[\x20\x09-\x0D]+")
 _OTHER = re.compile(rb"[^a-z0-9.+\x80-\xff-]+")
+_WORD = re.compile(rb"[a-z0-9.+\x80-\xff-]+")
 _CONTINUED = bytes(range(0x80, 0xC0))
 
 
@@ -96,25 +99,50 @@ def normal(sentence: bytes) -> bytes:
     return _OTHER.sub(b" ", sentence.lower()).strip(b" .-")
 
 
+def words(low: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The words of a piece of a text in lower case."""
+    return filter(None, (m[0].strip(b".-") for m in _WORD.finditer(low, at, end)))
+
+
 class Recogniser:
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, gap: int = GAP):
         self.ids = {normal(s.encode()): k for k, own in sentences.items() for s in own}
-        self.heads = {k.split(b" ", 1)[0] for k in self.ids}
-        self.longest = 2 * max(map(len, self.ids)) + 64
+        self.tree: dict = {}  # word by word; the identifier of a sentence that ends there is at None
+        for s, k in self.ids.items():
+            node = self.tree
+            for w in words(s, 0, len(s)):
+                node = node.setdefault(w, {})
+            node[None] = k
         self.rules, self.gap = rules, gap
 
-    def sentences(self, text: bytes) -> list[tuple[str, int, int, int]]:
-        """(identifier, number of the sentence, start, end) of each known sentence; places in bytes."""
-        out, at = [], 0
-        heads, ids, longest = self.heads, self.ids, self.longest
-        cuts = [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]
-        for k, (end, after) in enumerate(cuts):
-            if end - at <= longest:
-                raw = text[at:end]
-                first = _OTHER.sub(b" ", raw[:40].lower()).strip(b" .-").split(b" ", 1)[0]
-                if first in heads and (found := ids.get(normal(raw))):
-                    out.append((found, k, at, end))
-            at = after
+    def sentences(self, text: bytes) -> list[tuple[str, int, int, int, int]]:
+        """(identifier, numbers of the sentences where it starts and ends, start, end) of each known sentence; places in bytes."""
+        low, tree = text.lower(), self.tree
+        starts, ends, number = [0], [], [0]
+        for m in _CUT.finditer(low):
+            ends.append(m.start())
+            over = m[0] != b"\n" or low[m.start() - 1 : m.start()] in (b".", b"!", b"?", b";", b":") or next(words(low, starts[-1], ends[-1]), None) is None
+            starts.append(m.end())
+            number.append(number[-1] + over)
+        ends.append(len(text))
+        out, i = [], 0
+        while i < len(starts):
+            node, j, found = tree, i, None
+            while node is not None and j < len(starts):
+                some = False
+                for w in words(low, starts[j], ends[j]):
+                    some = True
+                    if (node := node.get(w)) is None:
+                        break
+                if not some:
+                    break
+                if node is not None and None in node:
+                    found = node[None], j
+                j += 1
+            if found:
+                out.append((found[0], number[i], number[found[1]], starts[i], ends[found[1]]))
+                i = found[1]
+            i += 1
         return out
 
     def licences(self, text: bytes) -> list[tuple[str, int, int]]:
@@ -124,16 +152,16 @@ class Recogniser:
             for i in range(len(known)):
                 if i in taken or known[i][0] != wanted[0]:
                     continue
-                used, last = [i], known[i][1]
+                used, last = [i], known[i][2]
                 for w in wanted[1:]:
                     nxt = next((j for j in range(used[-1] + 1, len(known)) if j not in taken and known[j][0] == w and known[j][1] - last - 1 <= self.gap), None)
                     if nxt is None:
                         break
                     used.append(nxt)
-                    last = known[nxt][1]
+                    last = known[nxt][2]
                 if len(used) == len(wanted):
                     taken.update(used)
-                    out.append((name, known[used[0]][2], known[used[-1]][3]))
+                    out.append((name, known[used[0]][3], known[used[-1]][4]))
         points = lambda n: len(text[:n].translate(None, _CONTINUED))
         return [(name, points(a), points(b)) for name, a, b in sorted(out, key=lambda x: (x[1], x[2], x[0]))]
 

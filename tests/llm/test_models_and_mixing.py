@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -203,6 +204,21 @@ def test_licences():
             assert own.ids[licenses.normal(s.encode())] == k
 
 
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", " " * 50])
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_licences_of_wrapped_texts(width, sign):
+    own = licenses.Recogniser()
+    wrapped = lambda *s: "\n".join(sign + x for y in s for x in textwrap.wrap(y, width, break_on_hyphens=False))
+    for k, sentences in licenses.SENTENCES.items():
+        for s in sentences:
+            assert [x[0] for x in own.sentences(f"import os\n\n{wrapped(s)}\n\nx = 1".encode())] == [k]
+    other = "Some other words of no licence at all that are long enough to be wrapped at forty columns and more."
+    for name, ids in licenses.RULES:
+        one = [licenses.SENTENCES[k][0] for k in ids]
+        for text in (wrapped(*one), wrapped(" ".join(one)), wrapped((" " if ids[0] == "tag" else f" {other} ").join(one))):
+            assert [x[0] for x in own.licences(text.encode())] == [name]
+
+
 def test_licences_of_odd_rows(spark):
     got = licenses.license_spans(odd.documents(spark)).collect()
     assert len(got) == len(odd.rows()) and all(x.n_sentences == 0 for x in got)
