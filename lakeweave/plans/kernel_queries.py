@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeweave.functions import vectors as V
 from lakeweave.operators import enrichment as E
 from lakeweave.operators import graph as G
 from lakeweave.operators import matching as M
@@ -17,11 +18,11 @@ from .vector_queries import E_SQL, sides
 
 def edges(t, least=-2.0):
     """Tables are groups of eight vectors with neighbouring ids; pairs are tables 2n and 2n + 1."""
-    e = t("embeddings").filter("vec_id < 160").select("vec_id", F.floor(F.col("vec_id") / 8).alias("tab"), "embedding")
-    q = e.filter("tab % 2 = 0").select(F.col("vec_id").alias("qid"), F.col("tab").alias("qgroup"), F.col("embedding").alias("v"))
-    c = e.filter("tab % 2 = 1").select(F.col("vec_id").alias("cid"), F.col("tab").alias("cgroup"), F.col("embedding").alias("v"))
-    p = J.cosine_join(q, c, threshold=least).filter("cgroup = qgroup + 1")
-    return p.select(F.col("qgroup").alias("ta"), F.col("cgroup").alias("tb"), F.col("qid").alias("a"), F.col("cid").alias("b"), "sim")
+    e = t("embeddings").filter("embedding IS NOT NULL").select("vec_id", F.floor(F.col("vec_id") / 8).alias("tab"), V.doubles(F.col("embedding")).alias("v"))
+    q = e.filter("tab % 2 = 0").select((F.col("tab") + 1).alias("tb"), F.col("tab").alias("ta"), F.col("vec_id").alias("a"), F.col("v").alias("va"))
+    c = e.filter("tab % 2 = 1").select(F.col("tab").alias("tb"), F.col("vec_id").alias("b"), F.col("v").alias("vb"))
+    p = q.join(c, "tb").select("ta", "tb", "a", "b", (F.round(V.cosine(F.col("va"), F.col("vb")), 6) + 0.0).alias("sim"))
+    return p.filter(F.col("sim") >= least)
 
 
 @query()

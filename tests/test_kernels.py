@@ -71,3 +71,18 @@ def test_anchor_is_the_farthest(spark):
     p = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 900.0)], "k string, x double")
     assert graph.farthest_points(p, "k", ["x"], 2) == ["a", "c"]
     assert len(graph.farthest_points(p, "k", ["x"], 9)) == 3
+
+
+def test_all_tables_are_matched(spark):
+    from lakeweave.plans import kernel_queries
+
+    r = np.random.default_rng(9)
+    v = [None if i == 170 else np.zeros(3) if i == 171 else r.normal(size=3) for i in range(250)]
+    rows = spark.createDataFrame([(i, None if x is None else x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    unit = [None if x is None else (y := x.astype(np.float32).astype(float)) / (np.linalg.norm(y) or 1) for x in v]
+    want = {(a // 8, b // 8, a, b): unit[a] @ unit[b] for a in range(250) for b in range(250) if a // 8 % 2 == 0 and b // 8 == a // 8 + 1 and unit[a] is not None and unit[b] is not None}
+    got = {tuple(x[:4]): x.sim for x in kernel_queries.edges(lambda _: rows).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    best = {(x.ta, x.tb): x.exact for x in kernel_queries.assignment_score(lambda _: rows).collect()}
+    assert best.keys() == {k[:2] for k in want}
