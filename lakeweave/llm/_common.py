@@ -24,10 +24,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this machine only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a folder of this machine in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -84,11 +87,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """``df``, marked for broadcast if it has so few rows; else it stays as it is and joins by a shuffle."""
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, marked for broadcast if it has so few rows; else it stays as it is and joins by a shuffle. For narrow rows of stashed tables."""
     return df.hint("broadcast") if df.count() <= rows else df
 
 
+def repeated_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or stands in two rows."""
+    seen = df.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n"))
+    return bool(seen.filter("n > 1 or i is null").limit(1).count())
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many _ after it as ``df`` needs to have no such column."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -50,7 +50,10 @@ def brute_near(rows):
     return Counter(out.values())
 
 
-def test_near_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("k,split,short", [(near_dedup.K, near_dedup.SPLIT, near_dedup.SHORT), (near_dedup.EXACT, 3, 0), (40, 2, 4)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, k, split, short):
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
+    monkeypatch.setattr(near_dedup, "SHORT", short)
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
     rows, at = [], 0
@@ -65,10 +68,18 @@ def test_near_dedup_equals_brute_force(spark):
     passage = " ".join(r.choice(vocab) for _ in range(50))
     rows += [(at + i, passage + " " + " ".join(r.choice(vocab) for _ in range(30))) for i in range(30)]
     r.shuffle(rows)
-    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
     assert Counter(tuple(x) for x in got) == brute_near(rows)
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (3, text(2)), (3, text(3)), (4, text(3) + " more"), (None, text(3)), (None, None), (9, None), (9, "")]
+    got = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(x) for x in got) == Counter([*rows[:4], *rows[6:]])
+    assert near_dedup.one_of_each(odd.empty(spark)).count() == 0
+
+
 def test_near_dedup_of_odd_rows(spark):
     got = near_dedup.near_dedup(odd.documents(spark)).collect()
     assert Counter(tuple(x) for x in got) == brute_near([x[:2] for x in odd.rows()])
@@ -91,7 +102,7 @@ def test_near_dedup_hardly_misses_a_link(spark):
     choose = lambda n, i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
     below = lambda n, s, x: sum(math.exp(choose(s, i) + choose(n - s, k - i) - choose(n, k)) for i in range(max(0, k - (n - s)), x))
     sizes = [(n, round(n * part)) for n in (200, 500, 2000, 20_000, 200_000) for part in (1, 0.95, 0.875, 0.8, 0.76)]
-    rows = spark.createDataFrame(sizes, "n long, m long").select("n", "m", near_dedup.required(F.col("n"), F.col("m")).alias("q"), *[near_dedup.least_required(F.col(c)).alias(f"q{c}") for c in "nm"])
+    rows = spark.createDataFrame(sizes, "n long, m long").select("n", "m", near_dedup.required(F.col("n"), F.col("m"), near_dedup.K).alias("q"), *[near_dedup.least_required(F.col(c), near_dedup.K).alias(f"q{c}") for c in "nm"])
     for x in rows.collect():
         shared = math.ceil((x.n + x.m) * 0.75 / 1.75)
         assert below(x.n, shared, x.q) + below(x.m, shared, x.q) < 1e-6
