@@ -35,7 +35,7 @@ an empty table gives an empty result; columns but the id are not passed on, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +141,16 @@ def alike(pairs: DataFrame, sketches: DataFrame, k: int, least: float) -> DataFr
 
 def estimated(a: Column, b: Column, k: int, least: float) -> Column:
     """Whether the share of the k smallest values of two sketches that both retain is ``least`` or more; 0.75 where they are whole sets."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return 100 * common >= F.when(F.size(union) < k, F.lit(float(PERCENT))).otherwise(F.lit(100 * least)) * F.size(union)
+    least_of = lambda u: F.when(F.size(u) < k, F.lit(float(PERCENT))).otherwise(F.lit(100 * least)) * F.size(u)
+    return _bound(F.slice(F.array_sort(F.array_union(a, b)), 1, k), lambda u: 100 * F.size(F.array_intersect(F.array_intersect(a, b), u)) >= least_of(u))
+
+
+def _bound(value: Column, test: Callable[[Column], Column]) -> Column:
+    """``test`` of ``value``, which is computed once and only where what stands before it in a conjunction holds.
+
+    Spark computes an expression that stands twice in a condition ahead of the condition, for every pair of a join.
+    """
+    return F.exists(F.array(value), test)
 
 
 def full_sets(listed_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wide: int) -> DataFrame:
@@ -229,8 +236,7 @@ def rest(lists: DataFrame, order: DataFrame, sets: DataFrame, k: int, wide: int,
         few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns])
         each = (F.col("comp") == F.col("main")) | (F.col("node_") < F.col("node"))
         met = (F.col("comp") != F.col("comp_")) & each & may_meet(F.col("n"), F.col("at"), F.col("n_"), F.col("at_"), k)
-        both = F.array_intersect("s", "s_")
-        met = met & (F.size(both) >= required(F.col("n"), F.col("n_"), k)) & (F.get(both, F.lit(0)) == F.col("v")) & test
+        met = met & _bound(F.array_intersect("s", "s_"), lambda x: (F.size(x) >= required(F.col("n"), F.col("n_"), k)) & (F.get(x, F.lit(0)) == F.col("v"))) & test
         on = [F.col(c) == F.col(f"{c}_") for c in by]
         return rows.join(few, [*on, met]).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
