@@ -87,9 +87,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df``, marked for broadcast if it has so few rows; else it stays as it is and joins by a shuffle. For narrow rows of stashed tables."""
-    return df.hint("broadcast") if df.count() <= rows else df
+def small(df: DataFrame, most: int = 24 << 20) -> DataFrame:
+    """``df``, marked for broadcast if it has so few bytes; else it stays as it is and joins by a shuffle.
+
+    The size is what the files of a stashed table have (for some of its columns their share), so that no job is run to know it.
+    """
+    return df.hint("broadcast") if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
 def repeated_ids(df: DataFrame, id_col: str) -> bool:

@@ -109,7 +109,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     group = parts.groupBy("key", "at").agg(F.min("o").alias("early"), F.count("*").alias("c")).filter("c > 1").select("key", "at", "early")
     replaced = parts.join(small(stash(group)), ["key", "at"]).filter("early < o").select(F.col("o").alias("late"), "early", "at")
     whole = rows.filter("at < 0").select("key", F.col("o").alias("whole"))
-    left_out = parts.join(small(whole), "key").select(F.greatest("o", "whole").alias("late"), F.least("o", "whole").alias("early"), "at")
+    left_out = parts.join(small(stash(whole)), "key").select(F.greatest("o", "whole").alias("late"), F.least("o", "whole").alias("early"), "at")
     links = replaced.unionByName(left_out).groupBy("late").agg(F.min(F.struct("early", "at")).alias("x")).select("late", "x.early", "x.at")
     near = stash(verified(links, lines).select(F.col("late").alias("o")))
     near = first.join(near, "o").select(F.col("_id").alias("id_"), F.col("_line").alias("line_"))

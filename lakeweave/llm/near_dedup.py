@@ -12,7 +12,7 @@ of each, in the order of how many nodes retain a value. Only these are listed, w
 later place than the two sizes allow makes no pair. The texts of nodes in lists of two or more are read once more, and
 their full sets are kept as a table until the end.
 
-Lists are not turned into all their pairs. In each of STARS rounds one node of each list is compared with those others
+Lists are not turned into all their pairs. In each of STARS rounds CENTRES nodes of each list are compared with those others
 that the links so far leave in other components; a pair goes on if its estimate, the share of the k smallest values of
 both sketches that both retain, is ESTIMATE or more, and the full sets then decide. What a round misses the last pass
 finds. There, the nodes of a list outside its largest component are compared with those of other components, each
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ._common import WordHashes, documents, mix, repeated_ids, scratch, small, spread, stash, unused, windows
 
 SHINGLE, K, PERCENT = 5, 128, 75
-DEVIATIONS, ESTIMATE, STARS = 6, 0.58, 4
+DEVIATIONS, ESTIMATE, STARS, CENTRES = 6, 0.58, 2, 2
 WIDE, SHORT, SPLIT = 512, 64, 1_000
 EXACT = (1 << 31) - 1
 
@@ -122,7 +122,7 @@ def _parts(size: Column) -> Column:
 def dealt(lists: DataFrame) -> DataFrame:
     """``lists`` of two nodes or more, with each list's length ``c`` and the ``part`` of it that a row belongs to."""
     sizes = stash(lists.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1"))
-    long_ = small(sizes.filter(F.col("c") > SPLIT).select("v", _parts(F.col("c")).alias("parts")))
+    long_ = small(stash(sizes.filter(F.col("c") > SPLIT).select("v", _parts(F.col("c")).alias("parts"))))
     rows = lists.join(long_, "v", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     return stash(rows.join(in_parts(sizes), ["v", "part"]))
 
@@ -203,8 +203,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def star(lists: DataFrame, turn: int, k: int) -> DataFrame:
-    """(a, b): one node of each list, by a hash of its own for each turn, with each other of another component that it may meet."""
-    centre = lists.groupBy("v").agg(F.min_by(F.struct("node", "n", "at", "comp"), F.xxhash64("node", F.lit(turn))).alias("o"), F.max("c").alias("c"))
+    """(a, b): CENTRES nodes of each list, by hashes of their own for each turn, with each other of another component that they may meet."""
+    by_hash = [F.min_by(F.struct("node", "n", "at", "comp"), F.xxhash64("node", F.lit(turn * CENTRES + i))) for i in range(CENTRES)]
+    centre = lists.groupBy("v").agg(F.array(*by_hash).alias("o"), F.max("c").alias("c")).withColumn("o", F.explode(F.array_distinct("o")))
     centre = in_parts(centre).select("v", "part", F.col("o.node").alias("a"), F.col("o.n").alias("m"), F.col("o.at").alias("there"), F.col("o.comp").alias("far"))
     met = (F.col("a") != F.col("node")) & (F.col("comp") != F.col("far")) & may_meet(F.col("n"), F.col("at"), F.col("m"), F.col("there"), k)
     return lists.join(centre, ["v", "part"]).filter(met).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
@@ -269,8 +270,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = spread(docs)
     rows = stash(features(docs, id_col, text_col, k))
     classes = rows.filter(F.col("_mark").isNotNull()).groupBy("_mark").agg(F.min("_row").alias("node"), F.min("_id").alias("_least"))
+    classes = stash(classes)
     with scratch() as keep:
-        nodes = stash(rows.join(small(classes.select(F.col("node").alias("_row")), 1_000_000), "_row").select(F.col("_row").alias("node"), "_id", "_mark", F.col("n_shingles").alias("n"), F.col("_sketch").alias("sketch")))
+        nodes = stash(rows.join(small(classes.select(F.col("node").alias("_row"))), "_row").select(F.col("_row").alias("node"), "_id", "_mark", F.col("n_shingles").alias("n"), F.col("_sketch").alias("sketch")))
         comps = keep(labelled(nodes, docs, id_col, text_col, k))
     where = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = where.groupBy("comp").agg(F.min("_least").alias("component_id"))
