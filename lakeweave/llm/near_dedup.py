@@ -235,12 +235,15 @@ def rest(lists: DataFrame, order: DataFrame, sets: DataFrame, k: int, wide: int,
         if "part" in by:
             few = in_parts(few.drop("part"))
         few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns])
+        if "part" in by:  # dealt out already: nothing is left for the session to split by map outputs, on both sides
+            few, rows = few.repartition(tasks, "v_", "part_"), rows.repartition(tasks, "v", "part")
         each = (F.col("comp") == F.col("main")) | (F.col("node_") < F.col("node"))
         met = (F.col("comp") != F.col("comp_")) & each & may_meet(F.col("n"), F.col("at"), F.col("n_"), F.col("at_"), k)
         met = met & _bound(F.array_intersect("s", "s_"), lambda x: (F.size(x) >= required(F.col("n"), F.col("n_"), k)) & (F.get(x, F.lit(0)) == F.col("v"))) & test
         on = [F.col(c) == F.col(f"{c}_") for c in by]
         return rows.join(few, [*on, met]).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.join(order.select("node", "s"), "node")
     short = stash(compared(rows.filter(F.col("c") <= SHORT), ["v"], F.lit(True)))
     long_ = rows.filter(F.col("c") > SHORT).join(sets.select("node", F.col("sketch").alias("w")), "node")
