@@ -21,6 +21,18 @@ class Nfa:
         self.steps.append([])
         return len(self.empty) - 1
 
+    def turned(self) -> Nfa:
+        """All arrows the other way round."""
+        out = Nfa()
+        for _ in self.empty:
+            out.state()
+        for a, (empty, steps) in enumerate(zip(self.empty, self.steps, strict=True)):
+            for b in empty:
+                out.empty[b].append(a)
+            for mask, b in steps:
+                out.steps[b].append((mask, a))
+        return out
+
 
 class _Parser:
     def __init__(self, text: str, nfa: Nfa, fold: bool):
@@ -135,16 +147,21 @@ class _Parser:
 class Machine:
     """``next[state * classes + class_of[byte]]`` is the next state times ``classes``. ``accepts[state]`` is a bit mask of rules.
 
-    States from ``first`` on accept something. ``dead`` is the state that nothing leaves, or -1.
+    States from ``first`` on accept something. ``dead`` is the state that nothing leaves, or -1. A machine that reads
+    ``backwards`` accepts, after the bytes from a text's end to some place, the rules of which a match begins at that place.
     """
 
-    def __init__(self, rules: list[tuple[str, bool]], anywhere: bool = False):
-        nfa, goals = Nfa(), {}
+    def __init__(self, rules: list[tuple[str, bool]], backwards: bool = False):
+        nfa, goals, ends = Nfa(), {}, []
         start = nfa.state()
-        if anywhere:
-            nfa.steps[start].append((ALL, start))
         for k, (text, fold) in enumerate(rules):
-            goals[_Parser(text, nfa, fold).either(start)] = 1 << k
+            begin = nfa.state() if backwards else start
+            ends.append(_Parser(text, nfa, fold).either(begin))
+            goals[begin if backwards else ends[-1]] = 1 << k
+        if backwards:
+            nfa = nfa.turned()
+            nfa.empty[start] += ends
+            nfa.steps[start].append((ALL, start))
         groups: dict[tuple, int] = {}
         masks = sorted({m for s in nfa.steps for m, _ in s})
         class_of = [groups.setdefault(tuple(m >> b & 1 for m in masks), len(groups)) for b in range(256)]
@@ -190,8 +207,6 @@ class Machine:
         dead = [i for i, p in enumerate(ranked) if not accepts[one[p]] and all(part[t] == p for t in table[one[p]])]
         self.dead = dead[0] * n if dead else -1
         self._next, self._class = self.next.tolist(), bytes(class_of)
-        row = self.next[self.start : self.start + n]
-        self.begins = bytes(b for b in range(256) if row[class_of[b]] != self.dead)
 
     def longest(self, text: bytes, at: int) -> int:
         """Where the longest match that begins at ``at`` ends, or -1."""
@@ -204,29 +219,37 @@ class Machine:
                 end = i + 1
         return end
 
-    def marks(self, text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each line the bit mask of the rules that are met in it, in one pass over the bytes, all lines abreast."""
+    def begins(self, text: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a machine that reads backwards: the places where matches begin, in order, and the bit masks of the rules.
+
+        One pass over the bytes of all lines (``starts`` and ``sizes``), many lines abreast.
+        """
         order = np.argsort(-sizes, kind="stable")
-        begin, size = starts[order].astype(np.int64), sizes[order]
+        end, size = (starts + sizes)[order].astype(np.int64), sizes[order]
         kinds = self.class_of[np.frombuffer(text, np.uint8)] if text else np.empty(0, np.uint8)
-        state, marks, first = np.full(len(begin), self.start, np.int32), np.zeros(len(begin), np.int64), self.first * self.classes
-        accepts, falling, j = np.array(self.accepts, np.int64), -size, 0
+        state, first, falling, j = np.full(len(end), self.start, np.int32), self.first * self.classes, -size, 0
+        at, met = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         live = int(np.searchsorted(falling, 0))
         while live >= 100:
-            s = self.next[state[:live] + kinds[begin[:live] + j]]
+            here = end[:live] - 1 - j
+            s = self.next[state[:live] + kinds[here]]
             state[:live] = s
             if (hit := np.flatnonzero(s >= first)).size:
-                marks[hit] |= accepts[s[hit] // self.classes]
+                at.append(here[hit])
+                met.append(s[hit])
             j += 1
             live = int(np.searchsorted(falling, -j))
-        step, kind, own = self._next, self._class, self.accepts
+        step, kind = self._next, self._class
         for i in range(live):  # a few long lines are left
-            s, met = int(state[i]), 0
-            for b in text[begin[i] + j : begin[i] + size[i]]:
-                s = step[s + kind[b]]
+            s, here, states = int(state[i]), int(end[i] - size[i]), []
+            own = []
+            for k in range(int(end[i]) - 1 - j, here - 1, -1):
+                s = step[s + kind[text[k]]]
                 if s >= first:
-                    met |= own[s // self.classes]
-            marks[i] |= met
-        out = np.zeros_like(marks)
-        out[order] = marks
-        return out
+                    own.append(k)
+                    states.append(s)
+            at.append(np.array(own, np.int64))
+            met.append(np.array(states, np.int32))
+        places = np.concatenate(at)
+        order = np.argsort(places)
+        return places[order], np.array(self.accepts, np.int64)[np.concatenate(met)[order] // self.classes]
