@@ -6,16 +6,20 @@ signs and quotes are off. A table maps licence sentences, read alike, to identif
 in a row, the longest from where it begins: lines may be wrapped anywhere, but no sentence runs over a blank line. Sentences
 that are not known end where a piece does, but not at a single line feed. The sequence of a text's identifiers (other sentences
 are gaps) is matched against ordered rules: at each place the first rule whose identifiers follow there, with at most GAP
-other sentences between two of them, takes those sentences; what is left is tried against the later rules.
+other sentences between two of them, takes those sentences; what is left is tried against the later rules. The search for a rule's next sentence ends GAP sentences
+behind the last one, so that the time grows with the number of known sentences in proportion.
 
 Defined cases: a null text is the empty text and has no licence; a licence that is stated twice is found twice; ids and
-rows are not compared with each other; texts of any length are read whole; an empty table gives an empty result.
+rows are not compared with each other, so repeated rows and ties need no rule; texts of any length are read whole; an empty
+table gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,28 +33,48 @@ SENTENCES = {
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "mit-warranty": ["The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."],
+    "mit-liability": ["In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."],
     "mit-name": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-warranty": ["The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."],
+    "zero-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-name": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
     "apache-name": ["Licensed under the Apache License, Version 2.0.", "This project is licensed under the Apache License, Version 2.0."],
     "apache-grant": ["Licensed under the Apache License, Version 2.0 (the \"License\");"],
     "apache-comply": ["you may not use this file except in compliance with the License."],
     "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "apache-warranty": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
     "gpl3-name": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
     "gpl2-name": ["This work is licensed under the GNU General Public License, version 2."],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "lgpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-name": ["Licensed under the GNU Affero General Public License, version 3."],
     "gpl-useful": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
     "gpl-implied": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "gpl-details": ["See the GNU General Public License for more details."],
+    "gpl-received": ["You should have received a copy of the GNU General Public License along with this program."],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd-warranty": ["This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."],
+    "bsd-liability": ["In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."],
+    "epl-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "mpl-terms": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-nd": ["Licensed under CC BY-ND 4.0."],
     "cc0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "reserved": ["All rights reserved."],
     "tag": ["SPDX-License-Identifier:"],
@@ -59,34 +83,79 @@ SENTENCES = {
     "tag-gpl3": ["GPL-3.0-only"],
     "tag-gpl2": ["GPL-2.0-only"],
     "tag-mpl": ["MPL-2.0"],
+    "tag-gpl3-later": ["GPL-3.0-or-later"],
+    "tag-gpl2-later": ["GPL-2.0-or-later"],
+    "tag-bsd3": ["BSD-3-Clause"],
+    "tag-bsd2": ["BSD-2-Clause"],
+    "tag-isc": ["ISC"],
+    "tag-cc0": ["CC0-1.0"],
+    "tag-unlicense": ["Unlicense"],
+    "tag-boost": ["BSL-1.0"],
+    "tag-epl": ["EPL-2.0"],
+    "tag-lgpl": ["LGPL-2.1-or-later"],
+    "tag-lgpl3": ["LGPL-3.0-or-later"],
+    "tag-agpl": ["AGPL-3.0-or-later"],
 }
 #: Licence and the identifiers that state it, in order of precedence.
 RULES = [
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
+    ("0BSD", ["zero-grant", "isc-warranty"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["zero-grant"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-name"]),
+    ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy", "apache-warranty", "apache-see"]),
     ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy", "apache-warranty"]),
     ("Apache-2.0", ["apache-grant", "apache-comply"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-useful", "gpl-implied", "gpl-details", "gpl-received"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-useful", "gpl-implied"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-useful", "gpl-implied", "gpl-details", "gpl-received"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-useful", "gpl-implied"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl-free"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("AGPL-3.0-only", ["agpl-name"]),
     ("GPL-3.0-only", ["gpl3-name"]),
     ("GPL-2.0-only", ["gpl2-name"]),
     ("MIT", ["mit-name"]),
     ("Apache-2.0", ["apache-name"]),
+    ("MPL-2.0", ["mpl-terms", "mpl-copy"]),
     ("MPL-2.0", ["mpl-terms"]),
+    ("EPL-2.0", ["epl-terms"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
     ("CC-BY-ND-4.0", ["cc-by-nd"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("CC-BY-4.0", ["cc-by"]),
     ("CC0-1.0", ["cc0"]),
+    ("Unlicense", ["unlicense", "unlicense-anyone"]),
     ("Unlicense", ["unlicense"]),
     ("MIT", ["tag", "tag-mit"]),
     ("Apache-2.0", ["tag", "tag-apache"]),
     ("GPL-3.0-only", ["tag", "tag-gpl3"]),
     ("GPL-2.0-only", ["tag", "tag-gpl2"]),
     ("MPL-2.0", ["tag", "tag-mpl"]),
+    ("GPL-3.0-or-later", ["tag", "tag-gpl3-later"]),
+    ("GPL-2.0-or-later", ["tag", "tag-gpl2-later"]),
+    ("BSD-3-Clause", ["tag", "tag-bsd3"]),
+    ("BSD-2-Clause", ["tag", "tag-bsd2"]),
+    ("ISC", ["tag", "tag-isc"]),
+    ("CC0-1.0", ["tag", "tag-cc0"]),
+    ("Unlicense", ["tag", "tag-unlicense"]),
+    ("BSL-1.0", ["tag", "tag-boost"]),
+    ("EPL-2.0", ["tag", "tag-epl"]),
+    ("LGPL-2.1-or-later", ["tag", "tag-lgpl"]),
+    ("LGPL-3.0-or-later", ["tag", "tag-lgpl3"]),
+    ("AGPL-3.0-or-later", ["tag", "tag-agpl"]),
     ("all-rights-reserved", ["reserved"]),
 ]
 _CUT = re.compile(rb"\n|(?<=[.!?;:])[\x20\x09-\x0D]+")
@@ -148,13 +217,17 @@ class Recogniser:
     def licences(self, text: bytes) -> list[tuple[str, int, int]]:
         """(licence, start, end) in code points, by place."""
         known, taken, out = self.sentences(text), set(), []
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(known):
+            places.setdefault(x[0], []).append(i)
         for name, wanted in self.rules:
-            for i in range(len(known)):
-                if i in taken or known[i][0] != wanted[0]:
+            for i in places.get(wanted[0], []):
+                if i in taken:
                     continue
                 used, last = [i], known[i][2]
                 for w in wanted[1:]:
-                    nxt = next((j for j in range(used[-1] + 1, len(known)) if j not in taken and known[j][0] == w and known[j][1] - last - 1 <= self.gap), None)
+                    near = takewhile(lambda j: known[j][1] - last - 1 <= self.gap, range(used[-1] + 1, len(known)))  # noqa: B023
+                    nxt = next((j for j in near if j not in taken and known[j][0] == w), None)
                     if nxt is None:
                         break
                     used.append(nxt)
@@ -166,12 +239,18 @@ class Recogniser:
         return [(name, points(a), points(b)) for name, a, b in sorted(out, key=lambda x: (x[1], x[2], x[0]))]
 
 
+@cache
+def recogniser() -> Recogniser:
+    """The recogniser of a worker, kept between its tasks."""
+    return Recogniser()
+
+
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_sentences (known ones), licenses (names and spans, by place)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Recogniser()
+        own = recogniser()
         shape = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             n, found = [], []
