@@ -95,6 +95,15 @@ def small(df: DataFrame, most: int = 24 << 20) -> DataFrame:
     return df.hint("broadcast") if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
+def by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1_000) -> DataFrame:
+    """``rows`` joined with the stashed ``groups`` of one row a key. Keys of over ``most`` rows go by a broadcast, so that no task gets a hot one.
+
+    There are at most one such key in ``most`` rows; where they too have many bytes the join of theirs is a shuffle.
+    """
+    hot = small(stash(groups.filter(F.col(size) > most)))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col(size) <= most), key))
+
+
 def repeated_ids(df: DataFrame, id_col: str) -> bool:
     """Whether an id is null or stands in two rows."""
     seen = df.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n"))

@@ -4,12 +4,14 @@ Pass 1 maps the hash of every text to a block of the filter and to PROBES bit po
 positions that were set twice or more. Pass 2 probes: a row whose positions were all set twice is possibly repeated, and
 only such rows are shuffled by their text's digest; all other rows pass straight through.
 
+Rows of a text that stands in many documents are joined with their group by a broadcast of such groups, the others by a shuffle.
+To build the filter, three small rows (block, bit) a document are shuffled, and no texts or digests.
+
 The filter has BITS_PER_ROW bits a row up to MAX_BITS. It is broadcast only within that bound (MAX_BITS / 8 bytes); in a
 larger table it fills up, more rows take the shuffled way, and the result stays the same.
 
 Defined cases: a null text is the empty text; null doc_ids count as smaller than all others; of rows with the same
-doc_id and text one is kept; an empty table gives an empty result; other columns are passed on, and a column whose name
-the result needs is dropped.
+doc_id and text one is kept; texts of any length are hashed whole; an empty table gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, stash
+from ._common import by_key, documents, stash
 from .bloom import MAX_BITS, filter_of, marked
 
 
@@ -34,8 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.struct(F.col("_id"), F.col("_row"))
     alone = own.filter("not _twice").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
     maybe = own.filter("_twice").select("_id", "_row", "_sha")
-    groups = maybe.groupBy("_sha").agg(F.max(row).alias("_last"), F.count("*").alias("group_size"))
-    shared = maybe.join(groups, "_sha").select("_id", F.col("_last._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_last._row")).alias("kept"), "_sha")
+    groups = stash(maybe.groupBy("_sha").agg(F.max(row).alias("_last"), F.count("*").alias("group_size")))
+    shared = by_key(maybe, groups, "_sha", "group_size").select("_id", F.col("_last._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_last._row")).alias("kept"), "_sha")
     return alone.unionByName(shared).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
