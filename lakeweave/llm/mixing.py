@@ -11,11 +11,13 @@ share of its budget, gives the block of a row. So every block of BLOCK_TOKENS to
 within a block the rows of all sources are permuted.
 
 No source is put in order in one piece: its rows are cut by the random number that orders them into cells of CELL rows
-or so, sums run within cells, and a cell starts at the sum of the cells before it.
+or so, sums run within cells, and a cell starts at the sum of the cells before it. These sums run in two levels: within
+groups of CELL cells, and over the groups of a source.
 
 Tokens are words here (runs of anything but ASCII white space). Defined cases: a null source is a source of its own;
 a document without tokens weighs one token, so that it has a place; rows that are equal in all columns are placed
-each; an empty table gives an empty result; other columns are passed on, whatever their names.
+each; rows that share their key but not their tokens are ordered by their tokens; texts of any length are counted whole; an
+empty table gives an empty result; other columns are passed on by ``mix`` and left out by ``plan``, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,10 +76,14 @@ def plan(docs: DataFrame, key: list[str], source_col: str, token_col: str, budge
     rows = own.join(shares, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("_budget") / F.col("_t") - 1e-9) - 1)).cast("int"))))
     rows = rows.withColumn("_u", F.xxhash64(F.lit(seed), F.col("epoch"), *key)).withColumn("_cell", F.floor((F.shiftrightunsigned("_u", 11) / F.lit(float(1 << 53))) * F.col("_cells")))
     cell = ["_source", "epoch", "_cell"]
-    before = rows.groupBy(*cell).agg(F.sum("_n").alias("_s"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy("_source", "epoch").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = rows.groupBy(*cell).agg(F.sum("_n").alias("_s")).withColumn("_group", F.floor(F.col("_cell") / CELL))
+    upto = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = sums.groupBy("_source", "epoch", "_group").agg(F.sum("_s").alias("_g")).withColumn("_upto", upto("_g", ["_source", "epoch"], "_group"))
+    top = top.select(F.col("_source").alias("_a"), F.col("epoch").alias("_b"), F.col("_group").alias("_c"), "_upto")
+    same = F.col("_source").eqNullSafe(F.col("_a")) & (F.col("epoch") == F.col("_b")) & (F.col("_group") == F.col("_c"))
+    before = sums.withColumn("_before", upto("_s", ["_source", "epoch", "_group"], "_cell")).join(top, same).withColumn("_before", F.col("_before") + F.col("_upto"))
     before = before.select(*[F.col(c).alias(f"{c}_") for c in cell], "_before")
-    within = F.coalesce(F.sum("_n").over(Window.partitionBy(*cell).orderBy("_u", *key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy(*cell).orderBy("_u", *key, "_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_within", within)
     rows = rows.join(before, F.col("_source").eqNullSafe(F.col("_source_")) & (F.col("epoch") == F.col("epoch_")) & (F.col("_cell") == F.col("_cell_")))
     rows = rows.withColumn("_at", F.col("epoch") * F.col("_t") + F.col("_before") + F.col("_within")).filter(F.col("_at") < F.col("_budget") - 1e-6)
