@@ -16,7 +16,8 @@ parts one after the other and reads from each the n-grams whose buckets it has.
 score needs, are broadcast up to MAX_WORDS words; beyond that, texts' words join them by a shuffle.
 
 Defined cases: a null text is the empty text and scores its one end; a null doc_id is never held out; with nothing to
-train on the base is 0 and all words are unknown; rows with the same id are scored each; extra columns are left out.
+train on the base is 0 and all words are unknown; rows with the same id are scored each; texts of any length are read whole,
+and counts are 64-bit numbers; an empty table gives an empty result; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BASE, WEIGHT, BITS, PROBES = 1.5, 0.6, 8, 3
 MAX_FILTER, MAX_WORDS = 256 << 20, 8_000_000
 END = b" "  # no word is equal to it
 U = np.uint64
-FLUSH = 8_000_000  # n-grams that a task holds before it hands them on
+FLUSH = 3_000_000  # n-grams that a task holds before it hands them on
 CHUNK = 100_000  # tokens that are scored at once
 FAR_BYTES, FAR_CHUNK = 16 << 20, 4_000_000  # texts and tokens for which all parts of a filter of several are loaded once
 
@@ -58,7 +59,7 @@ def pairs(h: np.ndarray) -> np.ndarray:
 
 def probe(h: np.ndarray, q: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place (in 1/2**32 of a segment, scaled to ``words``) and mask of the entries (h, q)."""
-    e = mix(h + U(q) * U(0xA0761D6478BD642F))
+    e = mix(h + U(q * 0xA0761D6478BD642F & (1 << 64) - 1))
     mask = np.zeros(len(h), U)
     for i in range(PROBES):
         mask |= U(1) << (e >> U(6 * i) & U(63))
@@ -254,7 +255,9 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         own = [(np.frombuffer(r.h, U), np.frombuffer(r.n, np.int64)) for r in model.select("h", "n").toLocalIterator()]
         h = np.concatenate([x for x, _ in own] or [np.empty(0, U)])
         order = np.argsort(h)
-        held["words"], held["counts"] = h[order], np.concatenate([x for _, x in own] or [np.empty(0, np.int64)])[order].astype(np.uint32)
+        held["words"], held["counts"] = h[order], np.concatenate([x for _, x in own] or [np.empty(0, np.int64)])[order]
+        if held["counts"].max(initial=0) < 1 << 32:
+            held["counts"] = held["counts"].astype(np.uint32)  # no count is cut
         del own, h, order
     parts = held.pop("parts")
     cast = spark.sparkContext.broadcast(held)
