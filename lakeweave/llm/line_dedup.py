@@ -2,8 +2,9 @@
 
 Lines are compared as sequences of words (lower case), with an edit bound of one word: one word put in, left out or
 replaced. Of lines within the bound the earliest, by document id and line number, stays: a line goes if an equal line, or
-one within the bound, comes before it. Lines of under LEAST words always stay; lines of under NEAR words go only as
-copies, for there one word is too large a part.
+one within the bound, comes before it. The bound is one word in NEAR: lines of under NEAR words go only as copies, for there
+one word is too large a part. ``least`` is the number of words from which a line is compared at all; by default every line
+that has a word is.
 
 Equal lines are first put together by a 128-bit hash. A distinct line then emits the hash of itself and of each variant with
 one word left out. Variants without word i that are equal come from lines that differ in word i alone; a variant that
@@ -18,9 +19,10 @@ variants' hashes are XORs of hashes of (word, place), so that all of a line's va
 Only lines that emit variants are read again. A Bloom filter of bounded size picks them in the second scan, and an exact
 join follows; where the filter is full more lines reach the join and the result is the same.
 
-Defined cases: a null text has no lines and stays null; empty lines stay; null ids come first; rows with equal ids are
-one document's, so that equal lines at equal places both stay; an empty table gives an empty result; all columns are
-passed on, whatever their names.
+Defined cases: a null text has no lines and stays null; lines without words stay; null ids come first; where ids are null or
+repeated, rows are told apart, and equal ids ordered, by numbers of their own; of equal rows the later ones lose their lines as
+copies; lines and texts of any length are compared whole; an empty table gives an empty result; all columns are passed on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, scratch, small, stash, unused
+from ._common import documents, repeated_ids, scratch, small, stash, unused
 from .bloom import contained, filter_of
 
-LEAST, NEAR, EDGE, BLOCK, LONG = 5, 8, 8, 128, 512
+LEAST, NEAR, EDGE, BLOCK, LONG = 1, 8, 8, 128, 512
 OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
 
@@ -81,17 +83,25 @@ def verified(links: DataFrame, lines: DataFrame) -> DataFrame:
     return both.filter((F.abs(F.size("a") - F.size("b")) <= 1) & (cut("a", "b") == cut("b", "a"))).select("late", "early")
 
 
-def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _line, near): the lines that go; ``near`` tells those that only an edit parts from an earlier line."""
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column that has another value in each row: the id, or one more column that begins with it."""
+    if not repeated_ids(docs, id_col):
+        return docs, id_col
+    (key,) = unused(docs, "_key")
+    return stash(docs.withColumn(key, F.struct(F.col(id_col).alias("i"), F.monotonically_increasing_id().alias("n")))), key
+
+
+def decided(docs: DataFrame, key: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(_id, _line, near): the lines that go; ``near`` tells those that only an edit parts from an earlier line. ``key`` is as by ``keyed``."""
     with scratch() as keep:
-        return keep(_decided(docs, id_col, text_col))
+        return keep(_decided(docs, key, text_col, least))
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _decided(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     w = words_of(F.col("line"))
     edge = lambda c, salt: F.when(F.size("w") >= 2 * EDGE, F.xxhash64(c, F.lit(salt)))
     own = lines_of(docs, id_col, text_col).withColumn("w", w)  # a filter on the words here would cut every line twice
-    own = stash(own.select("_id", "_line", F.size("w").alias("n"), F.xxhash64("w").alias("k"), F.xxhash64("w", F.lit(1)).alias("k2"), edge(F.slice("w", 1, EDGE), 2).alias("head"), edge(F.slice("w", -EDGE, EDGE), 3).alias("tail"))).filter(f"n >= {LEAST}")
+    own = stash(own.select("_id", "_line", F.size("w").alias("n"), F.xxhash64("w").alias("k"), F.xxhash64("w", F.lit(1)).alias("k2"), edge(F.slice("w", 1, EDGE), 2).alias("head"), edge(F.slice("w", -EDGE, EDGE), 3).alias("tail"))).filter(f"n >= {least}")
     first = own.groupBy("k", "k2", "n", "head", "tail").agg(F.min(F.struct("_id", "_line")).alias("f")).select("f._id", "f._line", "n", "head", "tail")
     first = stash(first.orderBy("_id", "_line").withColumn("o", F.monotonically_increasing_id()))
     ends = first.filter(f"n >= {2 * EDGE}").select("o", "n", F.explode(F.array("head", "tail")).alias("h"))
@@ -120,21 +130,23 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stash(copies.unionByName(late))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` without the lines that go; all columns, and documents that lose all their lines, stay."""
-    of, drop = unused(docs, "_of", "_drop")
-    gone = decided(docs, id_col, text_col).groupBy(F.col("_id").alias(of)).agg(F.collect_set("_line").alias(drop))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(drop, i))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(of)), "left")
-    return out.withColumn(text_col, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    own, key = keyed(docs, id_col)
+    of, drop = unused(own, "_of", "_drop")
+    gone = decided(own, key, text_col, least).groupBy(F.col("_id").alias(of)).agg(F.collect_set("_line").alias(drop))
+    rest = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
+    kept = F.get(F.transform(F.array(F.split(F.col(text_col), "\n")), lambda lines: F.array_join(rest(lines), "\n")), F.lit(0))  # cut once
+    out = own.join(gone, F.col(key).eqNullSafe(F.col(of)), "left")
+    return out.withColumn(text_col, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, those that go as copies and as near copies, and the numbers of all that go."""
-    docs = documents(spark, sf_dir)
-    gone = decided(docs).groupBy(F.col("_id").alias("doc_id")).agg(
+    docs, key = keyed(documents(spark, sf_dir), "doc_id")
+    gone = decided(docs, key).groupBy(F.col("_id").alias("of")).agg(
         F.count_if(~F.col("near")).alias("n_copies"), F.count_if("near").alias("n_near"), F.array_join(F.array_sort(F.collect_list("_line")), ",").alias("dropped")
     )
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = lines.join(gone, "doc_id", "left")
+    lines = docs.select(F.col(key).alias("key"), "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = lines.join(gone, F.col("key").eqNullSafe(F.col("of")), "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"))
