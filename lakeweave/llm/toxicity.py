@@ -6,14 +6,18 @@ MOST features with the largest difference at most. A document's features count i
 P(grade >= k) = 1 / (1 + exp(t_k - w.x)); the expected severity is the sum of these over k.
 
 Labels tell toxic from other documents; grades 1 to K part the toxic ones of the sample by how many of their distinct
-words have a run that no other document of the sample has, at the quantiles of that number. The model is fitted on a
-sample of SAMPLE labelled documents of either kind (the bound of what is gathered to fit it), chosen by a hash of their
-ids; scoring reads all documents whole.
+words have a kept run that is likelier in toxic documents, at the quantiles of that number. The model is fitted on a
+sample of SAMPLE labelled documents of either kind, chosen by a hash of their ids; scoring reads all documents whole. The
+runs of the sample are counted in the tasks; the driver gathers MOST runs at most, and of each document of the sample its
+counts of these.
 
 Because the score is linear, a word adds the same wherever it stands: workers keep a bounded table of words' scores.
 
 Defined cases: a null text is the empty text; without words a document has its score from the thresholds alone; with
-no toxic or no other labelled document nothing is toxic and severity is 0; a repeated row is scored again.
+no toxic or no other labelled document nothing is toxic and severity is 0; a document that is labelled both ways is in both
+samples; of rows that share an id the one with the least text is in the sample, and each is scored; runs of equal odds are
+kept by their number; texts of any length are read whole; an empty table gives an empty result; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, spread
+from ._common import documents, spread, stash
 
 GRAM, SAMPLE, GRADES = 4, 2_000, 3
 LEAST, ODDS, MOST = 0.01, 2.5, 20_000
+FLUSH = 2_000_000  # runs that a task counts before it hands them on
 ROUNDS, RATE, RIDGE, PRIOR = 1_000, 0.5, 1e-4, 0.5
 
 
@@ -54,28 +59,20 @@ class Model:
         self.weight = dict(zip(features.tolist(), w.tolist(), strict=True))
 
 
-def fit(samples: list[tuple[list[np.ndarray], int]], prior: float = PRIOR) -> Model:
-    """Weights and thresholds from (the places of each distinct word, toxic or not), by Adagrad on the whole sample."""
-    flat = [np.unique(np.concatenate(words), return_counts=True) if words else (np.empty(0, np.uint32), np.empty(0, int)) for words, _ in samples]
-    toxic = np.array([t for _, t in samples])
-    features, at = np.unique(np.concatenate([f for f, _ in flat]), return_inverse=True)
-    rows = np.repeat(np.arange(len(samples)), [len(f) for f, _ in flat])
-    n = np.log1p(np.concatenate([c for _, c in flat]).astype(float))
-    bad, all_ = np.bincount(at, toxic[rows], len(features)), np.bincount(at, minlength=len(features))
-    odds = np.log((bad + 0.5) / (toxic.sum() - bad + 0.5)) - np.log((all_ - bad + 0.5) / ((1 - toxic).sum() - (all_ - bad) + 0.5))
-    rank = np.where(all_ >= max(2, LEAST * toxic.sum()), np.abs(odds), 0)
-    keep = (rank >= ODDS) & (rank >= np.sort(rank)[-min(MOST, len(rank)):][0] if len(rank) else False)
-    grade = grades(samples, features[all_ == bad], toxic)
-    top = int(grade.max())
-    use = keep[at]
-    at, rows, n = (np.cumsum(keep) - 1)[at[use]], rows[use], n[use]
+def fit(features: np.ndarray, toxic: np.ndarray, marked: np.ndarray, rows: np.ndarray, at: np.ndarray, count: np.ndarray, prior: float = PRIOR) -> Model:
+    """Weights and thresholds by Adagrad on the whole sample.
+
+    ``toxic`` and ``marked`` (how many words are telling) are of its documents; document ``rows[i]`` has ``count[i]`` distinct words with ``features[at[i]]``.
+    """
+    grade = grades(marked, toxic)
+    top, size, n = int(grade.max()), len(toxic), np.log1p(count.astype(float))
     above = (grade[:, None] >= np.arange(1, top + 1)).astype(float)
     share = above.mean(0).clip(1e-6, 1 - 1e-6)
-    w, t = np.zeros(int(keep.sum())), np.log((1 - share) / share)
+    w, t = np.zeros(len(features)), np.log((1 - share) / share)
     gw, gt = np.full(len(w), 1e-8), np.full(top, 1e-8)
     for _ in range(ROUNDS):
-        x = np.bincount(rows, n * w[at], len(samples))
-        left = (_sigmoid(x[:, None] - t) - above) / len(samples)
+        x = np.bincount(rows, n * w[at], size)
+        left = (_sigmoid(x[:, None] - t) - above) / size
         dw, dt = np.bincount(at, n * left.sum(1)[rows], len(w)) + RIDGE * w, -left.sum(0)
         gw += dw * dw
         gt += dt * dt
@@ -83,46 +80,91 @@ def fit(samples: list[tuple[list[np.ndarray], int]], prior: float = PRIOR) -> Mo
         t = np.sort(t - RATE * dt / np.sqrt(gt))
     own = toxic.mean()  # the thresholds are moved from the sample's share of toxic documents to the prior
     t = t + np.log((1 - prior) / prior) - np.log((1 - own) / own)
-    return Model(features[keep], w, t)
+    return Model(features, w, t)
 
 
-def grades(samples: list[tuple[list[np.ndarray], int]], only: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for other documents; 1 to GRADES for toxic ones, by how many distinct words have a run of ``only``."""
-    known = set(only.tolist())
-    marked = np.array([sum(not known.isdisjoint(w.tolist()) for w in words) if t else 0 for words, t in samples])
+def grades(marked: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for other documents; 1 to GRADES for toxic ones, by how many telling words they have."""
     cuts = np.quantile(marked[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     return np.where(toxic == 1, 1 + (marked[:, None] > cuts).sum(1), 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model | None:
+class Places(dict):
+    """The places of words, remembered up to a bound; of those in ``only`` if it is given."""
+
+    LIMIT = 100_000
+
+    def __init__(self, only: set[int] | None = None):
+        self.only = only
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = own = [i for i in places(word) if self.only is None or i in self.only]
+        return own
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(_toxic, _text) of the sample."""
     order = F.xxhash64(F.lit("sample"), F.col(id_col)), F.col(id_col)
     kinds = [labels.filter(F.col(label_col) == k).select(id_col, F.lit(k).alias("_toxic")).dropDuplicates([id_col]).orderBy(*order).limit(SAMPLE) for k in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]))  # 2 * SAMPLE rows
+    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text")).join(chosen, id_col)
+    return rows.groupBy(id_col, "_toxic").agg(F.min("_text").alias("_text")).select("_toxic", "_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
-        for b in batches:
-            sizes, flat = [], []
-            for x in b.column(1):
-                own = []
-                for w in distinct_words(x.as_py()):
-                    if (p := known.get(w)) is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        p = known[w] = places(w)
-                    own.append(p)
-                sizes.append(np.array([len(p) for p in own], np.uint32).tobytes())
-                flat.append(np.array([i for p in own for i in p], np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], names=["t", "s", "p"])
-
-    rows = docs.join(chosen, id_col).select("_toxic", F.col(text_col).cast("binary")).mapInArrow(run, "t int, s binary, p binary")
-    samples = []
-    for r in rows.toLocalIterator():
-        cuts = np.cumsum(np.frombuffer(r.s, np.uint32))
-        samples.append((np.split(np.frombuffer(r.p, np.uint32), cuts[:-1]) if len(cuts) else [], r.t))
-    if {t for _, t in samples} != {0, 1}:
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model | None:
+    sample = stash(sampled(docs, labels, id_col, text_col, label_col))
+    of = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    if set(of) != {0, 1}:
         return None
-    return fit(samples)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = Places(), {0: [], 1: []}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, own in held.items():
+                f, n = np.unique(np.concatenate(own or [np.empty(0, np.int64)]), return_counts=True)
+                own.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n * k), pa.array(n)], names=["f", "bad", "n"])
+
+        for b in batches:
+            for kind, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.unique(np.fromiter((i for w in distinct_words(text.as_py()) for i in known[w]), np.int64))
+                held[kind].append(own)
+                size += len(own)
+                if size > FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    counts = sample.mapInArrow(counted, "f long, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    part = lambda some, whole: F.log((some + 0.5) / (F.lit(whole) - some + 0.5))
+    odds = part(F.col("bad"), of[1]) - part(F.col("n") - F.col("bad"), of[0])
+    kept = counts.filter(F.col("n") >= max(2, LEAST * of[1])).select("f", odds.alias("odds")).filter(F.abs("odds") >= ODDS)
+    kept = kept.orderBy(F.abs("odds").desc(), "f").limit(MOST).orderBy("f").collect()
+    features = np.array([r.f for r in kept], np.int64)
+    telling = {r.f for r in kept if r.odds > 0}
+    known_to_all = sample.sparkSession.sparkContext.broadcast((set(features.tolist()), telling))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, tells = known_to_all.value
+        known = Places(only)
+        for b in batches:
+            marked, f, n = [], [], []
+            for text in b.column(1):
+                words = [known[w] for w in distinct_words(text.as_py())]
+                own, count = np.unique(np.fromiter((i for w in words for i in w), np.int64), return_counts=True)
+                marked.append(sum(not tells.isdisjoint(w) for w in words))
+                f.append(own)
+                n.append(count)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marked, pa.int64()), pa.array(f, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], names=["t", "m", "f", "n"])
+
+    rows = sample.mapInArrow(read, "t int, m long, f array<long>, n array<long>").collect()
+    rows.sort(key=lambda r: (r.t, r.m, r.f, r.n))  # the same sums in any order of the tasks
+    flat = lambda name: np.array([x for r in rows for x in r[name]], np.int64)
+    toxic, marked = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    return fit(features, toxic, marked, np.repeat(np.arange(len(rows)), [len(r.f) for r in rows]), np.searchsorted(features, flat("f")), flat("n"))
 
 
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -133,18 +175,13 @@ def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value or Model(np.empty(0, np.uint32), np.empty(0), np.full(1, np.inf))
-        t, known = m.t, {}
+        t, known = m.t, Places(set(m.weight))
         for b in batches:
             x = np.zeros(b.num_rows)
             for i, text in enumerate(b.column(1)):
                 flat: list[int] = []
                 for word in distinct_words(text.as_py()):
-                    if (p := known.get(word)) is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        p = known[word] = [i for i in places(word) if i in m.weight]
-                    if p:
-                        flat += p
+                    flat += known[word]
                 if flat:
                     at, n = np.unique(np.array(flat), return_counts=True)
                     x[i] = sum(np.log1p(c) * m.weight[f] for f, c in zip(at.tolist(), n.tolist(), strict=True))
