@@ -5,7 +5,8 @@ live position, the rank of the pair that starts there; its root is the leftmost
 leaves of the merged position, its right neighbour and its left neighbour, each in logarithmic time.
 
 Defined cases: a null text is the empty text (no tokens); any bytes can be encoded, texts of any length too; rows are
-encoded one by one, so repeated rows and ties need no rule; an empty table gives an empty result.
+encoded one by one, so repeated rows and ties need no rule; an empty table gives an empty result; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ The threshold lies STEPS standard deviations of the trusted documents' scores un
 deviation are over all trusted documents, each score shrunk towards 0 as if it had SHRINK more n-grams.
 
 Defined cases: a null text has no words; the empty text, or one of white space alone, has n_words 0 and fails the base
-rules; where no document is trusted all ratios are 0 and only the base rules decide; extra columns are left out.
+rules; where no document is trusted all ratios are 0 and only the base rules decide; a score equal to the threshold is kept;
+repeated rows are counted and judged each; an id that is trusted is so in all rows that have it, a null id never; texts of any
+length are read whole; an empty table gives an empty result; extra columns are left out, whatever their names (``accepted``
+passes all columns on).
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import pytest
 
 from lakeweave.llm import line_dedup
 
@@ -14,21 +17,24 @@ def distance_within_one(a, b):
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def brute(rows):
-    """The (id, line) that go."""
+def brute(rows, least=1):
+    """The (row, line) that go; rows are (id, text), told apart by their number."""
     lines = []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for n, (i, t) in sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[0])):
         for k, line in enumerate(t.split("\n") if t is not None else []):
             w = "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in line.lower()).split(" ")
-            lines.append((i, k, [x for x in w if x]))
+            lines.append((n, k, [x for x in w if x]))
     gone = set()
-    for at, (i, k, w) in enumerate(lines):
-        for j, m, v in lines[:at]:
-            if (j, m) != (i, k) and len(w) >= 5 and (w == v or (min(len(w), len(v)) >= 8 and distance_within_one(w, v))):
-                gone.add((i, k))
+    for at, (n, k, w) in enumerate(lines):
+        if len(w) >= least and any(w == v or (min(len(w), len(v)) >= 8 and distance_within_one(w, v)) for _, _, v in lines[:at]):
+            gone.add((n, k))
     return gone
 
 
+def without(rows, gone):
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (n, k) not in gone)) for n, (i, t) in enumerate(rows)]
+
+
 def test_edit_distance_by_brute_force():
     assert distance_within_one([1, 2, 3], [1, 3]) and distance_within_one([1, 2, 3], [1, 9, 3]) and distance_within_one([1], [1])
     assert not distance_within_one([1, 2, 3], [2, 3, 1]) and not distance_within_one([1, 2], [1, 2, 3, 4])
@@ -52,20 +58,24 @@ def table():
     return rows
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 5])
+def test_lines_equal_brute_force(spark, least):
     rows = table()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {(x._id, x._line) for x in line_dedup.decided(docs).collect()} == brute(rows)
+    ids = [i for i, _ in rows]
+    assert {(x._id, x._line) for x in line_dedup.decided(docs, least=least).collect()} == {(ids[n], k) for n, k in brute(rows, least)}
 
 
 def test_odd_rows(spark):
     rows = [x[:2] for x in odd.rows()]
-    docs = odd.documents(spark)
-    gone = brute(rows)
-    assert {(x._id, x._line) for x in line_dedup.decided(docs).collect()} == gone
+    docs = odd.documents(spark)  # null and repeated ids
     out = line_dedup.line_dedup(docs)
     assert out.columns == docs.columns
-    got = {(x.doc_id, x.text) for x in out.collect()}
-    want = {(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows}
-    assert got == want
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter(without(rows, brute(rows)))
     assert line_dedup.line_dedup(odd.empty(spark)).count() == 0
+
+
+def test_documents_without_ids_keep_their_own_lines(spark):
+    rows = [(None, "a b\nc d\ne f"), (None, "a b\nother line\nlast of all"), (None, "x\nc d\nunique")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.text for x in out.collect()) == sorted(t for _, t in without(rows, brute(rows)))

@@ -123,6 +123,29 @@ def test_lm_base_equals_brute_force(spark, most):
     assert one.train_tokens == 0 and one.n_known == 0 and one.base_score == 0
 
 
+def test_lm_scores_are_near_a_plain_model(spark):
+    """Counts by their levels' means in plain dictionaries; the filter may only answer too high, and seldom does."""
+    import numpy as np
+
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(1))}" for _ in range(r.randint(0, 60)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = Counter(), Counter()
+    for _, t in rows[:200]:
+        own = [None, *words(lower(t)), None]
+        one.update(own[1:])
+        two.update(zip(own, own[1:]))
+    n, v = sum(one.values()), len(one)
+    seen = lambda c: float(lm_score.MEANS[lm_score.level(np.array([c]))[0]]) if c else 0.0
+    worse, total = 0.0, 0
+    for x in lm_score.score(docs, docs.filter("doc_id < 200")).collect():
+        own = [None, *words(lower(rows[x.doc_id][1])), None]
+        p = [lm_score.WEIGHT * min(1.0, seen(two[a, b]) / max(seen(one[a]), 1.0)) + (1 - lm_score.WEIGHT) * min(1.0, (seen(one[b]) + 1) / (n + v + 1)) for a, b in zip(own, own[1:])]
+        worse += abs(x.score - sum(map(math.log10, p)))
+        total += len(p)
+    assert worse < 0.1 * total
+
+
 def test_lm_is_better_than_its_base_on_held_out_texts(spark):
     r = random.Random(2)
     follow = {i: [r.randrange(400) for _ in range(3)] for i in range(400)}
@@ -167,6 +190,56 @@ def test_exponent_meets_its_targets(spark):
     assert mixing.exponent(shares.limit(1)) == 1.0
 
 
+def brute_plan(rows, hashes, budget=None):
+    """(id, epoch): block, by the definition; ``hashes`` has the random number of each (epoch, id)."""
+    total = Counter()
+    for _, source, n in rows:
+        total[source] += n
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    low, high = min(share.values()), max(share.values())
+
+    def entropy(a):
+        p = [x**a for x in share.values()]
+        return -sum(x / sum(p) * math.log(x / sum(p)) for x in p)
+
+    def largest(ok):
+        a, b = (1.0, 1.0) if ok(1.0) else (0.0, 1.0)
+        for _ in range(mixing.STEPS // 2):
+            m = (a + b) / 2
+            a, b = (m, b) if ok(m) else (a, m)
+        return a
+
+    a = max(largest(lambda x: entropy(x) >= mixing.ENTROPY * math.log(len(share))), 1 - largest(lambda x: x * math.log(high / low) <= math.log(mixing.MAX_REPEAT)))
+    z = sum(x**a for x in share.values())
+    whole = budget or z * max(x ** (1 - a) for x in share.values()) * sum(total.values())
+    blocks, out = max(1, round(whole / mixing.BLOCK_TOKENS)), {}
+    for source, x in share.items():
+        mine, read, epoch = x**a / z * whole, 0, 0
+        while read < mine - 1e-6:
+            for i, _, n in sorted((r for r in rows if r[1] == source), key=lambda r: hashes[epoch, r[0]]):  # noqa: B023
+                if read < mine - 1e-6:
+                    out[i, epoch] = math.floor(read / mine * blocks)
+                read += n
+            epoch += 1
+    return out
+
+
+@pytest.mark.parametrize("budget", [None, 9_000.0])
+def test_mixing_equals_brute_force(spark, monkeypatch, budget):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 2_000)
+    monkeypatch.setattr(mixing, "CELL", 7)
+    rows = [(i, "big" if i % 10 else f"small{i % 3}", 5 + i * 7 % 50) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    each = docs.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("epoch", "doc_id", F.xxhash64(F.lit(0), F.col("epoch"), F.col("doc_id")))
+    hashes = {(x[0], x[1]): x[2] % (1 << 64) for x in each.collect()}
+    signed = {k: h - (1 << 64) if h >> 63 else h for k, h in hashes.items()}
+    cells = {k: h >> 11 for k, h in hashes.items()}  # cells are cut by the unsigned number, and ordered within by the signed one
+    got = {(x.doc_id, x.epoch): x.block for x in mixing.plan(docs, ["doc_id"], "source", "n", budget=budget).collect()}
+    of, sizes = {i: s for i, s, _ in rows}, Counter(s for _, s, _ in rows)
+    order = {(e, i): (math.floor(cells[e, i] / (1 << 53) * math.ceil(sizes[of[i]] / 7)), signed[e, i]) for e, i in hashes}
+    assert got == brute_plan(rows, order, budget)
+
+
 def test_mixing_has_each_document_and_meets_the_weights(spark):
     rows = [(i, "big" if i % 10 else f"small{i % 3}", 5 + i * 7 % 50) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
@@ -253,11 +326,34 @@ def test_toxicity_on_held_out_documents(spark):
     got = {x.doc_id: x for x in toxicity.severity(docs, labels).collect()}
     held = [x for x in rows if x[0] >= 800]
     assert sum(got[i].toxic == bool(t) for i, _, t in held) >= 0.97 * len(held)
+    m = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    for i, t, _ in rows[::7]:  # plain sums over distinct words
+        n = Counter(f for w in set(words(lower(t))) for f in toxicity.places(w.encode()))
+        x = sum(math.log1p(c) * m.weight.get(f, 0.0) for f, c in n.items())
+        p = [1 / (1 + math.exp(k - x)) for k in m.t]
+        assert abs(got[i].severity - sum(p)) < 1e-9 and abs(got[i].p_toxic - p[0]) < 1e-9
+        grade = [a - b for a, b in zip([1.0, *p], [*p, 0.0], strict=True)]
+        assert grade[got[i].grade] > max(grade) - 1e-9 and got[i].toxic == (p[0] >= 0.5)
     few = [got[i].severity for i, _, t in held if t and 1 + i // 4 % 6 == 1]
     many = [got[i].severity for i, _, t in held if t and 1 + i // 4 % 6 == 6]
     assert sum(few) / len(few) < sum(many) / len(many)
 
 
+def test_toxicity_features_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FLUSH", 50)
+    docs = [(i, t) for i, t, *_ in odd.rows() if i is not None and i < 60]
+    labels = {i: i % 2 for i in range(10, 40)}
+    least = {i: min((t or "").encode() for j, t in docs if j == i) for i in labels}
+    sets = {i: {f for w in toxicity.distinct_words(t) for f in toxicity.places(w)} for i, t in least.items()}
+    bad, fine = (Counter(f for i, own in sets.items() if labels[i] == k for f in own) for k in (1, 0))
+    n = {k: sum(v == k for v in labels.values()) for k in (0, 1)}
+    part = lambda some, whole: math.log((some + 0.5) / (whole - some + 0.5))
+    odds = {f: part(bad[f], n[1]) - part(fine[f], n[0]) for f in {*bad, *fine} if bad[f] + fine[f] >= 2}
+    m = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels.items()], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert set(m.weight) == {f for f, x in odds.items() if abs(x) >= toxicity.ODDS}
+    assert list(m.t) == sorted(m.t) and len(m.t) <= toxicity.GRADES
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 40)], "doc_id long, toxic int")
     assert toxicity.severity(odd.documents(spark), labels).count() == len(odd.rows())

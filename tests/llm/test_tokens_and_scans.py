@@ -1,5 +1,8 @@
+import math
 import random
 import re
+import time
+from collections import Counter
 from hashlib import sha256
 
 import pytest
@@ -44,9 +47,15 @@ def brute_secrets(text):
     return [(kind, s, e) for s, _, kind, e in sorted(out)]
 
 
+OTHERS = {
+    "hub": (r"gh[opsru]_[A-Za-z0-9]+", 40), "chat": (r"xox[abprs]-[A-Za-z0-9-]+", 20), "maps": (r"AIza[A-Za-z0-9_-]+", 39),
+    "web": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), "pem": (r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----", 0),
+}
+
+
 def secret_texts():
     r = random.Random(3)
-    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "\"", "'", " ", ":", "=", "AKIA", "abcdef0123456789", "ABCDEF0123", "deadbeef", "\n", "é", "🙂", "xyz", "A1b2C3d4E5f6", "gh", "ghp_", ".", "-", "eyJ", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----", "AIza"]
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "\"", "'", " ", ":", "=", "AKIA", "abcdef0123456789", "ABCDEF0123", "deadbeef", "\n", "é", "🙂", "xyz", "A1b2C3d4E5f6", "gh", "ghp_", ".", "-", "eyJ", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----", "AIza", "a" * 40]
     return [""] + ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(3000)] + ["token = api_key = " + "Q" * 20, "x" * 300 + "password:" + "z9" * 400 + " " + "0" * 70000]
 
 
@@ -55,8 +64,16 @@ def test_secrets_equal_brute_force():
     for text, spans in zip(texts, secrets.Scanner().batch([t.encode() for t in texts]), strict=True):
         got = [(secrets.KINDS[k], s, e) for s, k, e in spans]
         assert [x for x in got if x[0] in secrets.BASE] == brute_secrets(text), text
-        for kind, pattern in (("hub", r"gh[opsru]_[A-Za-z0-9]+"), ("pem", r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----")):
-            assert [x[1:] for x in got if x[0] == kind] == [m.span() for m in re.finditer(pattern, text) if kind == "pem" or len(m[0]) >= 40], text
+        for kind, (pattern, least) in OTHERS.items():
+            assert [x[1:] for x in got if x[0] == kind] == [m.span() for m in re.finditer(pattern, text) if len(m[0]) >= least], text
+    assert {k for t in secret_texts() for k, (p, n) in OTHERS.items() if any(len(m[0]) >= n for m in re.finditer(p, t))} == set(OTHERS)
+
+
+def test_secrets_of_a_long_line_take_linear_time():
+    for text in (b"eyJ" * 400_000 + b".a.", b"token=" * 200_000, b"gh" * 600_000, b"-----BEGIN " * 100_000, b"0123456789abcdef" * 70_000):
+        began = time.perf_counter()
+        secrets.scanner().batch([text])
+        assert time.perf_counter() - began < 10
 
 
 def test_automaton_is_minimal():
@@ -110,3 +127,29 @@ def test_quality_of_odd_rows(spark):
             assert not (x.kept and x.base_failed)
     assert quality.quality(odd.empty(spark), trusted).count() == 0
     assert quality.quality(docs, trusted.limit(0)).filter("kept = base_failed").count() == 0
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    r = random.Random(8)
+    good, junk = [f"g{i}" for i in range(80)], [f"j{i}" for i in range(80)]
+    rows = [(i, " ".join(r.choice(junk if i % 5 == 0 else good).title() for _ in range(r.randint(15, 90)))) for i in range(200)]
+    trusted = {i for i in range(0, 120) if i % 5}
+    hashes = quality.WordHashes()
+    grams = {i: quality.buckets(t.encode().split(), hashes).tolist() for i, t in rows}
+    for i, t in rows[:5]:  # a bucket for each word and for each pair of neighbours, in lower case
+        w = t.lower().split()
+        assert len(grams[i]) == 2 * len(w) - 1
+    raw, target = Counter(b for g in grams.values() for b in g), Counter(b for i in trusted for b in grams[i])
+    total = lambda c: sum(c.values()) + quality.SMOOTHING * quality.BUCKETS
+    ratio = lambda b: math.log((target[b] + quality.SMOOTHING) / total(target)) - math.log((raw[b] + quality.SMOOTHING) / total(raw))
+    score = {i: sum(map(ratio, g)) / (len(g) + quality.SHRINK) for i, g in grams.items()}
+    failed = {i: (n := brute_quality(t))[0] < 20 or 100 * n[4] > 30 * n[0] for i, t in rows}
+    own = [score[i] for i in trusted if not failed[i]]
+    mean = sum(own) / len(own)
+    least = mean - quality.STEPS * (sum((x - mean) ** 2 for x in own) / len(own)) ** 0.5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.quality(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    assert any(not x.kept and not x.base_failed for x in got)
+    for x in got:
+        assert abs(x.score - score[x.doc_id]) < 1e-9
+        assert x.kept == (not failed[x.doc_id] and score[x.doc_id] >= least)
