@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.operators import ranks
+
 
 def ranked(results: DataFrame, truth: DataFrame, by: str = "qid", item: str = "cid") -> DataFrame:
     """Results (by, item, rank) with rel, hits so far and the size of the truth; queries without results get a row of nulls."""
@@ -103,11 +105,9 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean, from counts of distinct values: no window over all rows."""
-    n = df.groupBy(c).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = n.withColumn("_upto", F.sum("_n").over(w)).select(F.col(c).alias("_c"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, F.col(c) == F.col("_c")).drop("_c")
+    """Ranks with ties at their mean, from counts of distinct values dealt out by ranges."""
+    of = ranks.counted(df, c).select(F.col(c).alias("_c"), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    return df.join(of, F.col(c) == F.col("_c")).drop("_c")
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:

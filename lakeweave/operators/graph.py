@@ -67,15 +67,18 @@ def tune_cap(edges: DataFrame, target: float, high: int = 5000, width: int = 10)
     return (low + high) // 2
 
 
-def farthest_points(points: DataFrame, key: str, features: list[str], n: int) -> list:
-    """Keys of ``n`` anchors: the least key first, then the point that is farthest from all anchors so far (log1p, z-scores)."""
-    stats = points.agg(*[f(F.log1p(c)).alias(f"{k}_{c}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = points.select(key, *[((F.log1p(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(c) for c in features])
-    chosen = [z.orderBy(key).first()]
-    while len(chosen) < n:
-        away = F.least(*[sum(((F.col(f) - F.lit(c[f])) ** 2 for f in features), F.lit(0.0)) for c in chosen], F.lit(float("inf")))
-        row = z.filter(~F.col(key).isin([c[key] for c in chosen])).withColumn("_d", F.round(away, 9)).orderBy(F.col("_d").desc(), key).first()
-        if row is None:
-            break
-        chosen.append(row)
-    return [c[key] for c in chosen]
+def farthest_points(points: DataFrame, key: str, features: list[str], n: int, counts: list[str] = ()) -> list:
+    """Keys of ``n`` anchors: the point nearest the mean first, then the one that is farthest from all anchors so far.
+
+    Features are z-scores (population deviation), those of ``counts`` after log1p. Ties go to the least key. One aggregate an
+    anchor; each point's distance to the nearest anchor is a sum over the few features.
+    """
+    x = points.select(key, *[(F.log1p(c) if c in counts else F.col(c).cast("double")).alias(c) for c in features])
+    stats = x.agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    z = x.select(key, *[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(c) for c in features])
+    away = lambda p: F.round(sum(((F.col(f) - F.lit(p[f])) ** 2 for f in features), F.lit(0.0)), 9)
+    chosen = [z.orderBy(away(dict.fromkeys(features, 0.0)), key).first()]
+    while chosen[-1] is not None and len(chosen) < n:
+        near = F.least(*[away(c) for c in chosen], F.lit(float("inf")))
+        chosen.append(z.filter(~F.col(key).isin([c[key] for c in chosen])).orderBy(near.desc(), key).first())
+    return [c[key] for c in chosen if c is not None]

@@ -62,9 +62,14 @@ def key_column(profile: DataFrame, order: Column, uniqueness: float = 0.8, known
 
 
 def minhash(values: DataFrame, by: list[str], value: str, seeds: int) -> DataFrame:
-    """``seeds`` minima of md5-based hashes of each group's values, summed up before the shuffle."""
-    h = lambda i: F.min(F.conv(F.substring(F.md5(F.concat(F.lit(f"{i}:"), F.col(value)).cast("binary")), 1, 8), 16, 10).cast("long"))
-    return values.groupBy(*by).agg(*[h(i).alias(f"h{i}") for i in range(seeds)])
+    """``seeds`` minima of hashes of each group's values, put together before the shuffle.
+
+    Four hashes are cut from one md5. They are compared as hex digits, whose order is that of the numbers, and become numbers once a group.
+    """
+    digests = [F.md5(F.concat(F.lit(f"{i}:"), F.col(value)).cast("binary")).alias(f"_d{i}") for i in range((seeds + 3) // 4)]
+    least = [F.min(F.substring(f"_d{i // 4}", 8 * (i % 4) + 1, 8)).alias(f"_h{i}") for i in range(seeds)]
+    out = values.select(*by, *digests).groupBy(*by).agg(*least)
+    return out.select(*by, *[F.conv(f"_h{i}", 16, 10).cast("long").alias(f"h{i}") for i in range(seeds)])
 
 
 def multiset_f1(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

@@ -61,11 +61,12 @@ def greedy(gain: np.ndarray, least: float = 0.0) -> list[tuple[int, int]]:
 
 
 def upper_bound(gain: np.ndarray, threshold: float) -> float:
-    """All edges over the threshold, best first, until one side has no free node."""
-    total, rows, cols = 0.0, set(), set()
+    """All edges over the threshold, best first, until one side has no free node of those that have an edge at all."""
+    over = gain > threshold
+    total, rows, cols, wait_rows, wait_cols = 0.0, set(), set(), int(over.any(1).sum()), int(over.any(0).sum())
     for at in np.argsort(-gain.ravel(), kind="stable"):
         i, j = divmod(int(at), gain.shape[1])
-        if gain[i, j] <= threshold or len(rows) == gain.shape[0] or len(cols) == gain.shape[1]:
+        if not over[i, j] or len(rows) == wait_rows or len(cols) == wait_cols:
             break
         total += gain[i, j]
         rows.add(i)
@@ -84,16 +85,22 @@ def matrix_of(pdf: pd.DataFrame) -> tuple[np.ndarray, list, list]:
     return wide.to_numpy(float), list(wide.index), list(wide.columns)
 
 
-def match_tables(edges: DataFrame, threshold: float) -> DataFrame:
-    """edges (ta, tb, a, b, sim) of columns a of table ta and b of tb: bounds and score of each pair of tables."""
+def match_tables(edges: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """edges (ta, tb, a, b, sim) of columns a of table ta and b of tb: bounds and score of each pair of tables.
+
+    ``sizes`` (ta, tb, na, nb) has the tables' numbers of columns, with or without edges. Bounds and ``exact`` count edges of
+    sim > threshold; ``normalised`` is the matching over edges of sim >= threshold by the columns of the smaller table.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows, cols = matrix_of(pdf)
-        s = scores(m, threshold)
-        norm = s["exact"] / min(len(rows), len(cols))
-        return pd.DataFrame([{"ta": pdf.ta.iloc[0], "tb": pdf.tb.iloc[0], **{k: round(v, 6) for k, v in s.items()}, "normalised": round(norm, 6)}])
+        m, _, _ = matrix_of(pdf)
+        whole = np.where(m < threshold, 0.0, m)
+        s = scores(m, threshold) | {"matched": sum(whole[p] for p in assignment(whole))}
+        return pd.DataFrame([{"ta": pdf.ta.iloc[0], "tb": pdf.tb.iloc[0], **{k: round(v, 6) for k, v in s.items()}}])
 
-    return edges.groupBy("ta", "tb").applyInPandas(run, "ta long, tb long, lower double, exact double, upper double, normalised double")
+    out = edges.groupBy("ta", "tb").applyInPandas(run, "ta long, tb long, lower double, exact double, upper double, matched double")
+    norm = F.round(F.coalesce(F.try_divide(F.col("matched"), F.least("na", "nb")), F.lit(0.0)), 6)
+    return sizes.join(out, ["ta", "tb"], "left").fillna(0.0).select("ta", "tb", "lower", "exact", "upper", norm.alias("normalised"))
 
 
 def align_columns(edges: DataFrame, how: str = "optimal", threshold: float = 0.0) -> DataFrame:
@@ -108,15 +115,23 @@ def align_columns(edges: DataFrame, how: str = "optimal", threshold: float = 0.0
     return edges.groupBy("ta", "tb").applyInPandas(run, "ta long, tb long, a long, b long, sim double")
 
 
-def classify_pairs(aligned: DataFrame, sizes: DataFrame, union_ratio: float = 0.6, union_mean: float = 0.6, join_ratio: float = 0.5, key_sim: float = 0.7) -> DataFrame:
-    """union, join or none for each pair of tables, with a confidence: rules on the aligned pairs."""
-    a = aligned.groupBy("ta", "tb").agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.max("sim").alias("best"), F.max_by("a", "sim").alias("key_a"), F.max_by("b", "sim").alias("key_b"))
-    x = sizes.join(a, ["ta", "tb"], "left").fillna(0, ["n", "mean", "best"]).withColumn("ratio", F.col("n") / F.least("na", "nb"))
+def classify_pairs(aligned: DataFrame, sizes: DataFrame, union_ratio: float = 0.6, union_mean: float = 0.6, join_ratio: float = 0.5, key_sim: float = 0.7, floor: float = 0.0) -> DataFrame:
+    """union, join or none for each pair of tables (ta the query, of na columns), with a confidence: rules on the aligned pairs.
+
+    Pairs of sim >= ``floor`` count as matched: their share of the query's columns, and their mean. The best of all pairs,
+    matched or not, is the key of a join (of equal ones that of the least column).
+    """
+    over = F.col("sim") >= floor
+    best = F.min_by(F.struct("a", "b"), F.struct(-F.col("sim"), F.col("a"), F.col("b")))
+    a = aligned.groupBy("ta", "tb").agg(F.count_if(over).alias("n"), F.avg(F.when(over, F.col("sim"))).alias("mean"), F.max("sim").alias("best"), best.alias("key"))
+    a = a.select("ta", "tb", "n", "mean", "best", F.col("key.a").alias("key_a"), F.col("key.b").alias("key_b"))
+    ratio = F.coalesce(F.try_divide(F.col("n"), F.col("na")), F.lit(0.0))
+    x = sizes.join(a, ["ta", "tb"], "left").fillna(0, ["n", "mean", "best"]).withColumn("ratio", ratio)
     union = (F.col("ratio") >= union_ratio) & (F.col("mean") >= union_mean)
     join = (F.col("ratio") <= join_ratio) & (F.col("best") >= key_sim) & F.col("n").between(1, 3)
     kind = F.when(union, "union").when(join, "join").otherwise("none")
-    conf = F.when(union, F.col("mean")).when(join, F.col("best")).otherwise(1 - F.col("best"))
-    return x.select("ta", "tb", kind.alias("relation"), F.round(conf, 6).alias("confidence"), F.when(kind == "join", F.col("key_a")).alias("key_a"), F.when(kind == "join", F.col("key_b")).alias("key_b"))
+    conf = F.when(union, F.least("ratio", "mean")).when(join, F.col("best")).otherwise(1 - F.col("best"))
+    return x.select("ta", "tb", kind.alias("relation"), F.round(conf, 9).alias("confidence"), F.when(kind == "join", F.col("key_a")).alias("key_a"), F.when(kind == "join", F.col("key_b")).alias("key_b"))
 
 
 def csls(sim: np.ndarray, k: int) -> np.ndarray:

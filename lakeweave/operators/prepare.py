@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.operators import ranks
+
 
 def keyed(seed: str, *keys: str | Column) -> Column:
     """31 bits of md5 of the seed and the keys: the same number in any engine that has md5."""
@@ -37,8 +39,9 @@ def ordinal(df: DataFrame, column: str, fit_on: DataFrame | None = None, unseen:
 
 def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Right-closed quantile bins numbered from 0, or the distinct values themselves if there are fewer than ``bins``."""
-    distinct = [r[0] for r in df.select(column).distinct().orderBy(column).limit(bins).collect()]
-    edges = distinct if len(distinct) < bins else df.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]
+    ranked = ranks.counted(df, column)
+    distinct = [r[0] for r in ranked.select(column).orderBy(column).limit(bins).collect()]
+    edges = distinct if len(distinct) < bins else list(ranks.quantiles(ranked, column, {f"q{i}": i / bins for i in range(1, bins)}).first())
     return df.withColumn("bin", sum(((F.col(column) > F.lit(float(e))).cast("int") for e in (edges[:-1] if len(distinct) < bins else edges)), F.lit(0)))
 
 

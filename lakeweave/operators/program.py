@@ -8,12 +8,16 @@ DataFrame with a row number ``row_idx`` and columns whose values are arrays (a c
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.functions import cleaning as C
+
 #: The types and what each of them also is.
 TYPES = {
     "num_list": ["ordered_list"], "datetime_list": ["ordered_list"], "ordered_list": ["atom_list"], "string_list": ["atom_list"], "atom_list": ["list"], "entity_list": ["list"], "list": [],
@@ -105,10 +109,19 @@ def hop_bag(p, rows, prop):
     return values(rows, prop, bag=True).select("value")
 
 
-def compare(name: str, test: Callable[[Column, Column], Column]):
-    """A row stays if some value of its cell compares true with all of the given values."""
+def _dated(given: DataFrame, prop: str) -> bool:
+    """Whether dates are compared that may lack parts: both sides are texts then."""
+    return _type_of(prop) == "datetime_property" and given.schema["value"].dataType.simpleString() == "string"
+
+
+def compare(name: str, sign: str):
+    """A row stays if some value of its cell compares true with all of the given values. Dates with parts xx are compared by what the given one has."""
+    test = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b}[sign]
 
     def run(p, rows, given, prop):
+        if _dated(given, prop):
+            each = [C.partial_date(F.lit(r.value)) for r in given.distinct().collect()]  # a handful, by the language's nature
+            return rows.filter(F.exists(F.col(f"`{prop}`"), lambda v: functools.reduce(lambda x, y: x & y, (C.date_compare(C.partial_date(v.cast("string")), d, sign) for d in each), F.lit(True))))
         low, high = given.agg(F.min("value"), F.max("value")).first()
         x = [F.lit(v) for v in (low, high) if v is not None]
         return rows.filter(F.exists(F.col(f"`{prop}`"), lambda v: test(v, x[0]) & test(v, x[-1]))) if x else rows
@@ -116,10 +129,28 @@ def compare(name: str, test: Callable[[Column, Column], Column]):
     FUNCTIONS[name] = Function(["entity_list", "ordered_list", "ordered_property"], "entity_list", run)
 
 
-compare("filter_ge", lambda a, b: a >= b)
-compare("filter_greater", lambda a, b: a > b)
-compare("filter_le", lambda a, b: a <= b)
-compare("filter_less", lambda a, b: a < b)
+compare("filter_ge", ">=")
+compare("filter_greater", ">")
+compare("filter_le", "<=")
+compare("filter_less", "<")
+
+
+def select(name: str, first_wins: Callable[[Column, Column], Column]):
+    """Of two rows, in the table's order, the first if its value compares so with the second's, else the second."""
+
+    def run(p, rows, prop):
+        two = rows.select("row_idx", first(prop).alias("v")).orderBy("row_idx").limit(3).collect()
+        if len(two) != 2:
+            raise ValueError(f"{name} takes two rows")
+        pair = rows.agg(F.min(F.struct("row_idx", first(prop).alias("v"))).alias("x"), F.max(F.struct("row_idx", first(prop).alias("v"))).alias("y"))
+        won = pair.select(F.when(first_wins(F.col("x.v"), F.col("y.v")), F.col("x.row_idx")).otherwise(F.col("y.row_idx")).alias("row_idx"))
+        return rows.join(won, "row_idx", "left_semi")
+
+    FUNCTIONS[name] = Function(["entity_list", "ordered_property"], "entity_list", run)
+
+
+select("select_ge", lambda a, b: a >= b)
+select("select_less", lambda a, b: a < b)
 
 
 def _equal(rows, given, prop):
@@ -226,11 +257,11 @@ def mode(p, rows, prop):
 
 @function("same", ["entity_list", "property"], "entity_list")
 def same(p, rows, prop):
-    """The other rows of the table whose value is that of the one given row."""
-    row = rows.select("row_idx", first(prop).alias("v")).limit(2).collect()
+    """The other rows of the table whose set of values is that of the one given row."""
+    row = rows.select("row_idx").limit(2).collect()
     if len(row) != 1:
         raise ValueError("same takes one row")
-    return p.table.filter((first(prop) == F.lit(row[0].v)) & (F.col("row_idx") != row[0].row_idx))
+    return p.table.filter(_equal(p.table, _given(values(rows, prop).select("value")), prop) & (F.col("row_idx") != row[0].row_idx))
 
 
 @function("diff", ["entity_list", "entity_list", "num_property"], "num")
@@ -269,6 +300,8 @@ class Program:
         try:
             return Value("num_list", spark.createDataFrame([(float(x),)], "value double"))
         except ValueError:
+            if re.fullmatch(r"'?([0-9]{4}|xx+)-([0-9]{1,2}|xx)-([0-9]{1,2}|xx)'?", x):
+                return Value("datetime_list", spark.createDataFrame([(x.strip("'"),)], "value string"))
             return Value("string_list", spark.createDataFrame([(x.replace("_", " ") if x[:1] != "'" else x.strip("'"),)], "value string"))
 
     def run(self, text: str) -> Value:
@@ -284,6 +317,35 @@ class Program:
         """Variables that nothing uses, without the last one."""
         return set(list(self.names)[:-1]) - self.used
 
+    def valid_tokens(self, began: list[str]) -> list[str]:
+        """What may follow the tokens of an expression that has begun: functions, or variables, rows and properties of the type that is due."""
+        if not began:
+            return ["("]
+        if began[-1] == "(":
+            return sorted(FUNCTIONS)
+        depth, due = 0, []
+        for token in began:
+            if token == "(":
+                depth += 1
+                due.append([None, 0])
+            elif token == ")":
+                due.pop()
+                if due:
+                    due[-1][1] += 1
+            elif due[-1][0] is None:
+                due[-1][0] = token
+            else:
+                due[-1][1] += 1
+        if not due:
+            return []
+        name, given = due[-1]
+        if given == len(FUNCTIONS[name].args):
+            return [")"]
+        want = FUNCTIONS[name].args[given]
+        own = [v for v, x in self.names.items() if want in ancestors(x.kind)]
+        props = [c for c in self.table.columns if c.startswith("r.") and want in ancestors(_type_of(c))]
+        return ["(", *(["all_rows"] if want == "entity_list" else []), *own, *props]
+
     def next_functions(self, kind: str, rows: DataFrame) -> list[str]:
         """Functions that may follow a value of this type: argmax, mode and aggregates only where there is more than one row."""
         many = rows.limit(2).count() > 1

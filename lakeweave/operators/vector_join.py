@@ -94,8 +94,11 @@ def mutual_best(pairs: DataFrame, score: str = "sim") -> DataFrame:
     return left.drop("_l").join(right, ["qid", "cid"])
 
 
-def row_entropy(pairs: DataFrame, by: str = "qid", score: str = "sim") -> DataFrame:
-    """Entropy of the softmax of a row's scores over ln(n); 0 for one score."""
+def row_entropy(pairs: DataFrame, by: str = "qid", score: str = "sim", z_scores: bool = False) -> DataFrame:
+    """Entropy of the softmax of a row's scores (of their z-scores if asked) over ln(n); 0 for one score."""
+    if z_scores:
+        m = pairs.groupBy(by).agg(F.avg(score).alias("_a"), F.stddev_pop(score).alias("_d"))
+        pairs = pairs.join(m, by).withColumn(score, (F.col(score) - F.col("_a")) / F.when(F.col("_d") < 1e-12, F.lit(1.0)).otherwise(F.col("_d"))).drop("_a", "_d")
     high = pairs.groupBy(by).agg(F.max(score).alias("_m"))
     e = pairs.join(high, by).withColumn("_e", F.exp(F.col(score) - F.col("_m"))).withColumn("_x", F.col(score) - F.col("_m"))
     s = e.groupBy(by).agg(F.sum("_e").alias("z"), F.sum(F.col("_e") * F.col("_x")).alias("y"), F.count("*").alias("n"))
@@ -103,15 +106,27 @@ def row_entropy(pairs: DataFrame, by: str = "qid", score: str = "sim") -> DataFr
 
 
 def axis_diagnostics(pairs: DataFrame, by: str = "qid", other: str = "cid", score: str = "sim") -> DataFrame:
-    """Per row: best partner, z-score of its score (population deviation), margin to the second over the deviation."""
+    """Per row: best partner, z-score of its score (population deviation), margin to the second over the deviation (infinite for one score)."""
     w = Window.partitionBy(by).orderBy(F.col(score).desc(), other)
     r = pairs.withColumn("_r", F.row_number().over(w))
     a = r.groupBy(by).agg(
         F.max(F.when(F.col("_r") == 1, F.col(other))).alias("best"), F.max(F.when(F.col("_r") == 1, F.col(score))).alias("s1"), F.max(F.when(F.col("_r") == 2, F.col(score))).alias("s2"),
-        F.avg(score).alias("m"), F.stddev_pop(score).alias("d"),
+        F.avg(score).alias("m"), F.stddev_pop(score).alias("d"), F.count("*").alias("n"),
     )
     z = lambda c: F.when(F.col("d") == 0, F.lit(0.0)).otherwise(F.round(c / F.col("d"), 6))
-    return a.select(by, "best", z(F.col("s1") - F.col("m")).alias("z"), z(F.col("s1") - F.col("s2")).alias("margin"))
+    return a.select(by, "best", z(F.col("s1") - F.col("m")).alias("z"), F.when(F.col("n") == 1, F.lit(float("inf"))).otherwise(z(F.col("s1") - F.col("s2"))).alias("margin"))
+
+
+def accepted(pairs: DataFrame, score: str = "sim", least_score: float | None = None, least_z: float = 0.0, least_margin: float = 0.0, most_entropy: float = 1.0, z_scores: bool = False) -> DataFrame:
+    """Mutual best pairs that are sure from both sides: score, best z-score, margin and entropy of the row and of the column."""
+    out = mutual_best(pairs, score)
+    if least_score is not None:
+        out = out.filter(F.col(score) >= least_score)
+    for by, other in (("qid", "cid"), ("cid", "qid")):
+        sure = axis_diagnostics(pairs, by, other, score).filter((F.col("z") >= least_z) & (F.col("margin") >= least_margin)).select(by)
+        sharp = row_entropy(pairs, by, score, z_scores).filter(F.col("entropy") <= most_entropy).select(by)
+        out = out.join(sure, by, "left_semi").join(sharp, by, "left_semi")
+    return out
 
 
 def lsh_candidates(df: DataFrame, planes: list[list[list[float]]], least: int = 2) -> DataFrame:

@@ -70,12 +70,13 @@ def stage_gaps(t):
     return w.select("model", F.round("F", 4).alias("plain"), F.round(F.col("O") - F.col("F"), 4).alias("gap_1"), F.round(F.col("P") - F.col("O"), 4).alias("gap_2"))
 
 
-@query("""WITH g AS (SELECT item_id, unnest(list_transform(range(1, length(text) - 2), lambda i: lower(substr(text, i, 3)))) AS w FROM benchmark WHERE item_id < 20), p AS (SELECT item_id, w, count(*) AS tf FROM g GROUP BY ALL),
+@query("""WITH g AS (SELECT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(substr(text, i, 3)))) AS w FROM benchmark WHERE length(text) >= 3), p AS (SELECT item_id, w, count(*) AS tf FROM g GROUP BY ALL),
 d AS (SELECT w, count(*) AS df FROM p GROUP BY w), n AS (SELECT count(DISTINCT item_id) AS n FROM p), x AS (SELECT item_id, p.w, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM p JOIN d USING (w), n)
 SELECT item_id, count(*) AS grams, round(sqrt(sum(x * x)), 6) AS length FROM x GROUP BY item_id""")
 def character_tfidf(t):
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 3), lambda i: F.lower(F.substring(F.col("text"), i, F.lit(3))))
-    p = t("benchmark").filter("item_id < 20").select("item_id", F.explode(grams).alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("tf"))
+    """Runs of three characters; texts of under three have none."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.lower(F.substring(F.col("text"), i, F.lit(3))))
+    p = t("benchmark").filter("length(text) >= 3").select("item_id", F.explode(grams).alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("tf"))
     n = p.select("item_id").distinct().count()
     x = p.join(p.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     return x.groupBy("item_id").agg(F.count("*").alias("grams"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("length"))
@@ -96,9 +97,9 @@ def entity_rank(t):
     return s.orderBy(F.col("score").desc(), "e").limit(10)
 
 
-@query("""WITH b AS (SELECT l_suppkey % 6 AS h, l_partkey AS v FROM lineitem WHERE l_orderkey < 3000), x AS (SELECT DISTINCT h, v FROM b), c AS (SELECT p.h AS q, r.h AS c, count(*) AS s FROM x p JOIN x r ON p.v = r.v AND p.h <> r.h GROUP BY ALL)
+@query("""WITH b AS (SELECT l_suppkey % 6 AS h, l_partkey AS v FROM lineitem), x AS (SELECT DISTINCT h, v FROM b), c AS (SELECT p.h AS q, r.h AS c, count(*) AS s FROM x p JOIN x r ON p.v = r.v AND p.h <> r.h GROUP BY ALL)
 SELECT q, c, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM c QUALIFY rank <= 3""")
 def header_rank(t):
-    x = t("lineitem").filter("l_orderkey < 3000").select((F.col("l_suppkey") % 6).alias("h"), F.col("l_partkey").alias("v")).distinct()
+    x = t("lineitem").select((F.col("l_suppkey") % 6).alias("h"), F.col("l_partkey").alias("v")).distinct()
     c = x.withColumnRenamed("h", "q").join(x.withColumnRenamed("h", "c"), "v").filter("q <> c").groupBy("q", "c").agg(F.count("*").alias("s"))
     return L.top_k(c, ["q"], 3, F.col("s").desc(), F.col("c")).withColumn("rank", F.col("rank").cast("long"))

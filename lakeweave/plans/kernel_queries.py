@@ -25,9 +25,16 @@ def edges(t, least=-2.0):
     return p.filter(F.col("sim") >= least)
 
 
+def table_sizes(t):
+    """(ta, tb, na, nb): the pairs of tables that have both, and their numbers of columns."""
+    n = t("embeddings").filter("embedding IS NOT NULL").groupBy(F.floor(F.col("vec_id") / 8).alias("tab")).agg(F.count("*").alias("n"))
+    a = n.filter("tab % 2 = 0").select(F.col("tab").alias("ta"), (F.col("tab") + 1).alias("tb"), F.col("n").alias("na"))
+    return a.join(n.select(F.col("tab").alias("tb"), F.col("n").alias("nb")), "tb").select("ta", "tb", "na", "nb")
+
+
 @query()
 def assignment_score(t):
-    return M.match_tables(edges(t), 0.1)
+    return M.match_tables(edges(t), table_sizes(t), 0.1)
 
 
 @query()
@@ -42,8 +49,25 @@ def greedy_match(t):
 
 @query()
 def classify_table_pairs(t):
-    sizes = edges(t).groupBy("ta", "tb").agg(F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
-    return M.classify_pairs(M.align_columns(edges(t), threshold=0.15), sizes, 0.6, 0.2, 0.5, 0.2)
+    return M.classify_pairs(M.align_columns(edges(t), threshold=0.15), table_sizes(t), 0.6, 0.2, 0.5, 0.2, 0.15)
+
+
+_EDGES_SQL = f"""{E_SQL}, p AS MATERIALIZED (SELECT a.id // 8 AS ta, b.id // 8 AS tb, a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS sim
+  FROM e a JOIN e b ON a.id // 8 % 2 = 0 AND b.id // 8 = a.id // 8 + 1),
+n AS (SELECT x.id // 8 AS ta, count(*) AS na FROM e x GROUP BY 1), z AS (SELECT x.ta, y.ta AS tb, x.na, y.na AS nb FROM n x JOIN n y ON x.ta % 2 = 0 AND y.ta = x.ta + 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r, row_number() OVER (PARTITION BY b ORDER BY sim DESC, a) AS s FROM p),
+g AS (SELECT ta, tb, count(*) FILTER (sim >= 0.15) AS n, avg(sim) FILTER (sim >= 0.15) AS mean, max(sim) AS best, arg_min({{{{'a': a, 'b': b}}}}, {{{{'s': -sim, 'a': a, 'b': b}}}}) AS k FROM m WHERE r = 1 AND s = 1 GROUP BY ta, tb),
+x AS (SELECT z.ta, z.tb, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, coalesce(best, 0) AS best, k, coalesce(n, 0) / na AS ratio FROM z LEFT JOIN g USING (ta, tb)),
+c AS (SELECT *, CASE WHEN ratio >= 0.4 AND mean >= 0.15 THEN 'union' WHEN ratio <= 0.3 AND best >= 0.2 AND n BETWEEN 1 AND 3 THEN 'join' ELSE 'none' END AS relation FROM x)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH {_EDGES_SQL} SELECT ta, tb, relation, round(CASE relation WHEN 'union' THEN least(ratio, mean) WHEN 'join' THEN best ELSE 1 - best END, 9) AS confidence,
+CASE WHEN relation = 'join' THEN k.a END AS key_a, CASE WHEN relation = 'join' THEN k.b END AS key_b FROM c""")
+def classify_mutual_pairs(t):
+    """The rules on an alignment by mutual best columns."""
+    pairs = edges(t)
+    best = J.mutual_best(pairs.withColumnsRenamed({"a": "qid", "b": "cid"})).withColumnsRenamed({"qid": "a", "cid": "b"})
+    return M.classify_pairs(best, table_sizes(t), 0.4, 0.15, 0.3, 0.2, 0.15)
 
 
 @query()
@@ -80,7 +104,7 @@ def capped_components(t):
 @query()
 def anchor_select(t):
     p = t("part").groupBy("p_brand").agg(F.count("*").alias("rows"), F.avg("p_size").alias("size"), F.avg("p_retailprice").alias("price"))
-    keys = G.farthest_points(p, "p_brand", ["rows", "size", "price"], 5)
+    keys = G.farthest_points(p, "p_brand", ["rows", "size", "price"], 5, ["rows"])
     return p.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], "n int, p_brand string")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import cleaning as C
 from lakeweave.operators import lake as L
+from lakeweave.operators import ranks
 
 from .registry import query
 
@@ -160,19 +161,23 @@ _NUM = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_dis
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS col, count({c}) AS n, count(DISTINCT {c}) AS n_distinct, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS deviation, min({c}) AS low, max({c}) AS high,
 round(quantile_cont({c}, 0.1), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS q5, round(quantile_cont({c}, 0.9), 4) AS q9 FROM lineitem""" for c in _NUM))
 def numeric_sketch(t):
-    """Exact quantiles by counts of distinct values: percentile keeps a value and its count, not all rows."""
+    """Counts of distinct values, dealt out by ranges, give all numbers: no task has all values of a column."""
     x = t("lineitem").select(*_NUM).unpivot([], list(_NUM), "col", "x")
-    q = lambda p: F.round(F.percentile("x", F.lit(p)), 4)
-    return x.groupBy("col").agg(
-        F.count("x").alias("n"), F.countDistinct("x").alias("n_distinct"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("deviation"),
-        F.min("x").alias("low"), F.max("x").alias("high"), q(0.1).alias("q1"), q(0.5).alias("q5"), q(0.9).alias("q9"),
+    r = ranks.counted(x, "x", ["col"])
+    n, v = F.sum("n"), F.col("x")
+    mean = r.groupBy("col").agg((F.sum(F.col("n") * v) / n).alias("m"))
+    about = r.join(mean, "col").groupBy("col").agg(
+        n.cast("long").alias("n"), F.count("*").alias("n_distinct"), F.round(F.max("m"), 4).alias("mean"),
+        F.round(F.sqrt(F.sum(F.col("n") * (v - F.col("m")) ** 2) / n), 4).alias("deviation"), F.min("x").alias("low"), F.max("x").alias("high"),
     )
+    q = ranks.quantiles(r, "x", {"q1": 0.1, "q5": 0.5, "q9": 0.9}, ["col"])
+    return about.join(q.select("col", *[F.round(c, 4).alias(c) for c in ("q1", "q5", "q9")]), "col")
 
 
-_H = "min(('0x' || substr(md5('{i}:' || w), 1, 8))::BIGINT) AS h{i}"
+_H = "min(('0x' || substr(md5('{j}:' || w), {k}, 8))::BIGINT) AS h{i}"
 
 
-@query(f"WITH d AS (SELECT * FROM ({_TOKENS.format(id='doc_id', c='text', t='documents')}) WHERE w <> '') SELECT id AS doc_id, {', '.join(_H.format(i=i) for i in range(8))} FROM d GROUP BY id")
+@query(f"WITH d AS (SELECT * FROM ({_TOKENS.format(id='doc_id', c='text', t='documents')}) WHERE w <> '') SELECT id AS doc_id, {', '.join(_H.format(i=i, j=i // 4, k=8 * (i % 4) + 1) for i in range(8))} FROM d GROUP BY id")
 def minhash_signature(t):
     words = t("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).filter("w <> ''")
     return L.minhash(words, ["doc_id"], "w", 8)

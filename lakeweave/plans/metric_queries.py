@@ -9,7 +9,7 @@ from lakeweave.functions import metrics as M
 from .registry import query
 from .vector_queries import TOP_SQL, top
 
-RANKED_SQL = f"""{TOP_SQL}, gt AS (SELECT a.id AS qid, b.id AS cid FROM e a JOIN e b ON a.label + 1 = b.label AND b.id % 7 = 0 WHERE a.id < 50),
+RANKED_SQL = f"""{TOP_SQL}, gt AS (SELECT a.id AS qid, b.id AS cid FROM e a JOIN e b ON a.label + 1 = b.label AND b.id % 7 = 0 WHERE a.id % 50 = 0),
 n AS (SELECT qid, count(*) AS n_gt FROM gt GROUP BY qid),
 r0 AS (SELECT t.qid, t.cid, t.rank, CASE WHEN gt.qid IS NULL THEN 0 ELSE 1 END AS rel FROM top t LEFT JOIN gt ON gt.qid = t.qid AND gt.cid = t.cid),
 r1 AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS hits, count(*) OVER (PARTITION BY qid) AS n_results FROM r0),
@@ -19,7 +19,7 @@ r AS (SELECT n.qid, n_gt, cid, rank, rel, hits, n_results FROM n LEFT JOIN r1 US
 def ranked(t):
     """Vectors of the next label whose id is a multiple of 7 are the truth."""
     e = t("embeddings")
-    q = e.filter("vec_id < 50").select(F.col("vec_id").alias("qid"), (F.col("label") + 1).alias("l"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), (F.col("label") + 1).alias("l"))
     gt = q.join(e.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("cid"), F.col("label").alias("l")), "l")
     return M.ranked(top(t), gt)
 
@@ -57,10 +57,10 @@ def recall_mrr_ndcg(t):
     return M.first_hit(ranked(t), [1, 10])
 
 
-@query(f"""WITH {TOP_SQL}, n AS (SELECT count(*) AS n FROM e WHERE id < 50), p2 AS (SELECT qid, cid, cgroup - qgroup = 1 AS rel, row_number() OVER (ORDER BY sim DESC, qid, cid) AS r FROM top)
+@query(f"""WITH {TOP_SQL}, n AS (SELECT count(*) AS n FROM e WHERE id % 50 = 0), p2 AS (SELECT qid, cid, cgroup - qgroup = 1 AS rel, row_number() OVER (ORDER BY sim DESC, qid, cid) AS r FROM top)
 SELECT count(*) AS n_gt, count(*) FILTER (rel) AS hits, round(count(*) FILTER (rel) / count(*), 6) AS recall FROM p2, n WHERE r <= n""")
 def recall_at_gt(t):
-    n = t("embeddings").filter("vec_id < 50").count()
+    n = t("embeddings").filter("vec_id % 50 = 0").count()
     best = top(t).orderBy(F.col("sim").desc(), "qid", "cid").limit(n)
     rel = F.count_if(F.col("cgroup") - F.col("qgroup") == 1)
     return best.agg(F.count("*").alias("n_gt"), rel.alias("hits"), F.round(rel / F.count("*"), 6).alias("recall"))

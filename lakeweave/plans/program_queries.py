@@ -9,6 +9,7 @@ from lakeweave.operators import program as P
 
 from .registry import query
 
+ORDERS = {"r.priority-string": ("o_orderpriority", "string"), "r.placed-date": ("day", "string")}
 PROPS = {"r.name-string": ("p_name", "string"), "r.brand-string": ("p_brand", "string"), "r.type-string": ("p_type", "string"), "r.size-number": ("p_size", "double"), "r.price-number": ("p_retailprice", "double")}
 
 
@@ -46,6 +47,35 @@ _program("prog_sum", "( sum all_rows r.size-number )", "SELECT coalesce(sum(p_si
 _program("prog_average", "( average all_rows r.size-number )", "SELECT avg(p_size) AS value FROM part", "values")
 _program("prog_same", "( first all_rows )\n( same v0 r.brand-string )", "SELECT p_partkey FROM part WHERE p_brand = (SELECT arg_min(p_brand, p_partkey) FROM part) AND p_partkey <> (SELECT min(p_partkey) FROM part)")
 _program("prog_diff", "( first all_rows )\n( last all_rows )\n( diff v0 v1 r.size-number )", "SELECT abs((SELECT arg_min(p_size, p_partkey) FROM part) - (SELECT arg_max(p_size, p_partkey) FROM part))::DOUBLE AS value", "values")
+
+
+def _select(name, sign):
+    @query(
+        f"""WITH t AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_partkey IN (11, 17)), x AS (SELECT arg_min(s, k) AS a, arg_max(s, k) AS b, min(k) AS i, max(k) AS j FROM t)
+        SELECT CASE WHEN a {sign} b THEN i ELSE j END AS p_partkey FROM x""",
+        name=f"prog_{name}",
+    )
+    def run(t):
+        p = P.Program(part(t))
+        p.names["two"] = P.Value("entity_list", p.table.filter("row_idx in (11, 17)"))
+        return p.run(f"( {name} two r.size-number )").data.select(F.col("row_idx").alias("p_partkey"))
+
+
+_select("select_ge", ">=")
+_select("select_less", "<")
+
+
+def _dates(name, function, given, sql):
+    @query(f"SELECT o_orderkey FROM orders WHERE {sql}", name=f"prog_date_{name}")
+    def run(t):
+        rows = P.table_of(t("orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")), "o_orderkey", ORDERS)
+        return P.Program(rows).run(f"( {function} all_rows '{given}' r.placed-date )").data.select(F.col("row_idx").alias("o_orderkey"))
+
+
+_dates("month", "filter_ge", "xx-06-xx", "month(o_orderdate) >= 6")
+_dates("year", "filter_less", "1997-xx-xx", "year(o_orderdate) < 1997")
+_dates("day", "filter_greater", "1997-06-15", "365 * year(o_orderdate) + 30 * month(o_orderdate) + day(o_orderdate) > 365 * 1997 + 30 * 6 + 15")
+
 _program(
     "prog_chain_filter_argmax_hop", "( filter_ge all_rows 40 r.size-number )\n( argmax v0 r.price-number )\n( hop v1 r.name-string )",
     "WITH f AS (SELECT * FROM part WHERE p_size >= 40) SELECT DISTINCT p_name AS value FROM f WHERE p_retailprice = (SELECT max(p_retailprice) FROM f)", "values",

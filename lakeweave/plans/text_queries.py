@@ -16,9 +16,9 @@ from .prepare_queries import _POST, md5_sql
 from .registry import query
 
 
-@query("SELECT c_custkey, 'c_name: ' || substr(c_name, 1, 12) || ' | c_mktsegment: ' || substr(c_mktsegment, 1, 12) || ' | c_nationkey: ' || substr(c_nationkey::VARCHAR, 1, 12) AS text FROM customer")
+@query("SELECT c_custkey, 'c_name: ' || substr(c_name, 1, 100) || ' | c_mktsegment: ' || substr(c_mktsegment, 1, 100) || ' | c_nationkey: ' || substr(c_nationkey::VARCHAR, 1, 100) AS text FROM customer")
 def row_serialise(t):
-    return t("customer").select("c_custkey", S.row_text(["c_name", "c_mktsegment", "c_nationkey"], 12).alias("text"))
+    return t("customer").select("c_custkey", S.row_text(["c_name", "c_mktsegment", "c_nationkey"]).alias("text"))
 
 
 @query("SELECT n_regionkey, 'n_nationkey | n_name . ' || string_agg(n_nationkey || ' | ' || n_name, ' . ' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
@@ -111,10 +111,10 @@ def split_leakage(t):
     return s.filter("half = 0").select("l_partkey").intersect(s.filter("half = 1").select("l_partkey")).agg(F.count("*").alias("overlap"))
 
 
-@query("""WITH d AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS c FROM lineitem WHERE l_orderkey < 200), n AS (SELECT k FROM d GROUP BY k HAVING count(*) >= 2)
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS c FROM lineitem), n AS (SELECT k FROM d GROUP BY k HAVING count(*) >= 2)
 SELECT a.k, a.c AS c1, b.c AS c2 FROM d a JOIN d b ON a.k = b.k AND a.c < b.c WHERE a.k IN (SELECT k FROM n)""")
 def annotated_column_pairs(t):
-    d = t("lineitem").filter("l_orderkey < 200").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("c")).distinct()
+    d = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("c")).distinct()
     return d.withColumnRenamed("c", "c1").join(d.withColumnRenamed("c", "c2"), "k").filter("c1 < c2").select("k", "c1", "c2")
 
 
@@ -129,12 +129,12 @@ def ground_truth_alignment(t):
     return x.join(y, ["t", "p"]).select("t", "p", "left_pos", "right_pos")
 
 
-@query("""WITH v AS (SELECT 'o' || l_orderkey % 40 AS t, l_partkey AS v FROM lineitem WHERE l_orderkey < 2000), s AS (SELECT DISTINCT t, v FROM v), n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+@query("""WITH v AS (SELECT 'o' || l_orderkey % 400 AS t, l_partkey AS v FROM lineitem), s AS (SELECT DISTINCT t, v FROM v), n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
 o AS (SELECT a.t AS q, b.t AS c, count(*) / max(n) AS o FROM s a JOIN s b ON a.v = b.v AND a.t <> b.t JOIN n ON n.t = a.t GROUP BY ALL)
 SELECT q, count(*) FILTER (o < 0.15) AS hard, count(*) FILTER (o >= 0.15) AS easy FROM o GROUP BY q HAVING count(*) FILTER (o < 0.15) >= 5""")
 def hard_positive_filter(t):
     """Queries with five hard positives (overlap under .15) or more; easy ones are counted apart."""
-    s = t("lineitem").filter("l_orderkey < 2000").select(F.concat(F.lit("o"), F.col("l_orderkey") % 40).alias("t"), F.col("l_partkey").alias("v")).distinct()
+    s = t("lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey") % 400).alias("t"), F.col("l_partkey").alias("v")).distinct()
     n = s.groupBy(F.col("t").alias("q")).agg(F.count("*").alias("n"))
     o = s.withColumnRenamed("t", "q").join(s.withColumnRenamed("t", "c"), "v").filter("q <> c").groupBy("q", "c").agg(F.count("*").alias("x")).join(n, "q").withColumn("o", F.col("x") / F.col("n"))
     return o.groupBy("q").agg(F.count_if(F.col("o") < 0.15).alias("hard"), F.count_if(F.col("o") >= 0.15).alias("easy")).filter("hard >= 5")
@@ -182,12 +182,12 @@ def graded_dcg(t):
     return r.groupBy(F.col("c_nationkey").alias("q")).agg(F.round(F.sum(F.col("gain") / F.log2(F.col("rank") + 1)), 6).alias("dcg"), F.round(F.sum(one), 6).alias("dcg_first"), F.round(F.avg((F.col("gain") > 0).cast("int")), 6).alias("p10"))
 
 
-@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:4]::DOUBLE[], lambda x: exp(x)) AS e, label % 4 AS y FROM embeddings), q AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, y FROM p)
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x)) AS e, label AS y FROM embeddings), q AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, y FROM p)
 SELECT round(avg((list_position(p, list_max(p)) - 1 = y)::INT), 6) AS accuracy, round(avg(list_max(p)), 6) AS confidence FROM q""")
 def softmax_accuracy(t):
-    e = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 4), lambda x: F.exp(x))
+    e = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.exp(x))
     z = F.aggregate(F.col("e"), F.lit(0.0), lambda s, x: s + x)
-    q = t("embeddings").select(e.alias("e"), (F.col("label") % 4).alias("y")).select(F.transform("e", lambda x: x / z).alias("p"), "y")
+    q = t("embeddings").select(e.alias("e"), F.col("label").alias("y")).select(F.transform("e", lambda x: x / z).alias("p"), "y")
     hit = (F.array_position("p", F.array_max("p")) - 1 == F.col("y")).cast("int")
     return q.agg(F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(F.array_max("p")), 6).alias("confidence"))
 
@@ -232,9 +232,9 @@ def quality_assertions(t):
     return L.union_all([n("orders without customer", lost), n("vectors of another size", t("embeddings").filter("size(embedding) <> 64")), n("negative quantity", t("lineitem").filter("l_quantity < 0"))])
 
 
-@query("""SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 20), ' | ' ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def grouped_linearise(t):
-    x = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 20)).alias("t"))
+    x = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("t"))
     g = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(x)).alias("r"), F.count("*").alias("turns"))
     return g.select("conv_id", F.array_join(F.transform("r", lambda y: y["t"]), " | ").alias("text"), "turns")
 

@@ -12,16 +12,17 @@ from lakeweave.operators import vector_join as J
 from .registry import query
 
 E_SQL = "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
-PAIRS_SQL = f"""{E_SQL}, p AS (
+PAIRS_SQL = f"""{E_SQL}, p AS MATERIALIZED (
   SELECT a.id AS qid, a.label AS qgroup, b.id AS cid, b.label AS cgroup, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS sim
-  FROM e a JOIN e b ON a.label <> b.label WHERE a.id < 50)"""
+  FROM e a JOIN e b ON a.label <> b.label WHERE a.id % 50 = 0)"""
 TOP_SQL = f"""{PAIRS_SQL}, top AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS rank FROM p QUALIFY rank <= 30)"""
 
 
 def sides(t, few=True):
+    """Queries and lake. The stated queries are the ids divisible by 50."""
     e = t("embeddings")
-    q = e.filter("vec_id < 50") if few else e
+    q = e.filter("vec_id % 50 = 0") if few else e
     return q.select(F.col("vec_id").alias("qid"), F.col("label").alias("qgroup"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("cid"), F.col("label").alias("cgroup"), F.col("embedding").alias("v"))
 
 
@@ -93,13 +94,13 @@ def table_vector_l2mean(t):
 def _pair(name, how, expr):
     @query(
         f"""WITH {E_SQL} SELECT a.id AS a, b.id AS b, list_transform({expr}, lambda x: round(x, 6) + 0.0) AS v
-        FROM e a JOIN e b ON b.id = a.id + 1 WHERE a.id % 5 = 0""",
+        FROM e a JOIN e b ON b.id = a.id + 1""",
         name=name,
     )
     def run(t):
         e = t("embeddings")
         b = e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("w"))
-        both = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("a"), "embedding").join(b, "a")
+        both = e.select(F.col("vec_id").alias("a"), "embedding").join(b, "a")
         return both.select("a", "b", V.rounded(V.combine(F.col("embedding"), F.col("w"), how, 0.3)).alias("v"))
 
 
@@ -113,19 +114,20 @@ for _name, _how, _x in (
 ):
     _pair(_name, _how, _x)
 
-TWO_SQL = f"""{E_SQL}, p AS (SELECT a.id AS qid, b.id AS cid, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS sim
-  FROM e a JOIN e b ON a.label = 0 AND b.label = 1)"""
+TWO_SQL = f"""{E_SQL}, p AS MATERIALIZED (SELECT a.id AS qid, b.id AS cid, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS sim
+  FROM e a JOIN e b ON a.label % 2 = 0 AND b.label = a.label + 1)"""
 
 
 def two_groups(t):
-    """All pairs of the vectors of two tables: the row-matching operators work on one pair of tables at a time."""
+    """The pairs of the vectors of tables 2n and 2n + 1: the row-matching operators work on pairs of tables."""
     q, c = sides(t, few=False)
-    return J.cosine_join(q.filter("qgroup = 0"), c.filter("cgroup = 1"), threshold=-2.0).select("qid", "cid", "sim")
+    both = q.filter("qgroup % 2 = 0").join(c.select("cid", (F.col("cgroup") - 1).alias("qgroup"), F.col("v").alias("w")), "qgroup")
+    return both.select("qid", "cid", (F.round(V.cosine(V.doubles(F.col("v")), V.doubles(F.col("w"))), 6) + 0.0).alias("sim"))
 
 
 CSLS_SQL = f"""{TWO_SQL}, l AS (SELECT qid, avg(sim) AS m FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS r FROM p) WHERE r <= 5 GROUP BY qid),
 c AS (SELECT cid, avg(sim) AS m FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY sim DESC, qid) AS r FROM p) WHERE r <= 5 GROUP BY cid),
-s AS (SELECT p.*, round(2 * sim - l.m - c.m, 6) AS csls FROM p JOIN l USING (qid) JOIN c USING (cid))"""
+s AS MATERIALIZED (SELECT p.*, round(2 * sim - l.m - c.m, 6) AS csls FROM p JOIN l USING (qid) JOIN c USING (cid))"""
 
 
 @query(f"WITH {CSLS_SQL} SELECT qid, cid, sim, csls FROM s")
@@ -153,6 +155,18 @@ def match_diagnostics(t):
     return J.axis_diagnostics(two_groups(t))
 
 
+@query(f"""WITH {TWO_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS r, row_number() OVER (PARTITION BY cid ORDER BY sim DESC, qid) AS s FROM p),
+a AS (SELECT qid, max(sim) FILTER (r = 1) AS s1, max(sim) FILTER (r = 2) AS s2, avg(sim) AS m, stddev_pop(sim) AS d FROM l GROUP BY qid),
+b AS (SELECT cid, max(sim) FILTER (s = 1) AS s1, max(sim) FILTER (s = 2) AS s2, avg(sim) AS m, stddev_pop(sim) AS d FROM l GROUP BY cid),
+ea AS (SELECT qid, sum(exp(x)) AS z, sum(exp(x) * x) AS y, count(*) AS n FROM (SELECT qid, (sim - max(sim) OVER (PARTITION BY qid)) / stddev_pop(sim) OVER (PARTITION BY qid) AS x FROM p) GROUP BY qid),
+eb AS (SELECT cid, sum(exp(x)) AS z, sum(exp(x) * x) AS y, count(*) AS n FROM (SELECT cid, (sim - max(sim) OVER (PARTITION BY cid)) / stddev_pop(sim) OVER (PARTITION BY cid) AS x FROM p) GROUP BY cid)
+SELECT l.qid, l.cid, l.sim FROM l JOIN a USING (qid) JOIN b USING (cid) JOIN ea USING (qid) JOIN eb USING (cid) WHERE r = 1 AND s = 1 AND l.sim >= 0.1
+AND round((a.s1 - a.m) / a.d, 6) >= 2 AND round((b.s1 - b.m) / b.d, 6) >= 2 AND round((a.s1 - a.s2) / a.d, 6) >= 0.05 AND round((b.s1 - b.s2) / b.d, 6) >= 0.05
+AND round((ln(ea.z) - ea.y / ea.z) / ln(ea.n), 6) <= 0.92 AND round((ln(eb.z) - eb.y / eb.z) / ln(eb.n), 6) <= 0.92""")
+def accepted_matches(t):
+    return J.accepted(two_groups(t), "sim", 0.1, 2.0, 0.05, 0.92, z_scores=True).select("qid", "cid", "sim")
+
+
 PLANES = [[[math.sin(1.7 * (d + 1) * (b + 1) + 3.1 * (k + 1)) for d in range(64)] for b in range(6)] for k in range(4)]
 
 

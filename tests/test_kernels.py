@@ -67,10 +67,50 @@ def test_components_on_a_path_and_random_graphs(spark, tmp_path):
     assert {x.node for x in capped.collect()} == set(up)
 
 
-def test_anchor_is_the_farthest(spark):
-    p = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 900.0)], "k string, x double")
-    assert graph.farthest_points(p, "k", ["x"], 2) == ["a", "c"]
-    assert len(graph.farthest_points(p, "k", ["x"], 9)) == 3
+def test_anchors_equal_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = [(f"k{i:02}", float(a), float(b)) for i, (a, b) in enumerate(np.exp(r.normal(size=(40, 2))).round(3))]
+    x = np.array([[np.log1p(a), b] for _, a, b in rows])
+    x = (x - x.mean(0)) / x.std(0)
+    want = [int(np.argmin((x**2).sum(1)))]
+    while len(want) < 6:
+        near = np.min([((x - x[i]) ** 2).sum(1) for i in want], 0)
+        near[want] = -1
+        want.append(int(np.argmax(near)))
+    p = spark.createDataFrame(rows, "k string, a double, b double")
+    assert graph.farthest_points(p, "k", ["a", "b"], 6, ["a"]) == [rows[i][0] for i in want]
+    assert len(graph.farthest_points(p, "k", ["a"], 99)) == 40 and graph.farthest_points(p.limit(0), "k", ["a"], 2) == []
+
+
+def test_upper_bound_waits_for_nodes_with_edges_only():
+    gain = np.array([[0.9, 0.8, 0.1], [0.2, 0.75, 0.1], [0.1, 0.1, 0.1]])
+    assert matching.upper_bound(gain, 0.7) == pytest.approx(0.9 + 0.8)  # both columns with edges are met
+    assert matching.upper_bound(np.array([[0.9, 0.8], [0.3, 0.2]]), 0.7) == pytest.approx(0.9)  # the one row with edges is met
+
+
+def test_pairs_are_classified(spark):
+    sizes = spark.createDataFrame([(0, 1, 4, 2), (2, 3, 4, 9), (4, 5, 4, 4)], "ta long, tb long, na long, nb long")
+    aligned = [(0, 1, 1, 9, 0.9), (0, 1, 2, 8, 0.7), (0, 1, 3, 7, 0.8), (2, 3, 5, 6, 0.95), (2, 3, 6, 5, 0.1)]
+    got = {x.ta: x for x in matching.classify_pairs(spark.createDataFrame(aligned, "ta long, tb long, a long, b long, sim double"), sizes, floor=0.5).collect()}
+    assert got[0].relation == "union" and got[0].confidence == 0.75 and got[0].key_a is None  # 3 of 4 columns, mean 0.8
+    assert got[2].relation == "join" and got[2].confidence == 0.95 and (got[2].key_a, got[2].key_b) == (5, 6)
+    assert got[4].relation == "none" and got[4].confidence == 1.0
+    scored = {x.ta: x.normalised for x in matching.match_tables(spark.createDataFrame(aligned, "ta long, tb long, a long, b long, sim double"), sizes, 0.7).collect()}
+    assert scored == {0: pytest.approx(1.2), 2: pytest.approx(0.2375), 4: 0.0}  # an edge of the threshold itself counts
+
+
+def test_quantiles_and_places_equal_numpy(spark):
+    from lakeweave.operators import ranks
+
+    r = np.random.default_rng(5)
+    rows = [("ab"[i % 3 == 0], float(v)) for i, v in enumerate(r.integers(0, 40, 500))] + [("a", None), ("c", 7.0)]
+    got = ranks.counted(spark.createDataFrame(rows, "g string, x double").repartition(7), "x", ["g"])
+    for x in got.collect():
+        own = [v for g, v in rows if g == x.g and v is not None]
+        assert (x.n, x.before) == (own.count(x.x), sum(v < x.x for v in own))
+    for x in ranks.quantiles(got, "x", {"low": 0.1, "mid": 0.5, "high": 0.9}, ["g"]).collect():
+        own = [v for g, v in rows if g == x.g and v is not None]
+        assert (x.low, x.mid, x.high) == pytest.approx(tuple(np.quantile(own, [0.1, 0.5, 0.9])))
 
 
 def test_all_tables_are_matched(spark):
