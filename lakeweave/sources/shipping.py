@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 #: Texts may be long: Arrow batches are kept small where the session has Spark's defaults.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _SHIPPED: set[str] = set()
 
 
@@ -26,7 +26,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(os.path.join(folder, n), os.path.join("lakeweave", os.path.relpath(os.path.join(folder, n), top)))
         sc.addPyFile(path)
         for key, most in BATCH.items():
-            if spark.conf.get(key, None) in (None, "10000", "-1"):
+            if spark.conf.get(key, None) in (None, "10000", "-1", "67108864b"):
                 spark.conf.set(key, most)
         _SHIPPED.add(sc.applicationId)
     return spark
