@@ -6,7 +6,7 @@ MOST features with the largest difference at most. A document's features count i
 P(grade >= k) = 1 / (1 + exp(t_k - w.x)); the expected severity is the sum of these over k.
 
 Labels tell toxic from other documents; grades 1 to K part the toxic ones of the sample by how many of their distinct
-words have a kept run that is likelier in toxic documents, at the quantiles of that number. The model is fitted on a
+words have a kept run that no other document of the sample has, at the quantiles of that number. The model is fitted on a
 sample of SAMPLE labelled documents of either kind, chosen by a hash of their ids; scoring reads all documents whole. The
 runs of the sample are counted in the tasks; the driver gathers MOST runs at most, and of each document of the sample its
 counts of these.
@@ -92,7 +92,7 @@ def grades(marked: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 class Places(dict):
     """The places of words, remembered up to a bound; of those in ``only`` if it is given."""
 
-    LIMIT = 100_000
+    LIMIT = 200_000
 
     def __init__(self, only: set[int] | None = None):
         self.only = only
@@ -141,10 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     counts = sample.mapInArrow(counted, "f long, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     part = lambda some, whole: F.log((some + 0.5) / (F.lit(whole) - some + 0.5))
     odds = part(F.col("bad"), of[1]) - part(F.col("n") - F.col("bad"), of[0])
-    kept = counts.filter(F.col("n") >= max(2, LEAST * of[1])).select("f", odds.alias("odds")).filter(F.abs("odds") >= ODDS)
+    kept = counts.filter(F.col("n") >= max(2, LEAST * of[1])).select("f", odds.alias("odds"), (F.col("n") == F.col("bad")).alias("only")).filter(F.abs("odds") >= ODDS)
     kept = kept.orderBy(F.abs("odds").desc(), "f").limit(MOST).orderBy("f").collect()
     features = np.array([r.f for r in kept], np.int64)
-    telling = {r.f for r in kept if r.odds > 0}
+    telling = {r.f for r in kept if r.only}
     known_to_all = sample.sparkSession.sparkContext.broadcast((set(features.tolist()), telling))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
