@@ -89,6 +89,11 @@ def date_order(d: Column) -> Column:
     return 365 * d["y"] + 30 * d["m"] + d["d"]
 
 
+def date_ge_each(a: Column, b: Column) -> Column:
+    """a >= b as whole dates, and in the month and in the day too: what the third kind of date compares."""
+    return (F.struct(a["y"], a["m"], a["d"]) >= F.struct(b["y"], b["m"], b["d"])) & (a["m"] >= b["m"]) & (a["d"] >= b["d"])
+
+
 def date_compare(a: Column, b: Column, op: str) -> Column:
     """a op b, where the right side says what is compared: its month or year alone, if it has nothing else."""
     do = {">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y}[op]

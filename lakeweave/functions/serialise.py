@@ -48,6 +48,28 @@ def vocabulary(words: DataFrame, word: str, most: int, least: int) -> DataFrame:
     return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("n").desc(), word)) - 1).cast("long"))
 
 
+def token_sample(docs: DataFrame, key: str, text: str, how: str, most: int, seed: str = "token") -> DataFrame:
+    """(key, tokens): up to ``most`` tokens (lower case, between blanks) of each text, in one of the ways of choosing.
+
+    head: the first; alpha_head: the first distinct ones by the alphabet; nth: every n-th, so that the whole text is spanned;
+    random: those whose hashes with their place are least, in the text's order. All are array expressions: no shuffle.
+    """
+    words = F.array_remove(F.split(F.lower(text), "[ \\t\\n\\r\\f\\x0B]+"), "")
+    step = F.greatest(F.lit(1), F.floor(F.size("w") / most).cast("int"))
+    if how == "head":
+        out = F.slice("w", 1, most)
+    elif how == "alpha_head":
+        out = F.slice(F.array_sort(F.array_distinct("w")), 1, most)
+    elif how == "nth":
+        out = F.slice(F.filter("w", lambda x, i: i % step == 0), 1, most)
+    elif how == "random":
+        dealt = F.transform("w", lambda x, i: F.struct(F.xxhash64(F.lit(seed), i, x).alias("h"), i.alias("i"), x.alias("x")))
+        out = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(dealt), 1, most), lambda s: F.struct(s["i"], s["x"]))), lambda s: s["x"])
+    else:
+        raise ValueError(f"no such sample: {how}")
+    return docs.select(key, words.alias("w")).select(key, out.alias("tokens"))
+
+
 def tf_idf(postings: DataFrame, key: str) -> DataFrame:
     """(1 + ln tf) * (ln((1 + docs) / (1 + df)) + 1), each document's weights of length 1."""
     docs = postings.select(key).distinct().count()

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vector_join import top_k
+
 
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of a one-to-one matching with the largest sum, as many as the shorter side has.
@@ -103,6 +105,34 @@ def match_tables(edges: DataFrame, sizes: DataFrame, threshold: float) -> DataFr
     return sizes.join(out, ["ta", "tb"], "left").fillna(0.0).select("ta", "tb", "lower", "exact", "upper", norm.alias("normalised"))
 
 
+def mixed_score(score: Column, na: Column, nb: Column, topic: Column) -> Column:
+    """The matching by the columns of the smaller table, plus the cosine of the tables' topics."""
+    return score / F.least(na, nb) + topic
+
+
+def top_tables(edges: DataFrame, sizes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(ta, tb, score, rank): the k tables with the largest matching for each query table ta; ties go to the least tb.
+
+    Bounds come first: a pair whose upper bound is under the k-th best lower bound of its query is never matched exactly.
+    """
+
+    def kernel(names: list[str]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            m, _, _ = matrix_of(pdf)
+            kept = np.where(m > threshold, m, 0.0)
+            of = {"lower": lambda: sum(kept[p] for p in greedy(kept)), "upper": lambda: upper_bound(m, threshold), "score": lambda: sum(kept[p] for p in assignment(kept))}
+            return pd.DataFrame([{"ta": pdf.ta.iloc[0], "tb": pdf.tb.iloc[0], **{n: round(float(of[n]()), 6) for n in names}}])
+
+        return run
+
+    by = edges.groupBy("ta", "tb")
+    bounds = sizes.select("ta", "tb").join(by.applyInPandas(kernel(["lower", "upper"]), "ta long, tb long, lower double, upper double"), ["ta", "tb"], "left").fillna(0.0)
+    least = top_k(bounds, ["ta"], k, F.col("lower").desc(), F.col("tb")).groupBy("ta").agg(F.when(F.count("*") >= k, F.min("lower")).alias("least"))
+    open_ = bounds.join(least, "ta").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("ta", "tb")
+    exact = edges.join(open_, ["ta", "tb"], "left_semi").groupBy("ta", "tb").applyInPandas(kernel(["score"]), "ta long, tb long, score double")
+    return top_k(open_.join(exact, ["ta", "tb"], "left").fillna(0.0), ["ta"], k, F.col("score").desc(), F.col("tb"))
+
+
 def align_columns(edges: DataFrame, how: str = "optimal", threshold: float = 0.0) -> DataFrame:
     """One-to-one pairs of columns: optimal (no threshold before, sim > threshold after) or greedy."""
 

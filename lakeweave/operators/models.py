@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +32,26 @@ def ridge_probe(df: DataFrame, vector: str, label: str, fold: Column, sweep: tup
     fits = [(c, LinearRegression(featuresCol="z", labelCol="y", regParam=c, elasticNetParam=0.0, solver="normal").fit(train)) for c in sweep]
     c, best = min(fits, key=lambda f: (score(f[1], valid), f[0]))
     return best.transform(test).agg(F.lit(c).alias("reg"), F.round(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)), 4).alias("rmse"), F.count("*").alias("n"))
+
+
+def _accuracy(m, part: DataFrame) -> float:
+    return m.transform(part).agg(F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("s")).first().s or 0.0
+
+
+def forest_probe(df: DataFrame, vector: str, label: str, fold: Column, classes: bool = True, trees: int = 50, sweep: tuple[int, ...] = (4, 8)) -> DataFrame:
+    """Random forests, their depth chosen on the held-out fold; accuracy, or the root of the mean squared error."""
+    train, valid, test = _parts(df, vector, label, fold)
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    error = lambda m, part: 1 - _accuracy(m, part) if classes else m.transform(part).agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)).alias("s")).first().s or 0.0
+    fits = [(d, kind(featuresCol="z", labelCol="y", numTrees=trees, maxDepth=d, seed=0).fit(train)) for d in sweep]
+    depth, best = min(fits, key=lambda f: (error(f[1], valid), f[0]))
+    out = 1 - error(best, test) if classes else error(best, test)
+    return test.agg(F.lit(depth).alias("depth"), F.lit(round(out, 6)).alias("accuracy" if classes else "rmse"), F.count("*").alias("n"))
+
+
+def mlp_probe(df: DataFrame, vector: str, label: str, fold: Column, dim: int, classes: int, sweep: tuple[int, ...] = (16, 64)) -> DataFrame:
+    """One hidden layer, its width chosen on the held-out fold."""
+    train, valid, test = _parts(df, vector, label, fold)
+    fits = [(w, MultilayerPerceptronClassifier(featuresCol="z", labelCol="y", layers=[dim, w, classes], maxIter=100, seed=0).fit(train)) for w in sweep]
+    width, best = max(fits, key=lambda f: (_accuracy(f[1], valid), -f[0]))
+    return test.agg(F.lit(width).alias("width"), F.lit(round(_accuracy(best, test), 6)).alias("accuracy"), F.count("*").alias("n"))

@@ -129,6 +129,38 @@ def probe_logistic(t):
     return models.logistic_probe(e, "v", "y", F.col("vec_id") % 5)
 
 
+@query()
+def probe_forest(t):
+    e = t("embeddings").select("vec_id", F.col("embedding").alias("v"), (F.col("label") % 2).alias("y"))
+    return models.forest_probe(e, "v", "y", F.col("vec_id") % 5, trees=20)
+
+
+@query()
+def probe_mlp(t):
+    e = t("embeddings").select("vec_id", F.col("embedding").alias("v"), (F.col("label") % 2).alias("y"))
+    return models.mlp_probe(e, "v", "y", F.col("vec_id") % 5, 64, 2, sweep=(16,))
+
+
+@query()
+def pruned_top_tables(t):
+    """For each even table the three best odd ones among the ten tables next to it, with matchings only where bounds leave them open."""
+    e = t("embeddings").filter("embedding IS NOT NULL").select("vec_id", F.floor(F.col("vec_id") / 8).alias("tab"), V.doubles(F.col("embedding")).alias("v"))
+    q = e.filter("tab % 2 = 0").select(F.col("tab").alias("ta"), F.col("vec_id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.col("tab") - 9, F.col("tab") + 9, F.lit(2))).alias("tb"))
+    p = q.join(e.select(F.col("tab").alias("tb"), F.col("vec_id").alias("b"), F.col("v").alias("vb")), "tb")
+    p = p.select("ta", "tb", "a", "b", (F.round(V.cosine(F.col("va"), F.col("vb")), 6) + 0.0).alias("sim"))
+    return M.top_tables(p, p.select("ta", "tb").distinct(), 0.1, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {E_SQL}, n AS (SELECT label, count(*) AS n FROM e GROUP BY label) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v) * 3 / least(x.n, y.n) + list_cosine_similarity(a.v, b.v), 6) AS score
+FROM e a JOIN e b ON b.id = a.id + 1 JOIN n x ON x.label = a.label JOIN n y ON y.label = b.label""")
+def mixed_scores(t):
+    e, n = t("embeddings"), t("embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    e = e.join(n, "label").select("vec_id", "n", V.doubles(F.col("embedding")).alias("v"))
+    both = e.select(F.col("vec_id").alias("a"), F.col("n").alias("na"), "v").join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("w")), "a")
+    sim = V.cosine(F.col("v"), F.col("w"))
+    return both.select("a", "b", F.round(M.mixed_score(3 * sim, F.col("na"), F.col("nb"), sim), 6).alias("score"))
+
+
 @query()
 def probe_ridge(t):
     p = t("part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.length("p_name").cast("double")).alias("v"), F.col("p_retailprice").alias("y"))

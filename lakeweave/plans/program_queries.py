@@ -104,6 +104,12 @@ def denotation_check(t):
     return df.select("id", ((F.size(a) == F.size(b)) & F.forall(a, lambda x: F.exists(b, lambda y: (x == y) | near(x, y)))).alias("met"))
 
 
+@query("SELECT o_orderkey, (strftime(o_orderdate, '%Y-%m-%d') >= '1997-06-15' AND month(o_orderdate) >= 6 AND day(o_orderdate) >= 15) AS met FROM orders")
+def date_ge_each(t):
+    d = C.partial_date(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t("orders").select("o_orderkey", C.date_ge_each(d, C.partial_date(F.lit("1997-06-15"))).alias("met"))
+
+
 @query("""SELECT o_orderkey, (month(o_orderdate) >= 6) AS by_month, (year(o_orderdate) > 1995) AS by_year,
 (365 * year(o_orderdate) + 30 * month(o_orderdate) + day(o_orderdate) <= 365 * 1996 + 30 * 6 + 15) AS by_day FROM orders""")
 def partial_date_compare(t):

@@ -249,3 +249,21 @@ def record_content_dedup(t):
 @query()
 def answer_normalise(t):
     return t("documents").select("doc_id", S.normal_answer(F.col("text")).alias("text"))
+
+
+_TOKENS_SQL = r"x AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w FROM benchmark)"
+for _how, _expr in {
+    "head": "w[1:12]",
+    "alpha_head": "list_sort(list_distinct(w))[1:12]",
+    "nth": "list_filter(w, lambda v, i: (i - 1) % greatest(1, len(w) // 12) = 0)[1:12]",
+}.items():
+
+    def _sampled(t, how=_how):
+        return S.token_sample(t("benchmark"), "item_id", "text", how, 12)
+
+    query(f"WITH {_TOKENS_SQL} SELECT item_id, {_expr} AS tokens FROM x", name=f"token_sample_{_how}")(_sampled)
+
+
+@query()
+def token_sample_random(t):
+    return S.token_sample(t("benchmark"), "item_id", "text", "random", 12)

@@ -108,6 +108,14 @@ def read_allow_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> '' and not startswith(name, '#')")
 
 
+def resolve_tables(names: DataFrame, name: str, places: list[DataFrame]) -> DataFrame:
+    """(name, path): the path in the first of ``places`` (name, path) that has the name, else null."""
+    out = names.select(name)
+    for i, p in enumerate(places):
+        out = out.join(p.select(F.col("name").alias(name), F.col("path").alias(f"_{i}")), name, "left")
+    return out.select(name, F.coalesce(*[F.col(f"_{i}") for i in range(len(places))]).alias("path"))
+
+
 def pairs_to_tables(pairs: DataFrame) -> DataFrame:
     """(table_id, csv) of pair rows, each table once; one name with two contents is an error."""
     both = pairs.select(F.explode(F.array(*[F.struct(F.col(f"table_{s}_id").alias("table_id"), F.col(f"table_{s}_csv").alias("csv")) for s in "ab"])).alias("x")).select("x.*")

@@ -126,3 +126,46 @@ def test_all_tables_are_matched(spark):
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
     best = {(x.ta, x.tb): x.exact for x in kernel_queries.assignment_score(lambda _: rows).collect()}
     assert best.keys() == {k[:2] for k in want}
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_pruned_top_tables_equal_brute_force(spark, k):
+    r = np.random.default_rng(2)
+    rows, want = [], {}
+    for ta in range(4):
+        found = []
+        for tb in range(10, 22):
+            m = r.random((3, 1 + tb % 4)).round(3)
+            rows += [(ta, tb, i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])]
+            kept = np.where(m > 0.6, m, 0.0)
+            found.append((-round(float(sum(kept[p] for p in matching.assignment(kept))), 6), tb))
+        want |= {(ta, tb): (-s, i + 1) for i, (s, tb) in enumerate(sorted(found)[:k])}
+    edges = spark.createDataFrame(rows, "ta long, tb long, a long, b long, sim double")
+    got = matching.top_tables(edges, edges.select("ta", "tb").distinct(), 0.6, k).collect()
+    assert {(x.ta, x.tb): (x.score, x.rank) for x in got} == want
+
+
+def test_probes_learn_what_is_there(spark):
+    from pyspark.sql import functions as F
+
+    from lakeweave.operators import models
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(600, 3))
+    rows = [(i, v.tolist(), int(v[0] * v[1] > 0), float(3 * v[0])) for i, v in enumerate(x)]  # no line parts the classes
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int, z double")
+    fold = F.col("id") % 5
+    assert models.forest_probe(df, "v", "y", fold, trees=15).first().accuracy > 0.85
+    assert models.mlp_probe(df, "v", "y", fold, 3, 2, sweep=(12,)).first().accuracy > 0.85
+    assert models.logistic_probe(df, "v", "y", fold).first().accuracy < 0.7
+    assert models.forest_probe(df, "v", "z", fold, classes=False, trees=15).first().rmse < 1.2
+    assert models.ridge_probe(df, "v", "z", fold).first().rmse < 0.1
+
+
+def test_random_tokens_are_a_sample_in_order(spark):
+    from lakeweave.functions import serialise
+
+    text = " ".join(f"w{i:03}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, "a b"), (3, None)], "k int, t string")
+    got = {x.k: x.tokens for x in serialise.token_sample(docs, "k", "t", "random", 20).collect()}
+    assert len(got[1]) == 20 and got[1] == sorted(set(got[1])) and got[2] == ["a", "b"] and not got[3]
