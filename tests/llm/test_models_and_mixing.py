@@ -50,7 +50,7 @@ def brute_near(rows):
     return Counter(out.values())
 
 
-@pytest.mark.parametrize("k,split,short", [(near_dedup.K, near_dedup.SPLIT, near_dedup.SHORT), (near_dedup.EXACT, 3, 0), (40, 2, 4)])
+@pytest.mark.parametrize("k,split,short", [(near_dedup.EXACT, 3, 0), (40, 2, 4)])
 def test_near_dedup_equals_brute_force(spark, monkeypatch, k, split, short):
     monkeypatch.setattr(near_dedup, "SPLIT", split)
     monkeypatch.setattr(near_dedup, "SHORT", short)
