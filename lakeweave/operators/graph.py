@@ -7,19 +7,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, comp): the smallest node that can be reached, by min labels with jumps; each round's table is checkpointed."""
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node, comp): the smallest node that can be reached, by min labels with jumps; each round's table is checkpointed.
+
+    Rounds go on until nothing changes; with ``max_rounds`` an error says that they did not suffice.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")).checkpoint()
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if rounds == max_rounds:
+            raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        rounds += 1
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         now = step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")).checkpoint()
         labels = now.select("node", "comp")
         if not now.filter("old <> comp").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def capped_walk(edges: list[tuple[int, int]], cap: int) -> dict[int, int]:

@@ -54,16 +54,14 @@ def tfidf_weights(t):
 
 
 @query("""WITH a AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / sqrt(len(x.w) * len(y.w)), 6) AS cosine FROM a x JOIN a y ON x.item_id < y.item_id""")
+SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / sqrt(len(x.w) * len(y.w)), 6) AS cosine FROM a x JOIN a y ON x.item_id < y.item_id AND len(list_intersect(x.w, y.w)) > 0""")
 def binary_token_cosine(t):
-    """By shared words, so that pairs without any are added as 0 only to the grid of the few stated texts."""
+    """Pairs that share a word, by a join on words; all others have 0 and are left out."""
     p = R.postings(t("benchmark"), "item_id", "text", "[^a-z0-9]+").select("item_id", "w")
     n = p.groupBy("item_id").agg(F.count("*").alias("n"))
     both = p.withColumnRenamed("item_id", "a").join(p.withColumnRenamed("item_id", "b"), "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("x"))
-    ids = t("benchmark").select("item_id")
-    grid = ids.withColumnRenamed("item_id", "a").join(F.broadcast(ids.withColumnRenamed("item_id", "b")), F.col("a") < F.col("b"))
-    out = grid.join(both, ["a", "b"], "left").join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", F.round(F.coalesce("x", F.lit(0)) / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
+    out = both.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
+    return out.select("a", "b", F.round(F.col("x") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
 @query(f"WITH {_POST}, n AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id) SELECT doc_id, round(log10(n), 6) AS score FROM n")

@@ -62,6 +62,8 @@ def test_components_on_a_path_and_random_graphs(spark, tmp_path):
         up[y] = x
     got = {x.node: x.comp for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: root(n) for n in up}
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
     capped = graph.capped_components(spark.createDataFrame([(a, b, 0.5 + i / 1000) for i, (a, b) in enumerate(edges)], "a long, b long, sim double"), 7)
     assert capped.groupBy("cluster").count().agg({"count": "max"}).first()[0] <= 7
     assert {x.node for x in capped.collect()} == set(up)
