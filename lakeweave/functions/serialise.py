@@ -70,6 +70,25 @@ def token_sample(docs: DataFrame, key: str, text: str, how: str, most: int, seed
     return docs.select(key, words.alias("w")).select(key, out.alias("tokens"))
 
 
+def pmi_sample(cells: DataFrame, table: str, order: str, topic: str, prop: str, most: int, of_topic: bool = False) -> DataFrame:
+    """(table, place, token): words of a column's values, those most bound to the topic column's first, by n(topic, value) / (n(topic) n(value)).
+
+    Counts are over all tables. A value's words all go in while fewer than ``most`` stand; each word stands once a table. Equal pairs go by their first row.
+    """
+    value = topic if of_topic else prop
+    known = cells.filter(F.col(topic).isNotNull() & F.col(prop).isNotNull())
+    both = known.groupBy(topic, prop).agg(F.count("*").alias("_b"))
+    score = both.join(both.groupBy(topic).agg(F.sum("_b").alias("_t")), topic).join(both.groupBy(prop).agg(F.sum("_b").alias("_p")), prop)
+    score = score.select(topic, prop, (F.col("_b") / (F.col("_t") * F.col("_p"))).alias("_s"))
+    pairs = known.groupBy(table, topic, prop).agg(F.min(order).alias("_o")).join(score, [topic, prop])
+    word = pairs.select(table, "_s", "_o", F.posexplode(F.split(F.col(value).cast("string"), " ")).alias("_i", "token"))
+    first = word.groupBy(table, "token").agg(F.min(F.struct(-F.col("_s"), F.col("_o"), F.col("_i"))).alias("_at"))
+    # a word is in if fewer than ``most`` new words stood before its value began
+    ranked = first.select(table, "token", F.row_number().over(Window.partitionBy(table).orderBy("_at")).alias("place"), "_at")
+    upto = ranked.withColumn("_before", F.min("place").over(Window.partitionBy(table, F.col("_at.col1"), F.col("_at._o"))) - 1)
+    return upto.filter(F.col("_before") < most).select(table, "place", "token")
+
+
 def tf_idf(postings: DataFrame, key: str) -> DataFrame:
     """(1 + ln tf) * (ln((1 + docs) / (1 + df)) + 1), each document's weights of length 1."""
     docs = postings.select(key).distinct().count()

@@ -62,12 +62,12 @@ def disjoint_pairs(pairs: DataFrame, a: str, b: str, shares: dict[str, float], s
 
 def exact_split(df: DataFrame, key: str, shares: dict[str, int], seed: str = "split") -> DataFrame:
     """As many keys as ``shares`` says, in hash order."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(keyed(seed, key), key)))
+    ranked = ranks.placed(df.withColumn("_h", keyed(seed, key)), "_h", [key], "_r")
     at, out = 0, None
     for name, n in shares.items():
         at += n
-        out = F.when(F.col("_r") <= at, name) if out is None else out.when(F.col("_r") <= at, name)
-    return ranked.withColumn("split", out).drop("_r").filter(F.col("split").isNotNull())
+        out = F.when(F.col("_r") < at, name) if out is None else out.when(F.col("_r") < at, name)
+    return ranked.withColumn("split", out).drop("_h", "_r").filter(F.col("split").isNotNull())
 
 
 def corrupt_text(c: Column, roll: Column) -> Column:
@@ -85,9 +85,9 @@ def noisy_cells(cells: DataFrame, percent: int, seed: str) -> DataFrame:
 
 
 def swap_corruption(df: DataFrame, key: str, column: str, percent: int, seed: str) -> DataFrame:
-    """Masked cells take the value of another row drawn by hash; ``changed`` tells cells whose value is another now."""
+    """Masked cells take the value of another row drawn by hash; ``changed`` tells cells whose value is another now. Keys are known and differ."""
     n = df.count()
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
+    rows = df.join(ranks.counted(df, key).select(key, F.col("before").alias("_i")), key)
     own = rows.withColumn("_from", F.when(keyed(f"{seed}:mask", key) % 100 < percent, keyed(f"{seed}:from", key) % max(n, 1)).otherwise(F.col("_i")))
     other = rows.select(F.col("_i").alias("_from"), F.col(column).alias("_new"))
     return own.join(other, "_from").withColumn("changed", ~F.col(column).eqNullSafe(F.col("_new"))).withColumn(column, F.col("_new")).drop("_i", "_from", "_new")

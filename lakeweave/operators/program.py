@@ -346,6 +346,21 @@ class Program:
         props = [c for c in self.table.columns if c.startswith("r.") and want in ancestors(_type_of(c))]
         return ["(", *(["all_rows"] if want == "entity_list" else []), *own, *props]
 
+    def connected(self, rows: DataFrame, targets: list | None = None) -> list[str]:
+        """Properties whose cell in one of the rows has just the target values, as a set; without targets all that a row can have. One pass over the rows."""
+        props = [c for c in rows.columns if c.startswith("r.")]
+        if targets is None:
+            return props if rows.limit(1).count() else []
+        kind = lambda c: rows.schema[c].dataType.elementType.simpleString()
+        given = lambda c: F.array_sort(F.array_distinct(F.array(*[F.lit(str(x)).try_cast(kind(c)) for x in targets])))
+        found = rows.agg(*[F.bool_or(_equal(rows, given(c), c)).alias(c) for c in props]).first()
+        return [c for c in props if found[c]]
+
+    def valid_props(self, rows: DataFrame, asked: list[str], targets: list | None = None) -> list[str]:
+        """Those of the asked properties that are connected."""
+        own = set(self.connected(rows, targets))
+        return [p for p in asked if p in own]
+
     def next_functions(self, kind: str, rows: DataFrame) -> list[str]:
         """Functions that may follow a value of this type: argmax, mode and aggregates only where there is more than one row."""
         many = rows.limit(2).count() > 1

@@ -97,6 +97,12 @@ def table_vector(vectors: DataFrame, variant: str) -> DataFrame:
     return vectors.select("table_id", F.col(f"table_embedding.{variant}").alias("v")).filter(F.col("v").isNotNull())
 
 
+def valid_examples(tables: DataFrame, header: str = "header", most: int = 10) -> DataFrame:
+    """Tables, as read from JSON lines, each of whose columns (name, name_tokens) has a token and a name of ``most`` words at most."""
+    bad = lambda c: (F.size(F.split(c["name"], " ")) > most) | (F.size(F.coalesce(c["name_tokens"], F.array())) < 1)
+    return tables.filter(~F.exists(header, bad))
+
+
 def read_labels(spark: SparkSession, path: str, least: float | None = None) -> DataFrame:
     """Ground truth from CSV; with ``least`` only rows of that score or more, best first."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
