@@ -128,13 +128,15 @@ def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def threshold_probe(df: DataFrame, y: str, score: str, margin: float = 0.01) -> DataFrame:
     """The first threshold, from low to high, with the best F1 for score >= threshold: midpoints of distinct scores and two ends."""
-    n = df.groupBy(score).agg(F.count("*").alias("_n"), F.sum(y).alias("_p"))
-    down = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = df.agg(F.sum(y)).first()[0] or 0
-    low = F.lag(score).over(Window.orderBy(score))
-    c = n.select(((F.col(score) + low) / 2).alias("_mid"), F.col(score).alias("_s"), F.sum("_n").over(down).alias("_said"), F.sum("_p").over(down).alias("_tp"))
-    c = c.select(F.coalesce("_mid", F.col("_s") - margin).alias("threshold"), F.coalesce(F.try_divide(2 * F.col("_tp"), F.col("_said") + F.lit(total)), F.lit(0.0)).alias("f1"))
-    return c.select(F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1")).orderBy(F.col("f1").desc(), "threshold").limit(1)
+    known = F.col(score).isNotNull()
+    rows, hits, total = df.agg(F.count_if(known), F.sum(F.when(known, F.col(y))), F.sum(y)).first()
+    n = ranks.counted(df, score, extra={"p": F.col(y)})
+    f1 = F.round(F.coalesce(F.try_divide(2.0 * (F.lit(hits or 0) - F.col("p_before")), F.lit(rows + (total or 0)) - F.col("before")), F.lit(0.0)), 6)
+    best = n.select(F.col(score).alias("_s"), f1.alias("f1")).orderBy(F.col("f1").desc(), "_s").first()
+    if best is None:
+        return df.sparkSession.createDataFrame([], "threshold double, f1 double")
+    at = F.coalesce((F.max(F.when(F.col(score) < best["_s"], F.col(score))) + best["_s"]) / 2, F.lit(best["_s"] - margin))
+    return df.agg(F.round(at.cast("double"), 6).alias("threshold"), F.lit(float(best["f1"])).alias("f1"))
 
 
 def contingency(df: DataFrame, cluster: str, label: str) -> DataFrame:

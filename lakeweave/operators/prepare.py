@@ -87,7 +87,7 @@ def noisy_cells(cells: DataFrame, percent: int, seed: str) -> DataFrame:
 def swap_corruption(df: DataFrame, key: str, column: str, percent: int, seed: str) -> DataFrame:
     """Masked cells take the value of another row drawn by hash; ``changed`` tells cells whose value is another now. Keys are known and differ."""
     n = df.count()
-    rows = df.join(ranks.counted(df, key).select(key, F.col("before").alias("_i")), key)
+    rows = ranks.numbered(df, key, "_i")
     own = rows.withColumn("_from", F.when(keyed(f"{seed}:mask", key) % 100 < percent, keyed(f"{seed}:from", key) % max(n, 1)).otherwise(F.col("_i")))
     other = rows.select(F.col("_i").alias("_from"), F.col(column).alias("_new"))
     return own.join(other, "_from").withColumn("changed", ~F.col(column).eqNullSafe(F.col("_new"))).withColumn(column, F.col("_new")).drop("_i", "_from", "_new")

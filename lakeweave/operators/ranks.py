@@ -38,6 +38,11 @@ def quantiles(ranked: DataFrame, value: str, shares: dict[str, float], by: list[
     return ends.select(*by, *[(F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * part[k]).alias(k) for k in shares])
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the number (from 0, as ``name``) of rows that come before in the order; equal values have one number, rows without one go."""
+    return df.join(counted(df, order).select(order, F.col("before").cast("long").alias(name)), order)
+
+
 def placed(df: DataFrame, roll: str, ties: list[str], name: str, by: list[str] = ()) -> DataFrame:
     """``df`` with the place (from 0, as ``name``) of each row in its group by a number ``roll`` of 31 bits or so and ``ties``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeweave.operators import lake as L
 from lakeweave.operators import prepare as P
 from lakeweave.operators import retrieval as R
+from lakeweave.sources import writers as W
 
 from .lake_queries import cells
 from .registry import query
@@ -155,7 +156,7 @@ def last_wins_merge(t):
 
 @query("SELECT n_name, ntile(4) OVER (ORDER BY n_name) AS shard FROM nation")
 def shard_ntile(t):
-    return t("nation").select("n_name", F.ntile(4).over(Window.orderBy("n_name")).cast("long").alias("shard"))
+    return W.shards_of(t("nation").select("n_name"), "n_name", 4)
 
 
 @query("SELECT r_regionkey, k.n_nationkey FROM region, (SELECT n_nationkey FROM nation) k WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r_regionkey AND n.n_nationkey = k.n_nationkey)")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions import cleaning as C
 from lakeweave.functions import serialise as S
 from lakeweave.operators import lake as L
 from lakeweave.operators import prepare as P
+from lakeweave.operators import ranks
 from lakeweave.operators import retrieval as R
 
 from .lake_queries import CELLS_SQL, cells
@@ -241,7 +241,7 @@ def grouped_linearise(t):
 def record_content_dedup(t):
     """Records of equal content are one; numbers follow first occurrence."""
     r = t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.min("event_id").alias("seq"))
-    return r.select((F.row_number().over(Window.orderBy("seq")) - 1).cast("long").alias("row_idx"), "k")
+    return ranks.numbered(r, "seq", "row_idx").select("row_idx", "k")
 
 
 @query()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeweave.operators import ranks
+
 #: The fixed layout of a vector record.
 VECTOR_SCHEMA = T.StructType([
     T.StructField("table_id", T.StringType()), T.StructField("model_name", T.StringType()), T.StructField("embedding_dim", T.IntegerType()),
@@ -144,9 +146,7 @@ def dedup_records(records: DataFrame, json_col: str, order: str) -> DataFrame:
     """(row_idx, record): each content once, numbered by first occurrence. Keys are sorted to compare contents."""
     canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(json_col, "map<string,string>")))))
     first = records.select(canonical.alias("record"), order).groupBy("record").agg(F.min(order).alias("at"))
-    from pyspark.sql import Window
-
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("row_idx"), "record")
+    return ranks.numbered(first, "at", "row_idx").select("row_idx", "record")
 
 
 def route(feed: DataFrame, kind: str, schema: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import pytest
 
+from lakeweave.functions import metrics as M
 from lakeweave.functions import serialise as S
 from lakeweave.operators import fragments as FR
 from lakeweave.operators import models, program, ranks
 from lakeweave.sources import readers as R
+from lakeweave.sources import writers as W
 
 ROWS, COLS = 60, 7
 
@@ -109,3 +111,17 @@ def test_pmi_sample(spark):
     assert got == {("t", 1): "r", ("t", 2): "p", ("t", 3): "q", ("u", 1): "p", ("u", 2): "q"}
     short = [r.token for r in S.pmi_sample(df, "t", "o", "a", "v", 1, of_topic=True).orderBy("t", "place").collect()]
     assert short == ["r", "p", "p", "q"]  # a value's words go in whole
+
+
+def test_numbered_and_shards(spark):
+    df = spark.createDataFrame([(f"n{i:03}",) for i in range(10)], "name string")
+    assert [r.at for r in ranks.numbered(df, "name", "at").orderBy("name").collect()] == list(range(10))
+    assert [r.shard for r in W.shards_of(df, "name", 4).orderBy("name").collect()] == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4]
+    assert [r.shard for r in W.shards_of(df.limit(2), "name", 4).orderBy("name").collect()] == [1, 2]
+    assert W.shards_of(df.limit(0), "name", 4).count() == 0
+
+
+def test_no_threshold(spark):
+    assert M.threshold_probe(spark.createDataFrame([], "y int, s double"), "y", "s").count() == 0
+    one = M.threshold_probe(spark.createDataFrame([(1, 0.5), (0, None)], "y int, s double"), "y", "s").first()
+    assert (one.threshold, one.f1) == (0.49, 1.0)
