@@ -106,7 +106,7 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def average_rank(df: DataFrame, c: str, out: str) -> DataFrame:
     """Ranks with ties at their mean, from counts of distinct values dealt out by ranges."""
-    of = ranks.counted(df, c).select(F.col(c).alias("_c"), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    of = ranks.counted(df.select(F.col(c).alias("_c")), "_c").select("_c", (F.col("before") + (F.col("n") + 1) / 2).alias(out))
     return df.join(of, F.col(c) == F.col("_c")).drop("_c")
 
 
@@ -128,6 +128,7 @@ def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def threshold_probe(df: DataFrame, y: str, score: str, margin: float = 0.01) -> DataFrame:
     """The first threshold, from low to high, with the best F1 for score >= threshold: midpoints of distinct scores and two ends."""
+    df, y, score = df.select(F.col(y).alias("_y"), F.col(score).alias("_score")), "_y", "_score"
     known = F.col(score).isNotNull()
     rows, hits, total = df.agg(F.count_if(known), F.sum(F.when(known, F.col(y))), F.sum(y)).first()
     n = ranks.counted(df, score, extra={"p": F.col(y)})

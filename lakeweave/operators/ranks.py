@@ -40,7 +40,8 @@ def quantiles(ranked: DataFrame, value: str, shares: dict[str, float], by: list[
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """``df`` with the number (from 0, as ``name``) of rows that come before in the order; equal values have one number, rows without one go."""
-    return df.join(counted(df, order).select(order, F.col("before").cast("long").alias(name)), order)
+    places = counted(df.select(F.col(order).alias("_order")), "_order").select(F.col("_order").alias(order), F.col("before").cast("long").alias(name))
+    return df.join(places, order)
 
 
 def placed(df: DataFrame, roll: str, ties: list[str], name: str, by: list[str] = ()) -> DataFrame:

@@ -119,6 +119,10 @@ def test_numbered_and_shards(spark):
     assert [r.shard for r in W.shards_of(df, "name", 4).orderBy("name").collect()] == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4]
     assert [r.shard for r in W.shards_of(df.limit(2), "name", 4).orderBy("name").collect()] == [1, 2]
     assert W.shards_of(df.limit(0), "name", 4).count() == 0
+    clash = spark.createDataFrame([(3, 0.5, 1), (1, 0.5, 0)], "n int, before double, y int")
+    assert {r.n: r.at for r in ranks.numbered(clash, "n", "at").collect()} == {1: 0, 3: 1}
+    assert M.threshold_probe(clash, "y", "n").first().threshold == 2.0
+    assert M.average_rank(clash, "n", "r").count() == 2
 
 
 def test_no_threshold(spark):
