@@ -90,7 +90,7 @@ def restored(output: Column, form: Column) -> Column:
 
     No text that was cut holds a mark, so each mark is found where it was put. Read as Latin-1 every byte is one character.
     """
-    text = F.decode(output, F.lit("ISO-8859-1"))
+    text = F.decode(output, "ISO-8859-1")
 
     def between(a: str, b: str) -> Column:
         """What lies between the marks; ``a`` stands before ``b``."""
@@ -100,7 +100,7 @@ def restored(output: Column, form: Column) -> Column:
     last = F.substring(text, F.locate(MID, text) + len(MID), F.length(text))
     psm = F.concat(between(PRE, SUF), last, between(SUF, MID))
     spm = F.concat(between(PRE, MID), last, between(SUF, PRE))
-    back = lambda c: F.encode(c, F.lit("ISO-8859-1"))
+    back = lambda c: F.encode(c, "ISO-8859-1")
     return F.when(form == "psm", back(psm)).when(form == "spm", back(spm)).otherwise(output)
 
 
