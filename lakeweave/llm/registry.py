@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fill_middle, licenses, line_dedup, lm_score, mixing, near_dedup, quality, secrets, toxicity
+from . import bpe, exact_dedup, fill_middle, licenses, line_dedup, lm_score, mixing, near_dedup, quality, secrets, toxicity, vector_codes
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_license_scans": licenses.op9_license_scans,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
 }
