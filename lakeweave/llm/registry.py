@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fill_middle, licenses, line_dedup, lm_score, mixing, near_dedup, quality, secrets, toxicity, vector_codes
+from . import bpe, exact_dedup, fill_middle, hash_forest, licenses, line_dedup, lm_score, mixing, near_dedup, quality, secrets, toxicity, vector_codes
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_hash_forest": hash_forest.op13_hash_forest,
 }
 
 ORACLES = {
