@@ -9,7 +9,9 @@ bits of one entry lie in one 64-bit word, so that a probe reads memory once. A t
 
 over its words and one end, where the end also stands before the first word, and all c come from the filter.
 
-Counting: each task counts its n-grams and hands each bucket its hashes and counts as two packed arrays; a bucket adds
+Counting: the number of buckets follows from the bytes of the training texts, BUCKET_BYTES each or fewer, and so the filter and the
+scores are the same on any partitioning and number of cores. Each task counts its n-grams and hands each bucket its hashes and counts as
+two packed arrays; a bucket adds
 them up and makes its own segment of the filter, of BITS bits an entry at every size. The segments are broadcast in parts
 of MAX_FILTER bytes or so, by whole segments. With several parts a worker holds one at a time: for each FAR_BYTES of texts it loads the
 parts one after the other and reads from each the n-grams whose buckets it has. The words' exact counts, which the base
@@ -36,6 +38,7 @@ MAX_FILTER, MAX_WORDS = 256 << 20, 8_000_000
 END = b" "  # no word is equal to it
 U = np.uint64
 FLUSH = 3_000_000  # n-grams that a task holds before it hands them on
+BUCKET_BYTES = 8 << 20  # of training texts for one bucket, or up to half of that
 CHUNK = 100_000  # tokens that are scored at once
 FAR_BYTES, FAR_CHUNK = 16 << 20, 4_000_000  # texts and tokens for which all parts of a filter of several are loaded once
 
@@ -183,9 +186,10 @@ def _packed(kind: int, h: np.ndarray, count: np.ndarray, buckets: int) -> pa.Rec
     )
 
 
-def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def train(docs: DataFrame, text_col: str = "text", entry_bits: int = BITS) -> DataFrame:
     """A row for each bucket: words and their counts (sorted by hash), the bucket's segment of the filter, and its totals."""
-    buckets = max(8, 2 * docs.rdd.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")).cast("long")).alias("n")).first().n or 0
+    buckets = max(8, 1 << (size // BUCKET_BYTES).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -226,7 +230,7 @@ def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out[kind] = sums, np.bincount(at, weights=n, minlength=len(sums)).astype(np.int64)
         both = [(h, level(n)) for h, n in out.values()]
         entries = int(sum(q.sum() for _, q in both))
-        size = max(1, -(-entries * BITS // 64))
+        size = max(1, -(-entries * entry_bits // 64))
         bits = np.zeros(size, U)
         for h, q in both:
             for j in range(1, int(q.max(initial=0)) + 1):
@@ -240,10 +244,10 @@ def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(add_up, "bucket int, h binary, n binary, words long, tokens long, bits binary, size long").withColumn("buckets", F.lit(buckets))
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, entry_bits: int = BITS) -> DataFrame:
     """One row per document: id, held_out (false), n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    model = stash(train(training, text_col))
+    model = stash(train(training, text_col, entry_bits))
     total = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.max("buckets").alias("b")).first()
     n, v, buckets = total.n or 0, total.v or 0, total.b or 1
     held = filter_parts(spark, model, buckets) | {"words": None, "counts": None}
