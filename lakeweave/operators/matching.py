@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.sources.writers import checkpoint_dir
+
 from .vector_join import top_k
 
 
@@ -164,39 +166,52 @@ def classify_pairs(aligned: DataFrame, sizes: DataFrame, union_ratio: float = 0.
     return x.select("ta", "tb", kind.alias("relation"), F.round(conf, 9).alias("confidence"), F.when(kind == "join", F.col("key_a")).alias("key_a"), F.when(kind == "join", F.col("key_b")).alias("key_b"))
 
 
-def csls(sim: np.ndarray, k: int) -> np.ndarray:
-    r = np.sort(sim, 1)[:, ::-1][:, : max(1, min(k, sim.shape[1]))].mean(1)
-    c = np.sort(sim, 0)[::-1][: max(1, min(k, sim.shape[0]))].mean(0)
-    return 2 * sim - r[:, None] - c[None, :]
+PAIR = ["ta", "tb"]
 
 
-def reciprocal(sim: np.ndarray, k: int = 5, rounds: int = 10, least_sim: float = 0.5, least_margin: float = 0.0) -> list[tuple[int, int, int]]:
-    """(row, column, round): mutual best by CSLS among what is left, if sure enough; then these go, and again."""
-    rows, cols, out = np.arange(sim.shape[0]), np.arange(sim.shape[1]), []
-    for turn in range(rounds):
-        if not len(rows) or not len(cols):
-            break
-        s = csls(sim[np.ix_(rows, cols)], k)
-        best, other = s.argmax(1), s.argmax(0)
-        found = []
-        for i, j in enumerate(best):
-            if other[j] == i and sim[rows[i], cols[j]] >= least_sim:
-                second = np.partition(s[i], -2)[-2] if s.shape[1] > 1 else -np.inf
-                if s[i, j] - second >= least_margin:
-                    found.append((i, int(j)))
-        if not found:
-            break
-        out += [(int(rows[i]), int(cols[j]), turn) for i, j in found]
-        rows, cols = np.delete(rows, [i for i, _ in found]), np.delete(cols, [j for _, j in found])
-    return out
+def _scored(edges: DataFrame, k: int) -> DataFrame:
+    """Edges with ``score``: by CSLS, twice the similarity less the means of both ends' k best; without ``k`` the similarity."""
+    if not k:
+        return edges.withColumn("score", F.col("sim"))
+    mean = lambda by, other: top_k(edges, [*PAIR, by], k, F.col("sim").desc(), F.col(other)).groupBy(*PAIR, by).agg(F.avg("sim").alias(f"m_{by}"))
+    both = edges.join(mean("a", "b"), [*PAIR, "a"]).join(mean("b", "a"), [*PAIR, "b"])
+    return both.withColumn("score", F.round(2 * F.col("sim") - F.col("m_a") - F.col("m_b"), 9)).drop("m_a", "m_b")
 
 
-def reciprocal_join(edges: DataFrame, **options) -> DataFrame:
-    """Rows a of table ta with rows b of tb by rounds of mutual nearest neighbours."""
+def _sure(scored: DataFrame, by: str, other: str, least_z: float, least_margin: float, most_entropy: float, z_scores: bool) -> DataFrame:
+    """(ta, tb, a, b): each row's best partner, where its z-score and margin (over the deviation) are large and the entropy of the row is small."""
+    first = F.max(F.struct(F.col("score").alias("s"), (-F.col(other)).alias("i")))  # ties: the least id
+    d = scored.groupBy(*PAIR, by).agg(first.alias("top"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev"), F.count("*").alias("n"))
+    d = d.select(*PAIR, by, F.col("top.s").alias("s1"), (-F.col("top.i")).alias("best"), "mean", "n", F.when(F.col("dev") < 1e-12, F.lit(1.0)).otherwise(F.col("dev")).alias("dev"))
+    x = (F.col("score") - F.col("s1")) / (F.col("dev") if z_scores else F.lit(1.0))
+    e = scored.join(d, [*PAIR, by]).withColumn("_x", x).withColumn("_e", F.exp("_x"))
+    e = e.groupBy(*PAIR, by, "best", "s1", "mean", "dev", "n").agg(F.max(F.when(F.col(other) != F.col("best"), F.col("score"))).alias("s2"), F.sum("_e").alias("z"), F.sum(F.col("_e") * F.col("_x")).alias("y"))
+    over = lambda c: F.round(c / F.col("dev"), 6)
+    margin = F.when(F.col("n") > 1, over(F.col("s1") - F.col("s2"))).otherwise(F.lit(float("inf")))
+    entropy = F.when(F.col("n") > 1, F.round((F.log("z") - F.col("y") / F.col("z")) / F.log("n"), 6)).otherwise(F.lit(0.0))
+    sure = (over(F.col("s1") - F.col("mean")) >= least_z) & (margin >= least_margin) & (entropy <= most_entropy)
+    return e.filter(sure).select(*PAIR, by, F.col("best").alias(other))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows, cols = matrix_of(pdf)
-        out = [(rows[i], cols[j], m[i, j], turn) for i, j, turn in reciprocal(m, **options)]
-        return pd.DataFrame(out, columns=["a", "b", "sim", "turn"]).assign(ta=pdf.ta.iloc[0], tb=pdf.tb.iloc[0])[["ta", "tb", "a", "b", "sim", "turn"]]
 
-    return edges.groupBy("ta", "tb").applyInPandas(run, "ta long, tb long, a long, b long, sim double, turn int")
+def reciprocal_join(edges: DataFrame, k: int = 5, rounds: int = 10, least_score: float | None = None, least_z: float = 0.0, least_margin: float = 0.0, most_entropy: float = 1.0, z_scores: bool = False) -> DataFrame:
+    """Rows a of table ta with rows b of table tb, by rounds of mutual best pairs: (ta, tb, a, b, sim, turn).
+
+    ``edges`` (ta, tb, a, b, sim) are the whole matrix of a pair of tables, or the neighbour lists that a join with a bound has left; all that
+    follows is over the edges there are. Each round scores the edges anew (by CSLS where ``k`` is not 0) and takes the pairs that are each
+    other's best and pass seven tests: least score, and for row and column each the z-score of the best, its margin over the second, and
+    the entropy of the scores. What was taken leaves with its edges by anti joins, for all pairs of tables in one plan; when a round
+    takes nothing, nothing would change any more.
+    """
+    checkpoint_dir(edges.sparkSession)
+    left, out = edges.select(*PAIR, "a", "b", "sim").checkpoint(), None
+    for turn in range(rounds):
+        scored = _scored(left, k).checkpoint()
+        tests = (least_z, least_margin, most_entropy, z_scores)
+        found = _sure(scored, "a", "b", *tests).join(_sure(scored, "b", "a", *tests), [*PAIR, "a", "b"])
+        found = scored.join(found, [*PAIR, "a", "b"])
+        found = (found if least_score is None else found.filter(F.col("score") >= least_score)).select(*PAIR, "a", "b", "sim", F.lit(turn).alias("turn")).checkpoint()
+        out = found if out is None else out.unionByName(found)
+        if not found.limit(1).count():
+            break
+        left = left.join(found.select(*PAIR, "a"), [*PAIR, "a"], "left_anti").join(found.select(*PAIR, "b"), [*PAIR, "b"], "left_anti").checkpoint()
+    return out if out is not None else edges.select(*PAIR, "a", "b", "sim", F.lit(0).alias("turn")).limit(0)

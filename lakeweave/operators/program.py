@@ -369,6 +369,22 @@ class Program:
         return sorted(n for n, f in FUNCTIONS.items() if f.args[0] in ancestors(kind) and not (n in several and not many) and not (n in single and many))
 
 
+def as_plain(x: Column) -> Column:
+    """A value as it is compared: a number in one way of writing, or lower-case text with single spaces."""
+    return F.coalesce(x.try_cast("double").cast("string"), F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")))
+
+
+def near_value(a: Column, b: Column) -> Column:
+    """Whether two plain values are equal, numbers within 1e-6."""
+    return (a == b) | F.coalesce(F.abs(a.try_cast("double") - b.try_cast("double")) < 1e-6, F.lit(False))
+
+
+def met_denotation(targets: Column, predictions: Column) -> Column:
+    """``denotation`` as an expression of two arrays of text."""
+    a, b = (F.array_distinct(F.transform(c, as_plain)) for c in (targets, predictions))
+    return (F.size(a) == F.size(b)) & F.forall(a, lambda x: F.exists(b, lambda y: near_value(x, y)))
+
+
 def denotation(targets: list, predictions: list) -> bool:
     """As many distinct values, and each target met by a prediction: equal text, numbers within 1e-6, or equal dates."""
 

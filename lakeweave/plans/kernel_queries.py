@@ -70,9 +70,32 @@ def classify_mutual_pairs(t):
     return M.classify_pairs(best, table_sizes(t), 0.4, 0.15, 0.3, 0.2, 0.15)
 
 
-@query()
+def _reciprocal_sql(k: int, rounds: int, score: float, z: float, margin: float, entropy: float) -> str:
+    text = f"""WITH {E_SQL}, l0 AS MATERIALIZED (SELECT a.id // 8 AS ta, b.id // 8 AS tb, a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS sim
+    FROM e a JOIN e b ON a.id // 8 % 2 = 0 AND b.id // 8 = a.id // 8 + 1)"""
+    for n in range(rounds):
+        best = lambda by, other: f"(SELECT ta, tb, {by}, avg(sim) AS m FROM (SELECT * FROM l{n} QUALIFY row_number() OVER (PARTITION BY ta, tb, {by} ORDER BY sim DESC, {other}) <= {k}) GROUP BY ta, tb, {by})"  # noqa: B023, E731
+        text += f", s{n} AS MATERIALIZED (SELECT l.*, round(2 * sim - x.m - y.m, 9) AS score FROM l{n} l JOIN {best('a', 'b')} x USING (ta, tb, a) JOIN {best('b', 'a')} y USING (ta, tb, b))"
+        for by, other in (("a", "b"), ("b", "a")):
+            text += f""", d{by}{n} AS (SELECT *, row_number() OVER (PARTITION BY ta, tb, {by} ORDER BY score DESC, {other}) AS r, count(*) OVER w AS n, avg(score) OVER w AS mean,
+            CASE WHEN stddev_pop(score) OVER w < 1e-12 THEN 1.0 ELSE stddev_pop(score) OVER w END AS dev, max(score) OVER w AS s1 FROM s{n} WINDOW w AS (PARTITION BY ta, tb, {by})),
+            o{by}{n} AS (SELECT ta, tb, {by}, max({other}) FILTER (r = 1) AS {other} FROM d{by}{n} GROUP BY ta, tb, {by}, n, mean, dev, s1
+            HAVING round((s1 - mean) / dev, 6) >= {z} AND (n = 1 OR (round((s1 - max(score) FILTER (r = 2)) / dev, 6) >= {margin}
+            AND round((ln(sum(exp((score - s1) / dev))) - sum(exp((score - s1) / dev) * (score - s1) / dev) / sum(exp((score - s1) / dev))) / ln(n), 6) <= {entropy})))"""
+        text += f""", f{n} AS MATERIALIZED (SELECT ta, tb, a, b, sim, {n} AS turn FROM s{n} JOIN oa{n} USING (ta, tb, a, b) JOIN ob{n} USING (ta, tb, a, b) WHERE score >= {score}),
+        l{n + 1} AS MATERIALIZED (SELECT * FROM l{n} l WHERE NOT EXISTS (FROM f{n} f WHERE f.ta = l.ta AND f.tb = l.tb AND (f.a = l.a OR f.b = l.b)))"""
+    return text + " " + " UNION ALL ".join(f"SELECT ta, tb, a, b, sim, turn::INT AS turn FROM f{n}" for n in range(rounds))
+
+
+@query(_reciprocal_sql(3, 4, -0.05, 1.2, 0.1, 0.95))
 def reciprocal_multi_round(t):
-    return M.reciprocal_join(edges(t), k=3, rounds=10, least_sim=0.0)
+    return M.reciprocal_join(edges(t), 3, 4, -0.05, 1.2, 0.1, 0.95, z_scores=True)
+
+
+@query(_reciprocal_sql(3, 2, -9.0, 0.0, 0.0, 1.0))
+def reciprocal_two_rounds(t):
+    """No test but mutual best: later rounds take many pairs."""
+    return M.reciprocal_join(edges(t), 3, 2, z_scores=True)
 
 
 def similar(t):

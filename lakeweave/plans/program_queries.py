@@ -90,18 +90,22 @@ _program(
 )
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES (1, ['a', '2'], ['2.0', 'A']), (2, ['a'], ['a', 'b']), (3, ['1.0000001'], ['1']), (4, ['x y'], [' X  Y ']), (5, ['5'], ['6'])) v(id, targets, predictions)),
+@query("""WITH c AS (SELECT p_partkey AS id, [p_brand, p_size::VARCHAR] AS targets, CASE p_partkey % 5 WHEN 0 THEN [upper(p_brand), p_size || '.0'] WHEN 1 THEN [p_brand]
+WHEN 2 THEN [' ' || p_brand || '  ', p_size || '.0000001'] WHEN 3 THEN [p_brand, (p_size + 1)::VARCHAR] ELSE [p_size::VARCHAR, p_brand, lower(p_brand)] END AS predictions FROM part),
 n AS (SELECT id, list_distinct(list_transform(targets, lambda x: coalesce(try_cast(x AS DOUBLE)::VARCHAR, trim(regexp_replace(lower(x), ' +', ' ', 'g'))))) AS a,
 list_distinct(list_transform(predictions, lambda x: coalesce(try_cast(x AS DOUBLE)::VARCHAR, trim(regexp_replace(lower(x), ' +', ' ', 'g'))))) AS b FROM c),
 u AS (SELECT id, a, b, unnest(a) AS x FROM n)
 SELECT id, bool_and(len(a) = len(b) AND len(list_filter(b, lambda y: y = x OR coalesce(abs(try_cast(x AS DOUBLE) - try_cast(y AS DOUBLE)) < 1e-6, false))) > 0) AS met FROM u GROUP BY id""")
 def denotation_check(t):
-    cases = [(1, ["a", "2"], ["2.0", "A"]), (2, ["a"], ["a", "b"]), (3, ["1.0000001"], ["1"]), (4, ["x y"], [" X  Y "]), (5, ["5"], ["6"])]
-    df = t("region").sparkSession.createDataFrame(cases, "id int, targets array<string>, predictions array<string>")
-    plain = lambda c: F.array_distinct(F.transform(c, lambda x: F.coalesce(x.try_cast("double").cast("string"), F.trim(F.regexp_replace(F.lower(x), " +", " ")))))
-    near = lambda x, y: F.coalesce(F.abs(x.try_cast("double") - y.try_cast("double")) < 1e-6, F.lit(False))
-    a, b = plain(F.col("targets")), plain(F.col("predictions"))
-    return df.select("id", ((F.size(a) == F.size(b)) & F.forall(a, lambda x: F.exists(b, lambda y: (x == y) | near(x, y)))).alias("met"))
+    brand, size, k = F.col("p_brand"), F.col("p_size"), F.col("p_partkey") % 5
+    said = (
+        F.when(k == 0, F.array(F.upper(brand), F.concat(size, F.lit(".0"))))
+        .when(k == 1, F.array(brand))
+        .when(k == 2, F.array(F.concat(F.lit(" "), brand, F.lit("  ")), F.concat(size, F.lit(".0000001"))))
+        .when(k == 3, F.array(brand, (size + 1).cast("string")))
+        .otherwise(F.array(size.cast("string"), brand, F.lower(brand)))
+    )
+    return t("part").select(F.col("p_partkey").alias("id"), P.met_denotation(F.array(brand, size.cast("string")), said).alias("met"))
 
 
 @query("SELECT o_orderkey, (strftime(o_orderdate, '%Y-%m-%d') >= '1997-06-15' AND month(o_orderdate) >= 6 AND day(o_orderdate) >= 15) AS met FROM orders")

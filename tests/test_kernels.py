@@ -33,10 +33,46 @@ def test_greedy_stops_at_the_threshold():
     assert matching.greedy(np.array([[0.0, -1.0]])) == []
 
 
-def test_reciprocal_matches():
-    assert matching.reciprocal(np.array([[0.9, 0.2], [0.8, 0.3]]), least_sim=0.85) == [(0, 0, 0)]
-    pairs = matching.reciprocal(np.eye(6) + 0.01, least_sim=0.5)
-    assert sorted(p[:2] for p in pairs) == [(i, i) for i in range(6)]
+def plain_rounds(sim, k, rounds, score, z, margin, entropy):
+    """Rounds over one dense matrix."""
+    rows, cols, out = list(range(sim.shape[0])), list(range(sim.shape[1])), []
+    for turn in range(rounds):
+        if not rows or not cols:
+            break
+        m = sim[np.ix_(rows, cols)]
+        mean = lambda x, k: np.sort(x, 1)[:, ::-1][:, : min(k, x.shape[1])].mean(1)
+        s = np.round(2 * m - mean(m, k)[:, None] - mean(m.T, k)[None, :], 9)
+
+        def sure(s):
+            dev = np.where(s.std(1) < 1e-12, 1.0, s.std(1))
+            x = (s - s.max(1, keepdims=True)) / dev[:, None]
+            p = np.exp(x) / np.exp(x).sum(1, keepdims=True)
+            many = s.shape[1] > 1
+            second = np.sort(s, 1)[:, -2] if many else np.full(len(s), -np.inf)
+            sharp = -(p * np.log(p)).sum(1) / np.log(s.shape[1]) if many else np.zeros(len(s))
+            return s.argmax(1), ((s.max(1) - s.mean(1)) / dev >= z - 5e-7) & ((s.max(1) - second) / dev >= margin - 5e-7) & (sharp <= entropy + 5e-7)
+
+        (best, ok), (other, fine) = sure(s), sure(s.T)
+        found = [(i, j) for i, j in enumerate(best) if other[j] == i and ok[i] and fine[j] and s[i, j] >= score]
+        if not found:
+            break
+        out += [(rows[i], cols[j], turn) for i, j in found]
+        rows = [r for i, r in enumerate(rows) if i not in {x for x, _ in found}]
+        cols = [c for j, c in enumerate(cols) if j not in {y for _, y in found}]
+    return out
+
+
+@pytest.mark.parametrize("tests", [(-9.0, 0.0, 0.0, 1.0), (-0.2, 1.1, 0.15, 0.97)])
+def test_reciprocal_rounds_equal_the_plain_version(spark, tests):
+    r = np.random.default_rng(5)
+    tables = {(1, 2): r.random((7, 9)), (3, 4): r.random((6, 1)), (5, 6): np.round(r.random((5, 5)), 1), (7, 8): np.ones((3, 2))}
+    rows = [(ta, tb, i, j, float(m[i, j])) for (ta, tb), m in tables.items() for i in range(m.shape[0]) for j in range(m.shape[1])]
+    edges = spark.createDataFrame(rows, "ta long, tb long, a long, b long, sim double")
+    score, z, margin, entropy = tests
+    got = matching.reciprocal_join(edges, 3, 6, score, z, margin, entropy, z_scores=True).collect()
+    want = sorted((ta, tb, *p) for (ta, tb), m in tables.items() for p in plain_rounds(m, 3, 6, *tests))
+    assert sorted((x.ta, x.tb, x.a, x.b, x.turn) for x in got) == want and want
+    assert matching.reciprocal_join(edges.limit(0)).count() == 0
 
 
 def test_capped_walk():
