@@ -1,5 +1,6 @@
-"""Matchings between the columns, or rows, of two tables. Each pair of tables is one small group: the kernels run on one
-similarity matrix at a time, in parallel over pairs, by applyInPandas."""
+"""Matchings between the columns, or rows, of two tables. A pair of tables of few columns is one small group: the kernels run on one
+similarity matrix at a time, in parallel over pairs, by applyInPandas. Optimal pairs of large tables come from an auction, and rounds
+of reciprocal matches are joins at any size."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.sources.writers import checkpoint_dir
 
+from . import auction
 from .vector_join import top_k
 
 
@@ -135,8 +137,11 @@ def top_tables(edges: DataFrame, sizes: DataFrame, threshold: float, k: int) ->
     return top_k(open_.join(exact, ["ta", "tb"], "left").fillna(0.0), ["ta"], k, F.col("score").desc(), F.col("tb"))
 
 
-def align_columns(edges: DataFrame, how: str = "optimal", threshold: float = 0.0) -> DataFrame:
-    """One-to-one pairs of columns: optimal (no threshold before, sim > threshold after) or greedy."""
+def align_columns(edges: DataFrame, how: str = "optimal", threshold: float = 0.0, most: int = 4_000_000) -> DataFrame:
+    """One-to-one pairs of columns: optimal (no threshold before, sim > threshold after) or greedy.
+
+    A pair of tables of up to ``most`` edges is one dense matrix in one task; optimal pairs of larger ones come from an auction.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, rows, cols = matrix_of(pdf)
@@ -144,7 +149,15 @@ def align_columns(edges: DataFrame, how: str = "optimal", threshold: float = 0.0
         out = [(rows[i], cols[j], m[i, j]) for i, j in pairs if m[i, j] > threshold]
         return pd.DataFrame(out, columns=["a", "b", "sim"]).assign(ta=pdf.ta.iloc[0], tb=pdf.tb.iloc[0])[["ta", "tb", "a", "b", "sim"]]
 
-    return edges.groupBy("ta", "tb").applyInPandas(run, "ta long, tb long, a long, b long, sim double")
+    dense = lambda e: e.groupBy("ta", "tb").applyInPandas(run, "ta long, tb long, a long, b long, sim double")
+    if how != "optimal":
+        return dense(edges)
+    large = edges.groupBy("ta", "tb").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("ta", "tb")
+    if not large.limit(1).count():
+        return dense(edges)
+    own = edges.join(large, ["ta", "tb"], "left_semi").filter((F.col("sim") >= threshold) & (F.col("sim") > 0))
+    found = own.join(auction.auction(own.withColumnRenamed("sim", "gain")), ["ta", "tb", "a", "b"]).filter(F.col("sim") > threshold)
+    return dense(edges.join(large, ["ta", "tb"], "left_anti")).unionByName(found.select("ta", "tb", "a", "b", "sim"))
 
 
 def classify_pairs(aligned: DataFrame, sizes: DataFrame, union_ratio: float = 0.6, union_mean: float = 0.6, join_ratio: float = 0.5, key_sim: float = 0.7, floor: float = 0.0) -> DataFrame:

@@ -16,18 +16,18 @@ from .registry import query
 from .vector_queries import E_SQL, sides
 
 
-def edges(t, least=-2.0):
-    """Tables are groups of eight vectors with neighbouring ids; pairs are tables 2n and 2n + 1."""
-    e = t("embeddings").filter("embedding IS NOT NULL").select("vec_id", F.floor(F.col("vec_id") / 8).alias("tab"), V.doubles(F.col("embedding")).alias("v"))
+def edges(t, least=-2.0, columns=8):
+    """Tables are groups of so many vectors with neighbouring ids; pairs are tables 2n and 2n + 1."""
+    e = t("embeddings").filter("embedding IS NOT NULL").select("vec_id", F.floor(F.col("vec_id") / columns).alias("tab"), V.doubles(F.col("embedding")).alias("v"))
     q = e.filter("tab % 2 = 0").select((F.col("tab") + 1).alias("tb"), F.col("tab").alias("ta"), F.col("vec_id").alias("a"), F.col("v").alias("va"))
     c = e.filter("tab % 2 = 1").select(F.col("tab").alias("tb"), F.col("vec_id").alias("b"), F.col("v").alias("vb"))
     p = q.join(c, "tb").select("ta", "tb", "a", "b", (F.round(V.cosine(F.col("va"), F.col("vb")), 6) + 0.0).alias("sim"))
     return p.filter(F.col("sim") >= least)
 
 
-def table_sizes(t):
+def table_sizes(t, columns=8):
     """(ta, tb, na, nb): the pairs of tables that have both, and their numbers of columns."""
-    n = t("embeddings").filter("embedding IS NOT NULL").groupBy(F.floor(F.col("vec_id") / 8).alias("tab")).agg(F.count("*").alias("n"))
+    n = t("embeddings").filter("embedding IS NOT NULL").groupBy(F.floor(F.col("vec_id") / columns).alias("tab")).agg(F.count("*").alias("n"))
     a = n.filter("tab % 2 = 0").select(F.col("tab").alias("ta"), (F.col("tab") + 1).alias("tb"), F.col("n").alias("na"))
     return a.join(n.select(F.col("tab").alias("tb"), F.col("n").alias("nb")), "tb").select("ta", "tb", "na", "nb")
 
@@ -42,6 +42,31 @@ def assignment_pairs(t):
     return M.align_columns(edges(t))
 
 
+#: All ways to pair four columns with four, one by one.
+_FOUR_SQL = f"""WITH {E_SQL}, p AS MATERIALIZED (SELECT a.id // 4 AS ta, b.id // 4 AS tb, a.id % 4 AS i, b.id % 4 AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS sim
+  FROM e a JOIN e b ON a.id // 4 % 2 = 0 AND b.id // 4 = a.id // 4 + 1), g AS (SELECT *, CASE WHEN sim >= 0.1 THEN sim ELSE 0 END AS gain FROM p)
+SELECT w.ta, w.tb, round(max(w.gain + x.gain + y.gain + z.gain), 6) AS matched FROM g w JOIN g x USING (ta, tb) JOIN g y USING (ta, tb) JOIN g z USING (ta, tb)
+WHERE w.i = 0 AND x.i = 1 AND y.i = 2 AND z.i = 3 AND len(list_distinct([w.j, x.j, y.j, z.j])) = 4 GROUP BY w.ta, w.tb"""
+
+
+def _matched(t, **how):
+    pairs = M.align_columns(edges(t, columns=4), threshold=0.1, **how).groupBy("ta", "tb").agg(F.sum("sim").alias("s"))
+    out = table_sizes(t, 4).filter("na = 4 and nb = 4").join(pairs, ["ta", "tb"], "left")
+    return out.select("ta", "tb", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("matched"))
+
+
+@query(_FOUR_SQL)
+def assignment_of_four(t):
+    """Pairs of tables as small dense matrices."""
+    return _matched(t)
+
+
+@query(_FOUR_SQL)
+def assignment_auction(t):
+    """The same by an auction over all pairs of tables at once."""
+    return _matched(t, most=0)
+
+
 @query()
 def greedy_match(t):
     return M.align_columns(edges(t), how="greedy")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lakeweave.operators import graph, matching
+from lakeweave.operators import auction, graph, matching
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (2, 3), (4, 2), (5, 5), (3, 6), (6, 4)])
@@ -33,6 +33,20 @@ def test_greedy_stops_at_the_threshold():
     assert matching.greedy(np.array([[0.0, -1.0]])) == []
 
 
+def test_large_pairs_of_tables_go_to_an_auction(spark):
+    r = np.random.default_rng(3)
+    tables = {(1, 2): np.round(r.random((3, 5)), 2), (5, 6): np.full((3, 3), 0.5), (7, 8): np.array([[0.9, 0.8], [0.8, 0.0]]), (9, 10): np.array([[-1.0]])}
+    rows = [(ta, tb, i, j, float(m[i, j])) for (ta, tb), m in tables.items() for i in range(m.shape[0]) for j in range(m.shape[1])]
+    edges = spark.createDataFrame(rows, "ta long, tb long, a long, b long, sim double")
+    got = matching.align_columns(edges, most=4).collect()
+    for (ta, tb), m in tables.items():
+        own = [(x.a, x.b) for x in got if (x.ta, x.tb) == (ta, tb)]
+        assert len({a for a, _ in own}) == len({b for _, b in own}) == len(own)
+        kept = np.where(m < 0, 0.0, m)
+        assert abs(sum(m[p] for p in own) - sum(kept[p] for p in matching.assignment(kept))) < 1e-6
+    assert auction.auction(edges.limit(0).withColumnRenamed("sim", "gain")).count() == 0
+
+
 def plain_rounds(sim, k, rounds, score, z, margin, entropy):
     """Rounds over one dense matrix."""
     rows, cols, out = list(range(sim.shape[0])), list(range(sim.shape[1])), []
