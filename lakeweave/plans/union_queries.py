@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeweave.functions import vectors as V
-from lakeweave.operators import lsh
+from lakeweave.operators import lsh, neighbour_graph
+from lakeweave.operators import vector_join as J
 
 from .registry import query
 from .vector_queries import E_SQL, PLANES
@@ -46,3 +47,25 @@ def union_search_topk(t):
     q, c = _columns(t)
     hits = lsh.multi_probe(q, c, PLANES, 3)
     return lsh.union_search(q, c, hits, 0.15, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _by_graph(t, k):
+    e = t("embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    graph = neighbour_graph.build(e, 24)
+    return e, neighbour_graph.search(graph, e, e.filter("id % 50 = 0").select(F.col("id").alias("qid"), "v"), k, 160)
+
+
+@query()
+def graph_topk(t):
+    """The ten nearest vectors of the stated queries by a search of the neighbour graph."""
+    return _by_graph(t, 10)[1].withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def graph_recall(t):
+    """Whether the graph finds nine of ten of the ten nearest by the exact join."""
+    e, found = _by_graph(t, 10)
+    q, c = (e.filter("id % 50 = 0"), e)
+    exact = J.cosine_join(q.select(F.col("id").alias("qid"), F.col("id").alias("qgroup"), "v"), c.select(F.col("id").alias("cid"), F.col("id").alias("cgroup"), "v"), k=10)
+    both = exact.select("qid", "cid").join(found.select("qid", "cid", F.lit(1).alias("hit")), ["qid", "cid"], "left")
+    return both.agg(F.countDistinct("qid").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
