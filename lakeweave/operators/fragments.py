@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.operators import ranks
-from lakeweave.operators.prepare import corrupt_text, keyed
+from lakeweave.operators.prepare import RENAMED, keyed, renamed, spoilt
 from lakeweave.sources.writers import checkpoint_dir
 
 #: Shares of columns and rows in the seed, the least of either, and what the other parts keep at least.
 COLUMN_SHARE, ROW_SHARE = (0.35, 0.50), (0.60, 0.80)
 LEAST_COLUMNS, LEAST_ROWS, OTHER_COLUMNS, OTHER_ROWS = 2, 10, 2, 5
-#: In a hundred, renamed columns, spoilt cells and spoilt keys; least and most rows and columns from nowhere.
-RENAMED, SPOILT, SPOILT_KEYS = 70, 5, 10
+#: Least and most rows and columns from nowhere.
 SPURIOUS_ROWS, SPURIOUS_COLUMNS = (2, 5), (1, 2)
 NOWHERE = -1
 
@@ -53,14 +52,6 @@ def base_split(cells: DataFrame, keys: DataFrame, seed: str = "0") -> DataFrame:
     return x.select(*cells.columns, key.alias("is_key"), F.explode(F.array_compact(kinds)).alias("kind"))
 
 
-def renamed(c: Column, roll: Column) -> Column:
-    """One of five ways to write a column's name otherwise."""
-    return (
-        F.when(roll % 5 == 0, F.lower(c)).when(roll % 5 == 1, F.upper(c)).when(roll % 5 == 2, F.replace(c, F.lit(" "), F.lit("_")))
-        .when(roll % 5 == 3, F.replace(c, F.lit("_"), F.lit(" "))).otherwise(F.concat(c, F.lit(" ")))
-    )
-
-
 def fragments(cells: DataFrame, keys: DataFrame, tier: int, seed: str = "0") -> DataFrame:
     """The cells of all fragments of one tier: fragment_id, table_id, kind, row_idx, col_idx, col, value, row_parent, col_parent, is_key.
 
@@ -83,8 +74,7 @@ def fragments(cells: DataFrame, keys: DataFrame, tier: int, seed: str = "0") ->
         x = x.withColumn("col", F.when(noisy & (name % 100 < RENAMED), renamed(F.col("col"), F.floor(name / 100))).otherwise(F.col("col")))
     if tier >= 2:
         cell = roll("cell", "row_parent", "col_parent")
-        share = F.when(F.col("is_key"), SPOILT_KEYS if tier >= 3 else 0).otherwise(SPOILT)
-        x = x.withColumn("value", F.when(noisy & (cell % 100 < share), corrupt_text(F.col("value"), F.floor(cell / 100))).otherwise(F.col("value")))
+        x = x.withColumn("value", F.when(noisy, spoilt(F.col("value"), F.col("is_key"), cell, tier)).otherwise(F.col("value")))
     names = ["fragment_id", "table_id", "kind", "row_idx", "col_idx", "col", "value", "row_parent", "col_parent", "is_key"]
     x = x.select(*names)
     if tier < 3:
@@ -96,15 +86,15 @@ def fragments(cells: DataFrame, keys: DataFrame, tier: int, seed: str = "0") ->
     new_rows = sizes.withColumn("_j", F.explode(F.sequence(F.lit(1), between(SPURIOUS_ROWS, roll("new rows"))))).withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     new_rows = new_rows.select("fragment_id", "col_idx", (roll("from", "_j", "col_idx") % F.col("_n")).alias("row_idx"), (F.col("_n") + F.col("_j") - 1).alias("_to"))
     x = x.unionByName(x.join(new_rows, ["fragment_id", "row_idx", "col_idx"]).withColumn("row_idx", F.col("_to")).withColumn("row_parent", F.lit(NOWHERE)).select(*names))
-    # a column from nowhere is another one's values in another order of the rows
+    # a column from nowhere is another one's values, with the rows in the order of a hash
     extra = F.transform(
         F.sequence(F.lit(1), between(SPURIOUS_COLUMNS, roll("new columns"))),
-        lambda j: F.struct(j.alias("j"), (roll("like", j) % F.col("_m")).cast("int").alias("like"), roll("by", j).alias("by"), F.concat(F.lit("extra_"), 1000 + roll("called", j) % 9000).alias("name")),
+        lambda j: F.struct(j.alias("j"), (roll("like", j) % F.col("_m")).cast("int").alias("like"), F.concat(F.lit("extra_"), 1000 + roll("called", j) % 9000).alias("name")),
     )
-    new_cols = sizes.select("fragment_id", "_m", (F.col("_n") + between(SPURIOUS_ROWS, roll("new rows"))).alias("_all"), F.explode(extra).alias("_e")).withColumn("col_idx", F.col("_e.like"))
-    new_cols = x.join(new_cols, ["fragment_id", "col_idx"]).withColumns({
-        "row_idx": (F.col("row_idx") + F.col("_e.by")) % F.col("_all"), "col_idx": F.col("_m") + F.col("_e.j") - 1, "col": F.col("_e.name"), "col_parent": F.lit(NOWHERE), "is_key": F.lit(False),
-    })
+    new_cols = sizes.select("fragment_id", "_m", F.explode(extra).alias("_e")).select("fragment_id", "_m", F.col("_e.j").alias("_j"), F.col("_e.like").alias("col_idx"), F.col("_e.name").alias("_name"))
+    new_cols = x.join(new_cols, ["fragment_id", "col_idx"]).withColumn("_h", roll("by", "_j", "row_idx"))
+    new_cols = ranks.placed(new_cols, "_h", ["row_idx"], "_to", ["fragment_id", "_j"])
+    new_cols = new_cols.withColumns({"row_idx": F.col("_to"), "col_idx": F.col("_m") + F.col("_j") - 1, "col": F.col("_name"), "col_parent": F.lit(NOWHERE), "is_key": F.lit(False)})
     parents = x.groupBy("fragment_id", "row_idx").agg(F.max("row_parent").alias("row_parent"))
     return x.unionByName(new_cols.drop("row_parent").join(parents, ["fragment_id", "row_idx"]).select(*names))
 

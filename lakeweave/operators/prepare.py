@@ -70,18 +70,48 @@ def exact_split(df: DataFrame, key: str, shares: dict[str, int], seed: str = "sp
     return ranked.withColumn("split", out).drop("_h", "_r").filter(F.col("split").isNotNull())
 
 
-def corrupt_text(c: Column, roll: Column) -> Column:
-    """One of six spoilings by roll % 6: upper case, blanks to _, _ to blanks, blank, cut by one, blank at the end."""
-    return (
-        F.when(roll % 6 == 0, F.upper(c)).when(roll % 6 == 1, F.replace(c, F.lit(" "), F.lit("_"))).when(roll % 6 == 2, F.replace(c, F.lit("_"), F.lit(" ")))
-        .when(roll % 6 == 3, F.lit("")).when(roll % 6 == 4, F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(F.concat(c, F.lit(" ")))
-    )
-
-
-def noisy_cells(cells: DataFrame, percent: int, seed: str) -> DataFrame:
-    """``percent`` in a hundred cells (table_id, row_idx, col, value) are spoilt."""
-    roll = keyed(seed, "table_id", "row_idx", "col")
-    return cells.withColumn("value", F.when(roll % 100 < percent, corrupt_text(F.col("value"), F.floor(roll / 100))).otherwise(F.col("value")))
+#: In a hundred, renamed columns, spoilt cells and spoilt keys.
+RENAMED, SPOILT, SPOILT_KEYS = 70, 5, 10
+
+
+def renamed(name: Column, roll: Column) -> Column:
+    """One of five ways to write a column's name otherwise: lower or upper case, blanks to _, _ to blanks, one blank at the end."""
+    ways = [F.lower(name), F.upper(name), F.replace(name, F.lit(" "), F.lit("_")), F.replace(name, F.lit("_"), F.lit(" ")), F.concat(F.rtrim(name), F.lit(" "))]
+    return F.element_at(F.array(*ways), (roll % 5 + 1).cast("int"))
+
+
+def swapped(c: Column, roll: Column) -> Column:
+    """Two neighbouring characters change places; a text of one stays as it is."""
+    at = (roll % F.greatest(F.length(c) - 1, F.lit(1))).cast("int")
+    cut = lambda start, n: F.substring(c, start, n)
+    return F.when(F.length(c) < 2, c).otherwise(F.concat(cut(F.lit(1), at), cut(at + 2, F.lit(1)), cut(at + 1, F.lit(1)), cut(at + 3, F.length(c))))
+
+
+def spoilt_cell(c: Column, roll: Column) -> Column:
+    """One of three: nothing is left, two neighbours change places, or the first half is left of three characters or more."""
+    half = F.when(F.length(c) < 3, c).otherwise(F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int")))
+    return F.when(c.isNull(), c).when(roll % 3 == 0, F.lit("")).when(roll % 3 == 1, swapped(c, F.floor(roll / 3))).otherwise(half)
+
+
+def spoilt_key(c: Column, roll: Column) -> Column:
+    """One of three small ones, so that a key never gets lost: neighbours change places, a blank at the end, or the last of two characters or more goes."""
+    shorter = F.when(F.length(c) < 2, c).otherwise(F.substring(c, F.lit(1), F.length(c) - 1))
+    return F.when(roll % 3 == 0, swapped(c, F.floor(roll / 3))).when(roll % 3 == 1, F.concat(c, F.lit(" "))).otherwise(shorter)
+
+
+def spoilt(c: Column, is_key: Column, roll: Column, tier: int) -> Column:
+    """A cell's value after the noise of a tier: from 2 on cells that are no keys are spoilt, from 3 on keys too."""
+    if tier < 2:
+        return c
+    by, key = F.floor(roll / 100), is_key & F.lit(tier >= 3)
+    return F.when(key & (roll % 100 < SPOILT_KEYS), spoilt_key(c, by)).when(~is_key & (roll % 100 < SPOILT), spoilt_cell(c, by)).otherwise(c)
+
+
+def noisy_cells(cells: DataFrame, tier: int, is_key: Column, seed: str) -> DataFrame:
+    """Cells (table_id, row_idx, col, value) with noise: tier 1 renames columns, tier 2 spoils cells as well, tier 3 also keys."""
+    name, cell = keyed(f"{seed}:name", "table_id", "col"), keyed(seed, "table_id", "row_idx", "col")
+    new = F.when(name % 100 < RENAMED, renamed(F.col("col"), F.floor(name / 100))).otherwise(F.col("col")) if tier >= 1 else F.col("col")
+    return cells.withColumns({"value": spoilt(F.col("value"), is_key, cell, tier), "col": new})
 
 
 def swap_corruption(df: DataFrame, key: str, column: str, percent: int, seed: str) -> DataFrame:

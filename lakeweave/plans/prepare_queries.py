@@ -54,25 +54,32 @@ def exact_split(t):
     return P.exact_split(t("nation"), "n_nationkey", {"train": 10, "test": 10}).select("n_nationkey", "split")
 
 
-_ROLL = md5_sql("noise", "table_id", "row_idx", "col")
+#: What stands for the keys of the two tables.
+KEYS = ("n_name", "c_name")
+_SWAP = "CASE WHEN length(value) < 2 THEN value ELSE substr(value, 1, (k // 3 % greatest(length(value) - 1, 1))::INT) || substr(value, (k // 3 % greatest(length(value) - 1, 1))::INT + 2, 1) || substr(value, (k // 3 % greatest(length(value) - 1, 1))::INT + 1, 1) || substr(value, (k // 3 % greatest(length(value) - 1, 1))::INT + 3) END"
 
 
-def _noise(tier, percent):
+def _noise(tier):
     from .lake_queries import CELLS_SQL
 
     @query(
-        f"""WITH {CELLS_SQL}, r AS (SELECT *, {_ROLL} AS roll, {_ROLL} // 100 % 6 AS k FROM cells WHERE table_id IN ('nation', 'customer'))
-        SELECT table_id, row_idx, col, CASE WHEN roll % 100 >= {percent} THEN value WHEN k = 0 THEN upper(value) WHEN k = 1 THEN replace(value, ' ', '_') WHEN k = 2 THEN replace(value, '_', ' ')
-        WHEN k = 3 THEN '' WHEN k = 4 THEN substr(value, 1, length(value) - 1) ELSE value || ' ' END AS value FROM r""",
+        f"""WITH {CELLS_SQL}, r AS (SELECT *, col IN {KEYS} AS is_key, {md5_sql("noise", "table_id", "row_idx", "col")} AS roll, {md5_sql("noise:name", "table_id", "col")} AS name FROM cells WHERE table_id IN ('nation', 'customer')),
+        k AS (SELECT *, roll // 100 AS k FROM r)
+        SELECT table_id, row_idx, CASE WHEN name % 100 >= 70 THEN col ELSE [lower(col), upper(col), replace(col, ' ', '_'), replace(col, '_', ' '), rtrim(col) || ' '][name // 100 % 5 + 1] END AS col,
+        CASE WHEN is_key AND {tier} >= 3 AND roll % 100 < 10 THEN
+          CASE k % 3 WHEN 0 THEN {_SWAP} WHEN 1 THEN value || ' ' ELSE CASE WHEN length(value) < 2 THEN value ELSE substr(value, 1, length(value) - 1) END END
+        WHEN NOT is_key AND {tier} >= 2 AND roll % 100 < 5 THEN
+          CASE k % 3 WHEN 0 THEN CASE WHEN value IS NULL THEN NULL ELSE '' END WHEN 1 THEN {_SWAP} ELSE CASE WHEN length(value) < 3 THEN value ELSE substr(value, 1, length(value) // 2) END END
+        ELSE value END AS value FROM k""",
         name=f"noise_tier{tier}",
     )
     def run(t):
         c = cells(t).filter(F.col("table_id").isin("nation", "customer"))
-        return P.noisy_cells(c, percent, "noise").select("table_id", "row_idx", "col", "value")
+        return P.noisy_cells(c, tier, F.col("col").isin(*KEYS), "noise").select("table_id", "row_idx", "col", "value")
 
 
-for _tier, _percent in ((1, 1), (2, 5), (3, 10)):
-    _noise(_tier, _percent)
+for _tier in (1, 2, 3):
+    _noise(_tier)
 
 
 @query(f"""WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part),

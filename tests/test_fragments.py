@@ -54,6 +54,28 @@ def test_fragments(spark, parent, tier):
                     assert sorted(v) in [sorted(w) for (_, q), w in values.items() if q >= 0]
 
 
+def test_noise_of_cells_keys_and_names(spark):
+    from pyspark.sql import functions as F
+
+    from lakeweave.operators import prepare as P
+
+    rows = spark.createDataFrame([("abcde",), ("a",), ("ab",), ("",), (None,), ("a B_c ",)], "x string").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    got = rows.select("x", "r", P.spoilt_cell(F.col("x"), F.col("r")).alias("c"), P.spoilt_key(F.col("x"), F.col("r")).alias("k"), P.renamed(F.col("x"), F.col("r")).alias("n")).collect()
+
+    def swap(x, r):
+        i = r % max(len(x) - 1, 1)
+        return x if len(x) < 2 else x[:i] + x[i + 1] + x[i] + x[i + 2 :]
+
+    for g in got:
+        x, r = g.x, g.r
+        if x is None:
+            assert (g.c, g.k, g.n) == (None, None, None)
+            continue
+        assert g.c == ["", swap(x, r // 3), x if len(x) < 3 else x[: len(x) // 2]][r % 3]
+        assert g.k == [swap(x, r // 3), x + " ", x if len(x) < 2 else x[:-1]][r % 3] and (g.k or not x)
+        assert g.n == [x.lower(), x.upper(), x.replace(" ", "_"), x.replace("_", " "), x.rstrip(" ") + " "][r % 5]
+
+
 def test_manifest(parent):
     rows = {(r.table_id, r.kind): r for r in FR.manifest(FR.fragments(*parent, 0)).collect()}
     assert rows["two", "seed"].role == "query" and rows["two", "join"].role == "lake"
