@@ -187,3 +187,24 @@ def synthetic_rows(t):
     a = s.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in normal for k, f in (("m", F.avg), ("d", F.stddev))], F.avg(F.col("f0").isNull().cast("int")).alias("miss"))
     ok = lambda cols: F.forall(F.array(*cols), lambda x: F.abs(x) < 0.1)
     return a.select("n", F.lit(len(s.columns) - 2).cast("long").alias("features"), ok([*[F.col(f"m{c}") for c in normal], *[F.col(f"d{c}") - 1 for c in normal]]).alias("normal"), (F.abs(F.col("miss") - 0.1) < 0.05).alias("missing"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS t, o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+c AS (SELECT DISTINCT t, unnest([0, 0, 0, 1, 1, 1])::INT AS row, unnest([0, 1, 2, 0, 1, 2])::INT AS col, unnest(['order', 'about', '', '', 'status', 'name']) AS text, -1 AS i FROM o
+  UNION ALL SELECT t, (i + 2)::INT, j::INT, CASE j WHEN 0 THEN k::VARCHAR WHEN 1 THEN s ELSE 'order ' || k END, i FROM o, range(3) r(j))
+SELECT t AS table_id, row, col, text, CASE WHEN col = 0 THEN [-1, -1, 0, -1] WHEN row = 0 AND col = 1 THEN [-1, -1, 1, -1] WHEN row = 0 THEN [-1, -1, -1, -1] ELSE [-1, -1, 1, col - 1] END AS top,
+[-1, -1, -1, i::INT] AS "left" FROM c""")
+def header_tree_cells(t):
+    """The orders of each customer as a record with a tree of two levels over its columns and a flat one beside its rows."""
+    from lakeweave.sources import header_trees
+
+    node = lambda r, c, below="[]": F.concat(F.lit(f'{{"RI": '), r, F.lit(f', "CI": {c}, "Cd": {below}}}'))  # noqa: E731, F541
+    about = '[{"RI": 1, "CI": 1, "Cd": []}, {"RI": 1, "CI": 2, "Cd": []}]'
+    top = f'{{"Cd": [{{"RI": 0, "CI": 0, "Cd": []}}, {{"RI": 0, "CI": 1, "Cd": {about}}}]}}'
+    own = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    row = lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"], F.concat(F.lit("order "), x["o_orderkey"]))
+    texts = F.to_json(F.concat(F.array(F.array(*map(F.lit, ("order", "about", ""))), F.array(*map(F.lit, ("", "status", "name")))), F.transform("o", row)))
+    left = F.concat(F.lit('{"Cd": ['), F.array_join(F.transform("o", lambda x, i: node((i + 2).cast("string"), 0)), ", "), F.lit("]}"))
+    record = F.concat(F.lit('{"Title": "orders", "Texts": '), texts, F.lit(f', "MergedRegions": [], "TopHeaderRowsNumber": 2, "LeftHeaderColumnsNumber": 1, "TopTreeRoot": {top}, "LeftTreeRoot": '), left, F.lit("}"))
+    cells = header_trees.read_header_trees(own.select(F.col("o_custkey").alias("table_id"), record.alias("value")))
+    return cells.select("table_id", "row", "col", "text", "top", "left")
