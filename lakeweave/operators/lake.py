@@ -99,3 +99,36 @@ def append_aligned(left: DataFrame, right: DataFrame, alignment: dict[str, str])
     """Rows of ``right`` under the names of ``left`` (left name to right name); what is not aligned is null."""
     own = right.select(*[F.col(r).cast(left.schema[c].dataType).alias(c) for c, r in alignment.items()])
     return left.unionByName(own, allowMissingColumns=True)
+
+
+def column_sketch(df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+    """One row a column: nulls (empty texts are nulls), distinct values (all nulls count as one), and of numbers the nine deciles, mean,
+    population deviation (0 for up to two values), least and largest; of texts the mean width of a row in bytes.
+
+    A column of numbers that is null throughout, or has one value, has no figures. Counts of distinct values, dealt out by ranges, give
+    them all: no task has all values of a column.
+    """
+    from lakeweave.operators import ranks
+
+    deciles = {f"q{i}": i / 10 for i in range(1, 10)}
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "col", "x")
+    about = x.groupBy("col").agg(F.count_if(F.col("x").isNull()).alias("n_null"))
+    r = ranks.counted(x, "x", ["col"])
+    mean = r.groupBy("col").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("_m"), F.count("*").alias("_k"))
+    figures = r.join(mean, "col").groupBy("col", "_k").agg(
+        F.max("_m").alias("mean"), F.sqrt(F.sum(F.col("n") * (F.col("x") - F.col("_m")) ** 2) / F.sum("n")).alias("deviation"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
+    out = about.join(figures, "col", "left").join(ranks.quantiles(r, "x", deciles, ["col"]), "col", "left")
+    unique = F.coalesce("_k", F.lit(0)) + (F.col("n_null") > 0).cast("long")
+    out = out.withColumn("n_unique", unique).withColumn("deviation", F.when(F.col("n_unique") > 2, F.col("deviation")).when(F.col("_k").isNotNull(), F.lit(0.0)))
+    shown = [*deciles, "mean", "deviation", "low", "high"]
+    numbered = out.select("col", F.lit("number").alias("kind"), "n_null", "n_unique", *[F.when(F.col("n_unique") > 1, F.round(c, 4)).alias(c) for c in shown], F.lit(None).cast("double").alias("width"))
+    v = df.select(*[F.col(c).cast("string").alias(c) for c in texts]).unpivot([], texts, "col", "x").withColumn("x", F.when(F.col("x") != "", F.col("x")))
+    each = v.groupBy("col", "x").agg(F.count("*").alias("n"))
+    words = each.groupBy("col").agg(F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("*").alias("n_unique"), (F.sum(F.col("n") * F.coalesce(F.octet_length("x"), F.lit(0))) / F.sum("n")).alias("width"))
+    return numbered.unionByName(words.select("col", F.lit("text").alias("kind"), "n_null", "n_unique", *[F.lit(None).cast("double").alias(c) for c in shown], F.round("width", 4).alias("width")))
+
+
+def sample_values(cells: DataFrame) -> DataFrame:
+    """(table_id, col, value): the first cell of each column that is not empty."""
+    return cells.filter("trim(value) <> ''").groupBy("table_id", "col").agg(F.min_by("value", "row_idx").alias("value"))

@@ -121,3 +121,21 @@ def swap_corruption(df: DataFrame, key: str, column: str, percent: int, seed: st
     own = rows.withColumn("_from", F.when(keyed(f"{seed}:mask", key) % 100 < percent, keyed(f"{seed}:from", key) % max(n, 1)).otherwise(F.col("_i")))
     other = rows.select(F.col("_i").alias("_from"), F.col(column).alias("_new"))
     return own.join(other, "_from").withColumn("changed", ~F.col(column).eqNullSafe(F.col("_new"))).withColumn(column, F.col("_new")).drop("_i", "_from", "_new")
+
+
+def exact_corruption(df: DataFrame, key: str, columns: list[str], share: float, seed: str) -> DataFrame:
+    """In each row exactly int(columns * share) of the columns take the value that another row, drawn by hash for each cell, has there.
+
+    ``changed`` lists the drawn columns. Keys are known and differ.
+    """
+    n, take = max(df.count(), 1), int(len(columns) * share)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = ranks.numbered(df.select(key, *columns), key, "_i")
+    cells = rows.select(key, "_i", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(key, "_i", "x.*")
+    order = Window.partitionBy(key).orderBy(keyed(f"{seed}:mask", key, "col"), "col")  # one row's cells
+    drawn = cells.withColumn("_hit", F.row_number().over(order) <= take)
+    drawn = drawn.withColumn("_from", F.when(F.col("_hit"), keyed(f"{seed}:from", key, "col") % n).otherwise(F.col("_i")))
+    other = cells.select(F.col("_i").alias("_from"), "col", F.col("value").alias("_new"))
+    new = drawn.join(other, ["_from", "col"])
+    hit = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("_hit"), F.col("col"))))).alias("changed")
+    return new.groupBy(key).agg(*[F.max(F.when(F.col("col") == c, F.col("_new"))).cast(kinds[c]).alias(c) for c in columns], hit)

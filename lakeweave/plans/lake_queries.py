@@ -234,3 +234,25 @@ n AS (SELECT c_nationkey, try_cast(regexp_replace(x, '[,$%]', '', 'g') AS DOUBLE
 def cell_aggregate(t):
     x = F.concat(F.lit("$"), (F.col("c_custkey") * 1000).cast("string"), F.when(F.col("c_custkey") % 7 == 0, " units").otherwise(""))
     return t("customer").select("c_nationkey", C.number(x).alias("y")).groupBy("c_nationkey").agg(F.count("y").alias("n"), F.sum("y").alias("total"), F.round(F.avg("y"), 6).alias("mean"))
+
+
+_NUMBERS = {"c_acctbal": "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END", "c_nationkey": "c_nationkey", "two": "c_custkey % 2", "one": "7", "none": "NULL"}
+_TEXTS = {"c_name": "c_name", "c_mktsegment": "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_mktsegment END"}
+_FIGURES = [*[f"round(quantile_cont(x, {i / 10}), 4)" for i in range(1, 10)], "round(avg(x), 4)", "CASE WHEN count(DISTINCT x) + (count(*) > count(x))::INT > 2 THEN round(stddev_pop(x), 4) ELSE 0 END", "round(min(x), 4)", "round(max(x), 4)"]
+_FIGURE_NAMES = [*[f"q{i}" for i in range(1, 10)], "mean", "deviation", "low", "high"]
+
+
+@query(" UNION ALL ".join(
+    [f"""SELECT '{c}' AS col, 'number' AS kind, count(*) - count(x) AS n_null, count(DISTINCT x) + (count(*) > count(x))::INT AS n_unique,
+    {', '.join(f"CASE WHEN count(DISTINCT x) + (count(*) > count(x))::INT > 1 THEN {f} END AS {n}" for f, n in zip(_FIGURES, _FIGURE_NAMES, strict=True))}, NULL::DOUBLE AS width FROM (SELECT ({x})::DOUBLE AS x FROM customer)""" for c, x in _NUMBERS.items()]
+    + [f"""SELECT '{c}', 'text', count(*) - count(x), count(DISTINCT x) + (count(*) > count(x))::INT, {', '.join('NULL::DOUBLE' for _ in _FIGURE_NAMES)}, round(sum(coalesce(strlen(x), 0)) / count(*), 4)
+    FROM (SELECT nullif({x}, '') AS x FROM customer)""" for c, x in _TEXTS.items()]
+))
+def column_sketch(t):
+    df = t("customer").select(*[F.expr(x).alias(c) for c, x in {**_NUMBERS, **_TEXTS}.items()])
+    return L.column_sketch(df, list(_NUMBERS), list(_TEXTS))
+
+
+@query(f"WITH {CELLS_SQL} SELECT table_id, col, arg_min(value, row_idx) AS value FROM cells WHERE trim(value) <> '' GROUP BY table_id, col")
+def sample_values(t):
+    return L.sample_values(cells(t))

@@ -186,3 +186,16 @@ SELECT qid, relation, conf, rank FROM c QUALIFY row_number() OVER (PARTITION BY
 def best_candidates(t):
     c = t("orders").select((F.col("o_custkey") % 50).alias("qid"), F.when(F.col("o_orderstatus") == "F", "union").otherwise("join").alias("relation"), F.col("o_totalprice").alias("conf"), F.col("o_orderkey").alias("rank"))
     return L.top_k(c, ["qid", "relation"], 1, F.col("conf").desc(), F.col("rank"), name="_n").drop("_n")
+
+
+_MIX = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part),
+c AS ({" UNION ALL ".join(f"SELECT p_partkey, i, n, '{c}' AS col, {c}::VARCHAR AS value FROM r" for c in _MIX)}),
+d AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY {md5_sql('mix:mask', 'p_partkey', 'col')}, col) <= 3 AS hit FROM c),
+f AS (SELECT d.p_partkey, d.col, d.hit, o.value FROM d JOIN c o ON o.col = d.col AND o.i = CASE WHEN d.hit THEN {md5_sql('mix:from', 'd.p_partkey', 'd.col')} % d.n ELSE d.i END)
+SELECT p_partkey, {", ".join(f"max(value) FILTER (col = '{c}')" + {"p_size": "::INT", "p_retailprice": "::DOUBLE"}.get(c, "") + f" AS {c}" for c in _MIX)}, list(col ORDER BY col) FILTER (hit) AS changed FROM f GROUP BY p_partkey""")
+def corruption_exact(t):
+    """Three of five columns of every part, for a share of 0.7."""
+    return P.exact_corruption(t("part").select("p_partkey", *_MIX), "p_partkey", _MIX, 0.7, "mix")

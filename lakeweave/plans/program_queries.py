@@ -25,6 +25,7 @@ def _program(name, text, sql, kind="rows"):
 
 
 _program("prog_hop", "( hop all_rows r.brand-string )", "SELECT DISTINCT p_brand AS value FROM part", "values")
+_program("prog_hop_bag", "( all all_rows r.brand-string )", "SELECT p_brand AS value FROM part WHERE p_brand IS NOT NULL", "values")
 _program("prog_filter_eq", "( filter_eq all_rows 15 r.size-number )", "SELECT p_partkey FROM part WHERE p_size = 15")
 _program("prog_filter_not_eq", "( filter_not_eq all_rows 15 r.size-number )", "SELECT p_partkey FROM part WHERE p_size <> 15 OR p_size IS NULL")
 _program("prog_filter_ge", "( filter_ge all_rows 30 r.size-number )", "SELECT p_partkey FROM part WHERE p_size >= 30")

@@ -172,10 +172,13 @@ for _how, _sql in {
     query(f"WITH {CELLS_SQL} {_sql}", name=f"augment_{_how}")(_augmented)
 
 
-@query("SELECT f || '_' || v AS id, f AS factor, v AS level FROM (SELECT 'rows' AS f, unnest([500, 1000, 100000]) AS v UNION ALL SELECT 'features', unnest([8, 256]))")
+@query("""WITH b AS (SELECT count(*) AS n FROM part), v AS (SELECT DISTINCT p_size AS v FROM part), i AS (SELECT 'rows_' || v AS id FROM v UNION ALL SELECT 'wide_features_' || (2 * v) FROM v)
+SELECT id, regexp_extract(id, '^(.*)_([0-9]+)$', 1) AS factor, regexp_extract(id, '^(.*)_([0-9]+)$', 2)::INT AS level FROM i""")
 def sweep_levels(t):
-    s = G.sweep(t("region").sparkSession, {"rows": 10_000, "features": 32}, {"rows": [500, 1000, 100_000], "features": [8, 256]})
-    return s.select("id", G.sweep_level(F.col("id")).alias("s")).select("id", "s.factor", "s.level")
+    """Settings of a sweep over the sizes of parts, read back from their names."""
+    sizes = t("part").select("p_size").distinct()
+    ids = sizes.select(F.explode(F.array(F.concat(F.lit("rows_"), "p_size"), F.concat(F.lit("wide_features_"), 2 * F.col("p_size")))).alias("id"))
+    return ids.select("id", G.sweep_level(F.col("id")).alias("s")).select("id", "s.factor", "s.level")
 
 
 @query("SELECT count(*) AS n, 6::BIGINT AS features, true AS normal, true AS missing FROM orders")

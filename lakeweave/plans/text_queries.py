@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import cleaning as C
 from lakeweave.functions import serialise as S
+from lakeweave.operators import checks
 from lakeweave.operators import lake as L
 from lakeweave.operators import prepare as P
 from lakeweave.operators import ranks
@@ -163,14 +164,51 @@ def weighted_sample(t):
 
 
 @query("""WITH RECURSIVE e AS (SELECT * FROM (VALUES ('num_list', 'ordered_list'), ('datetime_list', 'ordered_list'), ('ordered_list', 'atom_list'), ('string_list', 'atom_list'), ('atom_list', 'list'), ('entity_list', 'list')) v(a, b)),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS kind, b AS ancestor FROM r""")
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'num_list' WHEN event_type = 'purchase' THEN 'datetime_list' WHEN event_type = 'error' THEN 'entity_list' ELSE 'string_list' END AS kind FROM events)
+SELECT kind, b AS ancestor, count(*) AS n FROM k JOIN r ON r.a = kind GROUP BY ALL""")
 def type_closure(t):
-    from lakeweave.operators.program import ancestors
-
-    kinds = ["num_list", "datetime_list", "ordered_list", "string_list", "atom_list", "entity_list"]
-    return t("region").sparkSession.createDataFrame([(k, a) for k in kinds for a in sorted(ancestors(k)) if a != k], "kind string, ancestor string")
-
-
+    """Events, each with a type of the language, under all that their types also are."""
+    from lakeweave.operators.program import TYPES, ancestors
+
+    kind = F.when(F.col("event_type") == "click", "num_list").when(F.col("event_type") == "purchase", "datetime_list").when(F.col("event_type") == "error", "entity_list").otherwise("string_list")
+    above = F.create_map(*[c for k in TYPES for c in (F.lit(k), F.array(*map(F.lit, sorted(ancestors(k) - {k}))).cast("array<string>"))])
+    return t("events").select(kind.alias("kind")).select("kind", F.explode(above[F.col("kind")]).alias("ancestor")).groupBy("kind", "ancestor").agg(F.count("*").alias("n"))
+
+
+_RECORDS = """r AS (SELECT CASE WHEN vec_id % 71 = 0 THEN NULL ELSE vec_id // 8 END AS table_id, CASE WHEN vec_id % 37 = 0 THEN 'x' || vec_id ELSE (vec_id % 8)::VARCHAR END AS column_key,
+CASE WHEN vec_id % 41 = 0 THEN list_concat(['nan'::DOUBLE], (embedding::DOUBLE[])[2:]) WHEN vec_id % 43 = 0 THEN list_concat(['inf'::DOUBLE], (embedding::DOUBLE[])[2:]) WHEN vec_id % 47 = 0 THEN (embedding::DOUBLE[])[:63]
+WHEN vec_id % 53 = 0 THEN [] ELSE embedding::DOUBLE[] END AS v, vec_id FROM embeddings UNION ALL SELECT vec_id // 8, (vec_id % 8)::VARCHAR, embedding::DOUBLE[], vec_id FROM embeddings WHERE vec_id % 59 = 0),
+w AS (SELECT vec_id // 8 AS table_id FROM embeddings WHERE vec_id % 104 < 96 UNION SELECT 100000 + vec_id FROM embeddings WHERE vec_id % 100 = 0)"""
+
+
+@query(f"""WITH {_RECORDS}, h AS (SELECT DISTINCT table_id FROM r WHERE table_id IS NOT NULL)
+SELECT 'missing field' AS rule, count(*) FILTER (table_id IS NULL OR column_key IS NULL OR v IS NULL) AS n FROM r UNION ALL SELECT 'key is no number', count(*) FILTER (TRY_CAST(column_key AS INT) IS NULL) FROM r
+UNION ALL SELECT 'another size than stated', count(*) FILTER (len(v) <> 64) FROM r UNION ALL SELECT 'empty vector', count(*) FILTER (len(v) = 0) FROM r
+UNION ALL SELECT 'null or infinite element', count(*) FILTER (len([1 FOR x IN v IF x IS NULL OR NOT isfinite(x)]) > 0) FROM r
+UNION ALL SELECT 'repeated column', count(*) FROM (SELECT 1 FROM r GROUP BY table_id, column_key HAVING count(*) > 1)
+UNION ALL SELECT 'sizes mixed in a table', count(*) FROM (SELECT 1 FROM r GROUP BY table_id HAVING count(DISTINCT len(v)) > 1)
+UNION ALL SELECT 'missing table', count(*) FROM w WHERE table_id NOT IN (FROM h) UNION ALL SELECT 'extra table', count(*) FROM h WHERE table_id NOT IN (FROM w)
+UNION ALL SELECT 'missing column', count(*) FROM (SELECT DISTINCT vec_id // 8 AS table_id, (vec_id % 8)::VARCHAR AS column_key FROM embeddings) c WHERE table_id IN (FROM h) AND NOT EXISTS (FROM r WHERE r.table_id = c.table_id AND r.column_key = c.column_key)""")
+def record_checks(t):
+    """Vector records with planted faults against every rule."""
+    i, v = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    rest, first = F.slice(v, 2, 63), lambda x: F.array(F.lit(float(x)))
+    e = t("embeddings")
+    spoilt = F.when(i % 41 == 0, F.concat(first("nan"), rest)).when(i % 43 == 0, F.concat(first("inf"), rest)).when(i % 47 == 0, F.slice(v, 1, 63)).when(i % 53 == 0, F.array().cast("array<double>")).otherwise(v)
+    table, key = F.floor(i / 8), (i % 8).cast("string")
+    r = e.select(F.when(i % 71 != 0, table).alias("table_id"), F.when(i % 37 == 0, F.concat(F.lit("x"), i)).otherwise(key).alias("column_key"), spoilt.alias("v"))
+    r = r.unionByName(e.filter(i % 59 == 0).select(table.alias("table_id"), key.alias("column_key"), v.alias("v"))).withColumn("size", F.lit(64))
+    tables = e.filter(i % 104 < 96).select(table.alias("table_id")).unionByName(e.filter(i % 100 == 0).select((100000 + i).alias("table_id")))
+    return checks.check_records(r, tables, e.select(table.alias("table_id"), key.alias("column_key")))
+
+
+@query("""WITH a AS (SELECT len(embedding) - (vec_id % 97 = 0)::INT AS size FROM embeddings), b AS (SELECT len(embedding) AS size FROM embeddings WHERE vec_id % 2 = 0)
+SELECT size, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM (SELECT size, count(*) AS n_a FROM a GROUP BY size) FULL JOIN (SELECT size, count(*) AS n_b FROM b GROUP BY size) USING (size)""")
+def record_sizes(t):
+    e = t("embeddings").select("vec_id", F.col("embedding").alias("v"))
+    short = F.when(F.col("vec_id") % 97 == 0, F.slice("v", 1, 63)).otherwise(F.col("v"))
+    return checks.compatible(e.select(short.alias("v")), e.filter("vec_id % 2 = 0").select("v"))
 @query("""WITH r AS (SELECT c_nationkey AS q, c_acctbal AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank, c_custkey % 4 AS gain FROM customer QUALIFY rank <= 10)
 SELECT q, round(sum(gain / log2(rank + 1)), 6) AS dcg, round(sum(CASE WHEN rank = 1 THEN gain ELSE gain / log2(rank) END), 6) AS dcg_first, round(avg((gain > 0)::INT), 6) AS p10 FROM r GROUP BY q""")
 def graded_dcg(t):
