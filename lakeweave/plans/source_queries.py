@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from lakeweave.functions import cleaning as C
 from lakeweave.operators import generate as G
 from lakeweave.sources import datasets as D
+from lakeweave.sources import lake_files as LF
 from lakeweave.sources import readers as R
 from lakeweave.sources import writers as W
 
@@ -42,10 +43,10 @@ def csv_as_text(t):
 @query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx FROM nation)
 SELECT row_idx, 0::INT AS col_idx, 'n_nationkey' AS col, n_nationkey::VARCHAR AS value FROM n UNION ALL SELECT row_idx, 1, 'n_name', n_name FROM n UNION ALL SELECT row_idx, 2, 'n_regionkey', n_regionkey::VARCHAR FROM n""")
 def lake_cells(t):
-    """A lake of one file, read whole and cut to cells."""
+    """A lake of one file, cut to cells."""
     spark, path = folder(t)
     W.write_table(t("nation"), path, ["n_nationkey"], single=True)
-    return R.read_lake(spark, path).select("row_idx", "col_idx", "col", "value")
+    return LF.read_lake(spark, path).select("row_idx", "col_idx", "col", "value")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -211,3 +212,21 @@ def header_tree_cells(t):
     record = F.concat(F.lit('{"Title": "orders", "Texts": '), texts, F.lit(f', "MergedRegions": [], "TopHeaderRowsNumber": 2, "LeftHeaderColumnsNumber": 1, "TopTreeRoot": {top}, "LeftTreeRoot": '), left, F.lit("}"))
     cells = header_trees.read_header_trees(own.select(F.col("o_custkey").alias("table_id"), record.alias("value")))
     return cells.select("table_id", "row", "col", "text", "top", "left")
+
+
+@query("""SELECT conv_id || ':' || turn AS k, 0::INT AS col_idx, 'k' AS col, conv_id || ':' || turn AS value FROM conversations UNION ALL SELECT conv_id || ':' || turn, 1, 'role', role FROM conversations
+UNION ALL SELECT conv_id || ':' || turn, 2, 'said', role || chr(10) || '"' || text || '", ' || role FROM conversations""")
+def lake_of_long_records(t):
+    """Values with quotes, commas and line ends, in files of several splits."""
+    spark, path = folder(t)
+    said = F.concat("role", F.lit('\n"'), "text", F.lit('", '), "role")
+    own = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "role", said.alias("said"))
+    own.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        cells = LF.read_lake(spark, path)
+        own = cells.filter("col = 'k'").select("row_idx", F.col("value").alias("k")).checkpoint()
+        return cells.join(own, "row_idx").select("k", "col_idx", "col", "value").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

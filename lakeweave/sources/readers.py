@@ -40,39 +40,6 @@ def read_csv(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
     return base.schema(schema).csv(path).select(*[f"`{c}`" for c in keep])
 
 
-def read_lake(spark: SparkSession, path: str) -> DataFrame:
-    """cells (table_id, row_idx, col_idx, col, value) of all CSV files under ``path``, whatever their columns.
-
-    Files are read whole, one row each, and cut by a table function; a ragged row is cut to its header; names that occur
-    twice get their number; a file that cannot be read has no cells.
-    """
-    import csv
-    import io
-
-    import pandas as pd
-
-    def cut(batches):
-        for pdf in batches:
-            out = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"))))
-                except (UnicodeDecodeError, csv.Error):
-                    continue
-                if rows:
-                    seen: set[str] = set()
-                    head = []
-                    for i, c in enumerate(rows[0]):
-                        head.append(f"{c}_{i}" if c in seen else c)
-                        seen.add(c)
-                    table = name.rsplit("/", 1)[-1]
-                    out += [(table, r, i, c, row[i]) for r, row in enumerate(rows[1:]) for i, c in enumerate(head) if i < len(row)]
-            yield pd.DataFrame(out, columns=["table_id", "row_idx", "col_idx", "col", "value"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(cut, "table_id string, row_idx long, col_idx int, col string, value string")
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

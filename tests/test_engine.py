@@ -7,7 +7,7 @@ from lakeweave.functions import cleaning as C
 from lakeweave.functions import metrics as M
 from lakeweave.functions import vectors as V
 from lakeweave.operators import enrichment, lake, prepare, vector_join
-from lakeweave.sources import readers, writers
+from lakeweave.sources import lake_files, readers, writers
 from lakeweave.streaming import incremental
 
 
@@ -119,7 +119,7 @@ def test_readers(spark, tmp_path):
     lakes.mkdir()
     (lakes / "x.csv").write_text("a,a,b\n1,2,3\n4,5,6,7\n8\n")
     (lakes / "y.csv").write_bytes(b"\xff\xfe\x00bad")
-    got = {(x.table_id, x.row_idx, x.col): x.value for x in readers.read_lake(spark, str(lakes)).collect()}
+    got = {(x.table_id, x.row_idx, x.col): x.value for x in lake_files.read_lake(spark, str(lakes)).collect()}
     assert got == {("x.csv", 0, "a"): "1", ("x.csv", 0, "a_1"): "2", ("x.csv", 0, "b"): "3", ("x.csv", 1, "a"): "4", ("x.csv", 1, "a_1"): "5", ("x.csv", 1, "b"): "6", ("x.csv", 2, "a"): "8"}
     (tmp_path / "allow.txt").write_text("# no\n\n a \nb\n")
     assert [x.name for x in readers.read_allow_list(spark, str(tmp_path / "allow.txt")).collect()] == ["a", "b"]
