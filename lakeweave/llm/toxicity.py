@@ -1,22 +1,21 @@
 """Toxicity by cumulative-link ordinal regression on sparse features of the words.
 
-A word's features are the runs of GRAM bytes in it (its two ends marked), hashed to 32 bits. The model keeps those that
-a share LEAST of the sample's toxic documents, and 2 documents, have at least and whose odds differ between toxic and other documents by exp(ODDS) or more, the
-MOST features with the largest difference at most. A document's features count its distinct words that have them. With one weight vector w and ordered thresholds t_1 < .. < t_K,
+A word's features are the runs of GRAM bytes in it (its two ends marked), hashed to BITS bits: runs with the same hash are one feature, so
+that there are 2**BITS features at most, and none is dropped for another. The model keeps those that
+a share LEAST of the sample's toxic documents, and 2 documents, have at least and whose odds differ between toxic and other documents by exp(ODDS) or more. A document's features count its distinct words that have them. With one weight vector w and ordered thresholds t_1 < .. < t_K,
 P(grade >= k) = 1 / (1 + exp(t_k - w.x)); the expected severity is the sum of these over k.
 
 Labels tell toxic from other documents; grades 1 to K part the toxic ones of the sample by how many of their distinct
 words have a kept run that no other document of the sample has, at the quantiles of that number. The model is fitted on a
 sample of SAMPLE labelled documents of either kind, chosen by a hash of their ids; scoring reads all documents whole. The
-runs of the sample are counted in the tasks; the driver gathers MOST runs at most, and of each document of the sample its
-counts of these.
+runs of the sample are counted in the tasks; the driver gathers the kept ones, and of each document of the sample its
+counts of these, as packed arrays.
 
 Because the score is linear, a word adds the same wherever it stands: workers keep a bounded table of words' scores.
 
 Defined cases: a null text is the empty text; without words a document has its score from the thresholds alone; with
 no toxic or no other labelled document nothing is toxic and severity is 0; a document that is labelled both ways is in both
-samples; of rows that share an id the one with the least text is in the sample, and each is scored; runs of equal odds are
-kept by their number; texts of any length are read whole; an empty table gives an empty result; other columns are left out,
+samples; of rows that share an id the one with the least text is in the sample, and each is scored; texts of any length are read whole; an empty table gives an empty result; other columns are left out,
 whatever their names.
 """
 
@@ -33,14 +32,14 @@ from pyspark.sql import functions as F
 from ._common import documents, spread, stash
 
 GRAM, SAMPLE, GRADES = 4, 2_000, 3
-LEAST, ODDS, MOST = 0.01, 2.5, 20_000
+BITS, LEAST, ODDS = 20, 0.01, 2.5
 FLUSH = 2_000_000  # runs that a task counts before it hands them on
 ROUNDS, RATE, RIDGE, PRIOR = 1_000, 0.5, 1e-4, 0.5
 
 
 def places(word: bytes) -> list[int]:
     w = b"\x02" + word + b"\x03"
-    return sorted({xxhash.xxh32_intdigest(w[i : i + GRAM]) for i in range(max(1, len(w) - GRAM + 1))})
+    return sorted({xxhash.xxh32_intdigest(w[i : i + GRAM]) >> (32 - BITS) for i in range(max(1, len(w) - GRAM + 1))})
 
 
 def distinct_words(text: bytes | None) -> set[bytes]:
@@ -142,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     part = lambda some, whole: F.log((some + 0.5) / (F.lit(whole) - some + 0.5))
     odds = part(F.col("bad"), of[1]) - part(F.col("n") - F.col("bad"), of[0])
     kept = counts.filter(F.col("n") >= max(2, LEAST * of[1])).select("f", odds.alias("odds"), (F.col("n") == F.col("bad")).alias("only")).filter(F.abs("odds") >= ODDS)
-    kept = kept.orderBy(F.abs("odds").desc(), "f").limit(MOST).orderBy("f").collect()
+    kept = kept.orderBy("f").collect()
     features = np.array([r.f for r in kept], np.int64)
     telling = {r.f for r in kept if r.only}
     known_to_all = sample.sparkSession.sparkContext.broadcast((set(features.tolist()), telling))
@@ -156,15 +155,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 words = [known[w] for w in distinct_words(text.as_py())]
                 own, count = np.unique(np.fromiter((i for w in words for i in w), np.int64), return_counts=True)
                 marked.append(sum(not tells.isdisjoint(w) for w in words))
-                f.append(own)
-                n.append(count)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marked, pa.int64()), pa.array(f, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], names=["t", "m", "f", "n"])
+                f.append(own.astype(np.int32).tobytes())
+                n.append(count.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marked, pa.int64()), pa.array(f, pa.binary()), pa.array(n, pa.binary())], names=["t", "m", "f", "n"])
 
-    rows = sample.mapInArrow(read, "t int, m long, f array<long>, n array<long>").collect()
-    rows.sort(key=lambda r: (r.t, r.m, r.f, r.n))  # the same sums in any order of the tasks
-    flat = lambda name: np.array([x for r in rows for x in r[name]], np.int64)
+    rows = sample.mapInArrow(read, "t int, m long, f binary, n binary").collect()
+    rows.sort(key=lambda r: (r.t, r.m, bytes(r.f), bytes(r.n)))  # the same sums in any order of the tasks
+    flat = lambda name: np.frombuffer(b"".join(bytes(r[name]) for r in rows), np.int32)
     toxic, marked = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-    return fit(features, toxic, marked, np.repeat(np.arange(len(rows)), [len(r.f) for r in rows]), np.searchsorted(features, flat("f")), flat("n"))
+    return fit(features, toxic, marked, np.repeat(np.arange(len(rows)), [len(r.f) // 4 for r in rows]), np.searchsorted(features, flat("f")), flat("n"))
 
 
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
