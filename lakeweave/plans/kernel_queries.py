@@ -67,6 +67,27 @@ def assignment_auction(t):
     return _matched(t, most=0)
 
 
+def _greedy_sql() -> str:
+    """Best edge first, four times, and bounds of the matching over edges above 0.1."""
+    text = _FOUR_SQL[: _FOUR_SQL.index(", g AS")] + """, k AS (SELECT *, row_number() OVER (PARTITION BY ta, tb ORDER BY sim DESC, i, j) AS r FROM p WHERE sim > 0.1), g0 AS (SELECT * FROM k)"""
+    for n in range(4):
+        text += f""", t{n} AS (SELECT * FROM g{n} QUALIFY row_number() OVER (PARTITION BY ta, tb ORDER BY r) = 1),
+        g{n + 1} AS (SELECT g.* FROM g{n} g JOIN t{n} t USING (ta, tb) WHERE g.i <> t.i AND g.j <> t.j)"""
+    return text + """, low AS (SELECT ta, tb, sum(sim) AS lower FROM (""" + " UNION ALL ".join(f"SELECT ta, tb, sim FROM t{n}" for n in range(4)) + """) GROUP BY ta, tb),
+    f AS (SELECT *, min(r) OVER (PARTITION BY ta, tb, i) AS fi, min(r) OVER (PARTITION BY ta, tb, j) AS fj FROM k),
+    w AS (SELECT ta, tb, count(DISTINCT i) AS wi, count(DISTINCT j) AS wj FROM k GROUP BY ta, tb),
+    s AS (SELECT f.*, sum((r = fi)::INT) OVER o AS rows_before, sum((r = fj)::INT) OVER o AS cols_before FROM f WINDOW o AS (PARTITION BY ta, tb ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    up AS (SELECT ta, tb, sum(sim) FILTER (coalesce(rows_before, 0) < wi AND coalesce(cols_before, 0) < wj) AS upper FROM s JOIN w USING (ta, tb) GROUP BY ta, tb)
+    SELECT p.ta, p.tb, round(coalesce(any_value(lower), 0), 6) AS lower, round(coalesce(any_value(upper), 0), 6) AS upper FROM p LEFT JOIN low USING (ta, tb) LEFT JOIN up USING (ta, tb) GROUP BY p.ta, p.tb HAVING count(*) = 16"""
+
+
+@query(_greedy_sql())
+def bounds_of_four(t):
+    """Greedy matching as the lower bound, and the upper bound, for pairs of tables of four columns."""
+    out = M.match_tables(edges(t, columns=4), table_sizes(t, 4), 0.1)
+    return out.join(table_sizes(t, 4).filter("na = 4 and nb = 4").select("ta", "tb"), ["ta", "tb"]).select("ta", "tb", "lower", "upper")
+
+
 @query()
 def greedy_match(t):
     return M.align_columns(edges(t), how="greedy")

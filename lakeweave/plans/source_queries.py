@@ -230,3 +230,66 @@ def lake_of_long_records(t):
         return cells.join(own, "row_idx").select("k", "col_idx", "col", "value").checkpoint()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@query("""SELECT CASE WHEN c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(c_custkey)::BIGINT AS keys, 3::BIGINT AS features, 'regression' AS task FROM customer GROUP BY 1
+UNION ALL SELECT 'all', count(*), sum(c_custkey)::BIGINT, 3, 'regression' FROM customer""")
+def dataset_splits(t):
+    """Customers as a data set of two files, and as one of a single file, by their splits."""
+    spark, path = folder(t)
+    c = t("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    for name, rows in (("two/train", c.filter("c_custkey % 4 <> 0")), ("two/test", c.filter("c_custkey % 4 = 0")), ("one/data", c)):
+        W.write_table(rows, f"{path}/{name}.csv", ["c_custkey"])
+    out = None
+    for name, splits in (("two", ("train", "test")), ("one", ("all",))):
+        own = D.load(spark, f"{path}/{name}", ["c_acctbal"])
+        for split in splits:
+            rows = own.split(split, features_only=True)
+            one = rows.agg(F.lit(split).alias("split"), F.count("*").alias("n"), F.sum("c_custkey").cast("long").alias("keys"), F.lit(len(rows.columns) - 1).cast("long").alias("features"), F.lit(own.task("c_acctbal")).alias("task"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT p_partkey, list_concat(list_transform(list_sort([p_partkey, p_size::BIGINT, 100 - p_size]), lambda x: x::VARCHAR), list_sort([p_brand, p_type, 'x' || p_size])) AS keys FROM part""")
+def natural_order(t):
+    keys = F.array("p_type", F.col("p_size").cast("string"), "p_brand", F.col("p_partkey").cast("string"), F.concat(F.lit("x"), "p_size"), (100 - F.col("p_size")).cast("string"))
+    return t("part").select("p_partkey", D.natural_columns(keys).alias("keys"))
+
+
+@query("SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids, true AS kept FROM embeddings GROUP BY label")
+def staged_vectors(t):
+    """Vectors staged in a folder for each label; to stage them again is an error and leaves them as they are."""
+    from pyspark.errors import AnalysisException
+
+    spark, path = folder(t)
+    W.write_vectors(t("embeddings"), path, ["label"])
+    try:
+        W.write_vectors(t("embeddings").limit(0), path, ["label"])
+        kept = False
+    except AnalysisException:
+        kept = True
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids")).withColumn("kept", F.lit(kept))
+
+
+@query("""SELECT encoding, n FROM (VALUES ('utf-8'), ('utf-16'), ('latin-1')) v(encoding), (SELECT count(*) AS n FROM nation)""")
+def encodings_told(t):
+    """Nations written in three encodings, told apart by their first bytes and read back."""
+    spark, path = folder(t)
+    n = t("nation").select(F.concat("n_name", F.lit(" caf\u00e9")).alias("n")).coalesce(1)
+    out = None
+    for written in ("UTF-8", "UTF-16", "ISO-8859-1"):
+        n.write.option("encoding", written).csv(f"{path}/{written}")
+        told = D.sniff_encoding(spark, f"{path}/{written}/*.csv")
+        rows = spark.read.option("multiLine", True).option("encoding", told.replace("latin-1", "ISO-8859-1")).csv(f"{path}/{written}").filter(F.endswith("_c0", F.lit("caf\u00e9")))
+        one = rows.agg(F.lit(told).alias("encoding"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH r AS (SELECT event_id AS seq, json_extract_string(props, '$.k') AS k, event_type AS e FROM events), f AS (SELECT k, e, min(seq) AS seq FROM r GROUP BY k, e)
+SELECT row_number() OVER (ORDER BY seq) - 1 AS row_idx, '{"e":"' || e || '","k":"' || k || '"}' AS record FROM f""")
+def record_dedup(t):
+    """Records that say the same in another order of their keys are one."""
+    k = F.get_json_object("props", "$.k")
+    there, back = F.format_string('{"k": "%s", "e": "%s"}', k, F.col("event_type")), F.format_string('{"e": "%s", "k": "%s"}', F.col("event_type"), k)
+    return R.dedup_records(t("events").select("event_id", F.when(F.col("event_id") % 2 == 0, there).otherwise(back).alias("j")), "j", "event_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .readers import read_csv
@@ -26,19 +26,25 @@ class Dataset:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Row numbers in file order: a number per partition's start, then within the partition."""
+    """Row numbers in the order of the files' parts: a number per partition's start, then within the partition."""
     marked = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    starts = {r._p: r.n for r in marked.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    at, first = 0, {}
-    for p in sorted(starts):
-        first[p], at = at, at + starts[p]
-    base = F.create_map(*[F.lit(x) for kv in (first or {0: 0}).items() for x in kv])
-    return marked.withColumn("row_idx", (base[F.col("_p")] + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_p", "_i")
+    sizes = marked.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    number = F.col("_at") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(starts, "_p").withColumn("row_idx", number.cast("long")).drop("_p", "_i", "_at")
+
+
+def names_in(spark: SparkSession, path: str) -> set[str]:
+    """What lies in a folder of any store, without reading it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return {f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)}
 
 
 def load(spark: SparkSession, path: str, labels: list[str]) -> Dataset:
-    """By what the folder has: data.csv with splits.json (split, row_idx); train.csv and test.csv; or data.csv alone."""
-    names = {r.path.rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").load(path).select("path").collect()}
+    """By what the folder has: data.csv with splits.json (split, row_idx); train.csv and test.csv; or data.csv alone. Each is a file or a folder of parts."""
+    names = names_in(spark, path)
     if {"train.csv", "test.csv"} <= names:
         parts = [read_csv(spark, f"{path}/{s}.csv").withColumn("_split", F.lit(s)) for s in ("train", "test")]
         frame = _numbered(parts[0].unionByName(parts[1]))
