@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -40,14 +41,15 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lakeweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if stack := _SCRATCH.get():
+        stack[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeweave_path = path
     return out
 
 
-_SCRATCH: list[list[str]] = []
+#: The lists of the blocks that are open, in this thread or task alone: queries in two threads leave each other's tables be.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
@@ -55,7 +57,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Removes, at its end, what was stashed within it, but for the stashed tables given to the yielded function."""
     own: list[str] = []
     kept: list[str] = []
-    _SCRATCH.append(own)
+    outer = _SCRATCH.get()
+    _SCRATCH.set((*outer, own))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df._lakeweave_path)
@@ -64,12 +67,12 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.set(outer)
         for path in own:
             if path not in kept:
                 _remove(SparkSession.active(), path)
-        if _SCRATCH:
-            _SCRATCH[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

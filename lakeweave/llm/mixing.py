@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ._common import WORD, documents, stash, unused
 
@@ -94,13 +95,20 @@ def tokens(text_col: str):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hashable(field: StructField) -> Column:
+    """The column, or its JSON where Spark has no hash for its kind."""
+    own = F.col(f"`{field.name}`")
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(own)) if "map<" in kind or "variant" in kind else own
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents, each as often as its source's budget asks for, block by block: all columns of ``docs``.
 
     Rows that share an id are told apart by a digest of all columns, and equal rows by their number.
     """
     mark, own, block, place = unused(docs, "_digest", "_own", "_block", "_place")
-    marked = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    marked = docs.withColumn(mark, F.xxhash64(*[hashable(f) for f in docs.schema]))
     narrow = marked.select(F.col(id_col).alias("_id"), F.col(mark).alias("_mark"), F.col(source_col).alias("_from"), tokens(text_col).alias("_tokens"))
     narrow = narrow.groupBy("_id", "_mark", "_from", "_tokens").agg(F.count("*").alias("_copies"))
     narrow = stash(narrow.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

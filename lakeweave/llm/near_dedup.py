@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, mix, repeated_ids, scratch, small, spread, stash, unused, windows
+from ._common import WordHashes, by_key, documents, mix, repeated_ids, scratch, small, spread, stash, unused, windows
 
 SHINGLE, K, PERCENT = 5, 128, 75
 DEVIATIONS, ESTIMATE, STARS, CENTRES = 6, 0.58, 2, 2
@@ -272,15 +272,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, n_shingles, component_id, kept."""
     docs = spread(docs)
     rows = stash(features(docs, id_col, text_col, k))
-    classes = rows.filter(F.col("_mark").isNotNull()).groupBy("_mark").agg(F.min("_row").alias("node"), F.min("_id").alias("_least"))
+    classes = rows.filter(F.col("_mark").isNotNull()).groupBy("_mark").agg(F.min("_row").alias("node"), F.min("_id").alias("_least"), F.count("*").alias("_copies"))
     classes = stash(classes)
     with scratch() as keep:
         nodes = stash(rows.join(small(classes.select(F.col("node").alias("_row"))), "_row").select(F.col("_row").alias("node"), "_id", "_mark", F.col("n_shingles").alias("n"), F.col("_sketch").alias("sketch")))
         comps = keep(labelled(nodes, docs, id_col, text_col, k))
     where = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = where.groupBy("comp").agg(F.min("_least").alias("component_id"))
-    where = where.join(least, "comp").select("_mark", "component_id")
-    linked = rows.filter(F.col("_mark").isNotNull()).join(where, "_mark").select("_id", "n_shingles", "component_id")
+    least = stash(where.groupBy("comp").agg(F.min("_least").alias("component_id"), F.count("*").alias("_classes")))
+    where = stash(by_key(where, least, "comp", "_classes").select("_mark", "component_id", "_copies"))
+    linked = by_key(rows.filter(F.col("_mark").isNotNull()), where, "_mark", "_copies").select("_id", "n_shingles", "component_id")
     alone = rows.filter(F.col("_mark").isNull()).select("_id", "n_shingles", F.col("_id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
