@@ -38,7 +38,7 @@ MAX_FILTER, MAX_WORDS = 256 << 20, 8_000_000
 END = b" "  # no word is equal to it
 U = np.uint64
 FLUSH = 3_000_000  # n-grams that a task holds before it hands them on
-BUCKET_BYTES = 8 << 20  # of training texts for one bucket, or up to half of that
+BUCKET_BYTES = 4 << 20  # of training texts for one bucket, or up to half of that
 CHUNK = 100_000  # tokens that are scored at once
 FAR_BYTES, FAR_CHUNK = 16 << 20, 4_000_000  # texts and tokens for which all parts of a filter of several are loaded once
 
