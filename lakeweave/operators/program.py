@@ -122,9 +122,10 @@ def compare(name: str, sign: str):
         if _dated(given, prop):
             each = [C.partial_date(F.lit(r.value)) for r in given.distinct().collect()]  # a handful, by the language's nature
             return rows.filter(F.exists(F.col(f"`{prop}`"), lambda v: functools.reduce(lambda x, y: x & y, (C.date_compare(C.partial_date(v.cast("string")), d, sign) for d in each), F.lit(True))))
-        low, high = given.agg(F.min("value"), F.max("value")).first()
-        x = [F.lit(v) for v in (low, high) if v is not None]
-        return rows.filter(F.exists(F.col(f"`{prop}`"), lambda v: test(v, x[0]) & test(v, x[-1]))) if x else rows
+        low, high = (given.agg(f("value")).scalar() for f in (F.min, F.max))  # part of the plan, no job of their own
+        held = rows.withColumn("_low", low).withColumn("_high", high)
+        passed = F.exists(F.col(f"`{prop}`"), lambda v: test(v, F.col("_low")) & test(v, F.col("_high")))
+        return held.filter(F.col("_low").isNull() | passed).drop("_low", "_high")
 
     FUNCTIONS[name] = Function(["entity_list", "ordered_list", "ordered_property"], "entity_list", run)
 
@@ -185,8 +186,7 @@ def contain_none(p, rows, given, prop):
 
 
 def _extreme(rows, prop, how):
-    x = rows.agg(how(first(prop))).first()[0]
-    return rows.filter(first(prop) == F.lit(x))
+    return rows.filter(first(prop) == rows.agg(how(first(prop))).scalar())
 
 
 @function("argmax", ["entity_list", "ordered_property"], "entity_list")
@@ -201,12 +201,12 @@ def argmin(p, rows, prop):
 
 @function("first", ["entity_list"], "entity_list")
 def first_row(p, rows):
-    return rows.filter(F.col("row_idx") == F.lit(rows.agg(F.min("row_idx")).first()[0]))
+    return rows.filter(F.col("row_idx") == rows.agg(F.min("row_idx")).scalar())
 
 
 @function("last", ["entity_list"], "entity_list")
 def last_row(p, rows):
-    return rows.filter(F.col("row_idx") == F.lit(rows.agg(F.max("row_idx")).first()[0]))
+    return rows.filter(F.col("row_idx") == rows.agg(F.max("row_idx")).scalar())
 
 
 def _shift(p, rows, by):
@@ -252,7 +252,7 @@ def average(p, rows, prop):
 def mode(p, rows, prop):
     """All of the most frequent values."""
     n = values(rows, prop, bag=True).groupBy("value").agg(F.count("*").alias("n"))
-    return n.filter(F.col("n") == F.lit(n.agg(F.max("n")).first()[0])).select("value")
+    return n.filter(F.col("n") == n.agg(F.max("n")).scalar()).select("value")
 
 
 @function("same", ["entity_list", "property"], "entity_list")
