@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +21,7 @@ from .vector_queries import E_SQL
 def folder(t) -> tuple:
     """The session and a new folder in its shared one."""
     spark = t("region").sparkSession
-    return spark, f"{W.checkpoint_dir(spark)}/lakeweave-{uuid.uuid4().hex}"
+    return spark, W.own_folder(spark)
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from lakeweave.sources.writers import checkpoint_dir
+from lakeweave.sources.writers import own_folder
 from lakeweave.streaming import incremental, keyed
 
 from .registry import query
@@ -15,7 +13,7 @@ from .registry import query
 def _stream(df, files: int):
     """``df`` as a stream of a few files, taken one batch after another."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/lakeweave-in-{uuid.uuid4().hex}"
+    path = own_folder(spark, "in-")
     df.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 

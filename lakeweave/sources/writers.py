@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def own_folder(spark: SparkSession, what: str = "") -> str:
+    """The name of a new folder in the shared one; what is written there goes when the interpreter ends."""
+    path = f"{checkpoint_dir(spark)}/lakeweave-{what}{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone when the interpreter ends
+        pass
+
+
 def write_vectors(df: DataFrame, path: str, by: list[str]) -> None:
     """Vector records as Parquet, partitioned (say by model and split); an existing target is an error."""
     df.repartition(*by).write.mode("errorifexists").partitionBy(*by).parquet(path)

@@ -6,14 +6,13 @@ and in the checkpoint, so a lost executor costs a replay of the last batch.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lakeweave.sources.writers import checkpoint_dir
+from lakeweave.sources.writers import own_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -96,7 +95,7 @@ def run_to_table(df: DataFrame, keys: list[str]) -> DataFrame:
     A batch that runs again after a failure writes over its own part.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/lakeweave-stream-{uuid.uuid4().hex}"
+    path = own_folder(spark, "stream-")
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
