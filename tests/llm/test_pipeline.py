@@ -67,3 +67,24 @@ def test_accepted_equals_quality(spark):
     got = quality.accepted(docs, trusted)
     assert got.columns == docs.columns
     assert Counter(x.doc_id for x in got.collect()) == want
+
+
+def test_stages_take_very_long_texts_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as c
+
+    odd.documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i > 12), 0) for i in range(70)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, before = docs.columns, None
+    for k, (name, f) in enumerate(c.STAGES):
+        f(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out-{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out-{k}")
+        if name == "bpe":
+            continue
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(x[c_] in ("odd", None) for x in rows for c_ in columns[5:])
+        longest = max(len(x.text or "") for x in rows)
+        assert before is None or longest == before  # nothing is cut, and the long text goes on to the end
+        before = longest
+    assert before > 60_000 and docs.count() == len(rows)
