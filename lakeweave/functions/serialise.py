@@ -89,6 +89,12 @@ def pmi_sample(cells: DataFrame, table: str, order: str, topic: str, prop: str,
     return upto.filter(F.col("_before") < most).select(table, "place", "token")
 
 
+def capped(postings: DataFrame, most: int) -> DataFrame:
+    """The postings of the ``most`` words that are in the most documents; ties go to the first by name."""
+    held = postings.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).select("w")
+    return postings.join(held, "w", "left_semi")
+
+
 def tf_idf(postings: DataFrame, key: str) -> DataFrame:
     """(1 + ln tf) * (ln((1 + docs) / (1 + df)) + 1), each document's weights of length 1."""
     docs = postings.select(key).distinct().count()

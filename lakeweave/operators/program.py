@@ -270,11 +270,33 @@ def diff(p, a, b, prop):
     return x(a, "a").join(x(b, "b")).select(F.abs(F.col("a") - F.col("b")).cast("double").alias("value"))
 
 
+END = "END"
+
+
 @dataclass
 class Program:
     table: DataFrame
     names: dict[str, Value] = field(default_factory=dict)
     used: set[str] = field(default_factory=set)
+    most: int | None = None  # expressions, after which only the end may follow
+    begun: list[str] = field(default_factory=list)  # tokens of the expression that is being read
+    ended: bool = False
+
+    def read_token(self, token: str) -> Value | None:
+        """Take one token of a program. The one that completes an expression binds its value to the next variable and returns it, END returns the last value."""
+        if self.ended:
+            raise SyntaxError("the program has ended")
+        if token == END:
+            if self.begun or not self.names:
+                raise SyntaxError("no whole expression to end with")
+            self.ended = True
+            return list(self.names.values())[-1]
+        self.begun.append(token)
+        if self.begun.count("(") > self.begun.count(")"):
+            return None
+        x, self.begun = parse(self.begun), []
+        self.names[f"v{len(self.names)}"] = out = self.evaluate(x)
+        return out
 
     def evaluate(self, x) -> Value:
         if isinstance(x, list):
@@ -317,8 +339,17 @@ class Program:
         """Variables that nothing uses, without the last one."""
         return set(list(self.names)[:-1]) - self.used
 
-    def valid_tokens(self, began: list[str]) -> list[str]:
-        """What may follow the tokens of an expression that has begun: functions, or variables, rows and properties of the type that is due."""
+    def valid_tokens(self, began: list[str] | None = None) -> list[str]:
+        """What may follow the tokens of an expression that has begun: functions, or variables, rows and properties of the type that is due.
+
+        Without ``began`` what may follow the tokens read so far: between expressions also the end, and at the limit nothing else.
+        """
+        if self.ended:
+            return []
+        if began is None:
+            began = self.begun
+            if not began and self.names:
+                return [END] if self.most is not None and len(self.names) >= self.most else ["(", END]
         if not began:
             return ["("]
         if began[-1] == "(":

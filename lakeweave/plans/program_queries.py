@@ -91,6 +91,18 @@ _program(
 )
 
 
+@query("WITH f AS (SELECT * FROM part WHERE p_size >= 40) SELECT DISTINCT p_name AS value FROM f WHERE p_retailprice = (SELECT max(p_retailprice) FROM f)")
+def prog_by_tokens(t):
+    """A program read token by token, each of them one that may stand there."""
+    p = P.Program(part(t), most=3)
+    text = "( filter_ge all_rows 40 r.size-number ) ( argmax v0 r.price-number ) ( hop v1 r.name-string )"
+    for token in [*P.tokenize(text), P.END]:
+        if token != "40" and token not in p.valid_tokens():
+            raise ValueError(f"{token} may not follow {p.begun}")
+        out = p.read_token(token)
+    return out.data
+
+
 @query("""WITH c AS (SELECT p_partkey AS id, [p_brand, p_size::VARCHAR] AS targets, CASE p_partkey % 5 WHEN 0 THEN [upper(p_brand), p_size || '.0'] WHEN 1 THEN [p_brand]
 WHEN 2 THEN [' ' || p_brand || '  ', p_size || '.0000001'] WHEN 3 THEN [p_brand, (p_size + 1)::VARCHAR] ELSE [p_size::VARCHAR, p_brand, lower(p_brand)] END AS predictions FROM part),
 n AS (SELECT id, list_distinct(list_transform(targets, lambda x: coalesce(try_cast(x AS DOUBLE)::VARCHAR, trim(regexp_replace(lower(x), ' +', ' ', 'g'))))) AS a,

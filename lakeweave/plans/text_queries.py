@@ -54,6 +54,19 @@ def tfidf_weights(t):
     return S.tf_idf(R.postings(t("benchmark"), "item_id", "text", "[^a-z0-9]+"), "item_id")
 
 
+@query("""WITH p AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM benchmark) WHERE w <> ''),
+v AS (SELECT w FROM p GROUP BY w ORDER BY count(*) DESC, w LIMIT 300), x AS (SELECT * FROM p WHERE w IN (FROM v)), n AS (SELECT item_id, count(*) AS n FROM x GROUP BY item_id)
+SELECT a.item_id AS a, b.item_id AS b, round(count(*) / sqrt(any_value(na.n) * any_value(nb.n)), 6) AS cosine FROM x a JOIN x b ON a.w = b.w AND a.item_id < b.item_id
+JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY a.item_id, b.item_id""")
+def capped_token_cosine(t):
+    """Cosines of binary vectors over a vocabulary of the 300 commonest words."""
+    p = S.capped(R.postings(t("benchmark"), "item_id", "text", "[^a-z0-9]+"), 300).select("item_id", "w")
+    n = p.groupBy("item_id").agg(F.count("*").alias("n"))
+    both = p.withColumnRenamed("item_id", "a").join(p.withColumnRenamed("item_id", "b"), "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("x"))
+    sized = both.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", F.round(F.col("x") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cosine"))
+
+
 @query("""WITH a AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark)
 SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / sqrt(len(x.w) * len(y.w)), 6) AS cosine FROM a x JOIN a y ON x.item_id < y.item_id AND len(list_intersect(x.w, y.w)) > 0""")
 def binary_token_cosine(t):

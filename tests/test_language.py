@@ -103,3 +103,22 @@ def test_answers_are_made_comparable(spark):
     got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", S.normal_answer(F.col("x")).alias("y")).collect()
     assert {r.x: r.y for r in got} == cases
     assert spark.createDataFrame([(None,)], "x string").select(S.normal_answer(F.col("x"))).first()[0] is None
+
+
+def test_programs_are_read_token_by_token(spark):
+    p = P.Program(table(spark), most=2)
+    assert p.valid_tokens() == ["("]
+    with pytest.raises(SyntaxError):
+        p.read_token("END")
+    p = P.Program(table(spark), most=2)
+    for token in P.tokenize("( argmax all_rows r.n-number )"):
+        assert token in p.valid_tokens()
+        last = p.read_token(token)
+    assert last.kind == "entity_list" and p.valid_tokens() == ["(", "END"]
+    for token in P.tokenize("( count v0 )"):
+        assert token in p.valid_tokens()
+        p.read_token(token)
+    assert p.valid_tokens() == ["END"]
+    assert p.read_token("END").data.collect() == [(2.0,)] and p.valid_tokens() == []
+    with pytest.raises(SyntaxError):
+        p.read_token("(")
