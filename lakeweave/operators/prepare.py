@@ -33,7 +33,7 @@ def ordinal(df: DataFrame, column: str, fit_on: DataFrame | None = None, unseen:
     """Categories, as text and with null as 'nan', numbered in order; unseen ones get ``unseen``."""
     text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
     seen = (df if fit_on is None else fit_on).select(text.alias("_c")).distinct()
-    codes = seen.withColumn("_code", F.row_number().over(Window.orderBy("_c")) - 1)  # one row per category
+    codes = ranks.numbered(seen, "_c", "_code")  # categories are dealt out by ranges: they are no single task
     return df.withColumn("_t", text).join(codes, F.col("_t") == F.col("_c"), "left").withColumn(column, F.coalesce("_code", F.lit(unseen)).cast("long")).drop("_t", "_c", "_code")
 
 

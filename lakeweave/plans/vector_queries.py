@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from lakeweave.functions import vectors as V
+from lakeweave.operators import ranks
 from lakeweave.operators import vector_join as J
 
 from .registry import query
@@ -58,11 +59,10 @@ for _how, _agg, _order in (("max", "max", "score DESC, cgroup"), ("mean", "avg",
 g AS (SELECT cgroup, count(*) AS matches, round(sum(1 - sim), 6) AS distance FROM f WHERE r = 1 GROUP BY cgroup)
 SELECT cgroup, matches, distance, row_number() OVER (ORDER BY matches DESC, distance, cgroup) AS rank FROM g""")
 def first_match_per_table_rank(t):
-    from pyspark.sql import Window
-
     first = J.top_k(top(t), ["qid", "cgroup"], 1, F.col("rank"), name="r")
     g = first.groupBy("cgroup").agg(F.count("*").alias("matches"), F.round(F.sum(1 - F.col("sim")), 6).alias("distance"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("matches").desc(), "distance", "cgroup")).cast("long"))
+    g = g.withColumn("order", F.struct((-F.col("matches")).alias("m"), "distance", "cgroup"))
+    return ranks.numbered(g, "order", "before").select("cgroup", "matches", "distance", (F.col("before") + 1).alias("rank"))
 
 
 def _table_vector(how, agg):
