@@ -32,6 +32,7 @@ def base_split(cells: DataFrame, keys: DataFrame, seed: str = "0") -> DataFrame:
 
     ``keys`` is (table_id, key_idx). Parents with under four columns beside the key, or under six rows, are left out.
     """
+    keys = ranks.beside(keys)
     cols = cells.groupBy("table_id", "col_idx").agg(F.count("*").alias("n_rows")).join(keys, "table_id")
     others = cols.filter("col_idx <> key_idx")
     n_others = others.groupBy("table_id").agg(F.count("*").cast("int").alias("_n")).filter(F.col("_n") >= LEAST_COLUMNS + OTHER_COLUMNS)
@@ -42,10 +43,10 @@ def base_split(cells: DataFrame, keys: DataFrame, seed: str = "0") -> DataFrame:
     rows = cells.join(keys, "table_id").filter("col_idx = key_idx").select("table_id", "row_idx")
     n_rows = rows.groupBy("table_id").agg(F.count("*").cast("int").alias("_n")).filter(F.col("_n") > OTHER_ROWS)
     roll = keyed(f"{seed}:row", "table_id", "row_idx")
-    placed = ranks.placed(rows.withColumn("_h", roll), "_h", ["row_idx"], "_place", ["table_id"]).join(n_rows, "table_id")
+    placed = ranks.placed(rows.withColumn("_h", roll), "_h", ["row_idx"], "_place", ["table_id"]).join(ranks.beside(n_rows), "table_id")
     cut = placed.filter(F.col("_place") == _share(ROW_SHARE, keyed(f"{seed}:rows", "table_id"), F.col("_n"), LEAST_ROWS, OTHER_ROWS))
     cut = cut.select("table_id", F.col("_h").alias("_cut"), F.col("row_idx").alias("_cut_row"))
-    x = cells.join(chosen.join(cut, "table_id"), "table_id").withColumn("_h", roll)
+    x = cells.join(ranks.beside(chosen.join(cut, "table_id")), "table_id").withColumn("_h", roll)
     in_seed = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col("row_idx") < F.col("_cut_row")))
     key, own = F.col("col_idx") == F.col("key_idx"), F.array_contains("_own", F.col("col_idx"))
     kinds = F.array(F.when(key | own, F.when(in_seed, "seed").otherwise("union")), F.when(key | ~own, "join"))
@@ -68,7 +69,7 @@ def fragments(cells: DataFrame, keys: DataFrame, tier: int, seed: str = "0") ->
     rows = x.filter("is_key").select("fragment_id", "kind", "row_parent")
     at = F.when(noisy, roll("row", "row_parent")).otherwise(F.col("row_parent")) if tier >= 2 else F.col("row_parent")
     rows = ranks.placed(rows.withColumn("_h", at.cast("long")), "_h", ["row_parent"], "row_idx", ["fragment_id"])
-    x = x.join(cols.drop("kind"), ["fragment_id", "col_parent"]).join(rows.select("fragment_id", "row_parent", "row_idx"), ["fragment_id", "row_parent"])
+    x = x.join(ranks.beside(cols.drop("kind")), ["fragment_id", "col_parent"]).join(rows.select("fragment_id", "row_parent", "row_idx").hint("merge"), ["fragment_id", "row_parent"])
     if tier >= 1:
         name = roll("name", "col_parent")
         x = x.withColumn("col", F.when(noisy & (name % 100 < RENAMED), renamed(F.col("col"), F.floor(name / 100))).otherwise(F.col("col")))
@@ -85,18 +86,18 @@ def fragments(cells: DataFrame, keys: DataFrame, tier: int, seed: str = "0") ->
     sizes = rows.filter(noisy).groupBy("fragment_id").agg(F.count("*").alias("_n")).join(cols.groupBy("fragment_id").agg(F.count("*").cast("int").alias("_m")), "fragment_id")
     new_rows = sizes.withColumn("_j", F.explode(F.sequence(F.lit(1), between(SPURIOUS_ROWS, roll("new rows"))))).withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     new_rows = new_rows.select("fragment_id", "col_idx", (roll("from", "_j", "col_idx") % F.col("_n")).alias("row_idx"), (F.col("_n") + F.col("_j") - 1).alias("_to"))
-    x = x.unionByName(x.join(new_rows, ["fragment_id", "row_idx", "col_idx"]).withColumn("row_idx", F.col("_to")).withColumn("row_parent", F.lit(NOWHERE)).select(*names))
+    x = x.unionByName(x.join(ranks.beside(new_rows), ["fragment_id", "row_idx", "col_idx"]).withColumn("row_idx", F.col("_to")).withColumn("row_parent", F.lit(NOWHERE)).select(*names))
     # a column from nowhere is another one's values, with the rows in the order of a hash
     extra = F.transform(
         F.sequence(F.lit(1), between(SPURIOUS_COLUMNS, roll("new columns"))),
         lambda j: F.struct(j.alias("j"), (roll("like", j) % F.col("_m")).cast("int").alias("like"), F.concat(F.lit("extra_"), 1000 + roll("called", j) % 9000).alias("name")),
     )
     new_cols = sizes.select("fragment_id", "_m", F.explode(extra).alias("_e")).select("fragment_id", "_m", F.col("_e.j").alias("_j"), F.col("_e.like").alias("col_idx"), F.col("_e.name").alias("_name"))
-    new_cols = x.join(new_cols, ["fragment_id", "col_idx"]).withColumn("_h", roll("by", "_j", "row_idx"))
+    new_cols = x.join(ranks.beside(new_cols), ["fragment_id", "col_idx"]).withColumn("_h", roll("by", "_j", "row_idx"))
     new_cols = ranks.placed(new_cols, "_h", ["row_idx"], "_to", ["fragment_id", "_j"])
     new_cols = new_cols.withColumns({"row_idx": F.col("_to"), "col_idx": F.col("_m") + F.col("_j") - 1, "col": F.col("_name"), "col_parent": F.lit(NOWHERE), "is_key": F.lit(False)})
     parents = x.groupBy("fragment_id", "row_idx").agg(F.max("row_parent").alias("row_parent"))
-    return x.unionByName(new_cols.drop("row_parent").join(parents, ["fragment_id", "row_idx"]).select(*names))
+    return x.unionByName(new_cols.drop("row_parent").join(parents.hint("merge"), ["fragment_id", "row_idx"]).select(*names))
 
 
 def manifest(cells: DataFrame) -> DataFrame:

@@ -47,11 +47,22 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
 def placed(df: DataFrame, roll: str, ties: list[str], name: str, by: list[str] = ()) -> DataFrame:
     """``df`` with the place (from 0, as ``name``) of each row in its group by a number ``roll`` of 31 bits or so and ``ties``.
 
-    Rows are sorted within cells of 2 ** 15 numbers, and a cell begins after the rows of those before: no group is one task.
+    Rows are sorted within cells of 2 ** 15 numbers, and a cell begins after the rows of those before: no group is one task. Rows already lie by cells
+    when they are joined; left to its estimates, Spark may broadcast them.
     """
     x = df.withColumn("_cell", F.shiftright(F.col(roll).cast("long"), 15))
     n = x.groupBy(*by, "_cell").agg(F.count("*").alias("_c"))
     over = (Window.partitionBy(*by).orderBy("_cell") if by else Window.orderBy("_cell")).rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
     n = n.select(*by, "_cell", F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_base"))
     x = x.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(roll, *ties)) - 1)
-    return x.join(n, [*by, "_cell"]).withColumn(name, F.col("_in") + F.col("_base")).drop("_cell", "_in", "_base")
+    return x.join(n.hint("merge"), [*by, "_cell"]).withColumn(name, F.col("_in") + F.col("_base")).drop("_cell", "_in", "_base")
+
+
+def beside(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, computed, for a join with a table of cells or rows: broadcast if it has ``most`` rows or fewer, else shuffled.
+
+    Spark chooses by sizes that it estimates from compressed files, and so may broadcast the larger table.
+    """
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
