@@ -4,7 +4,8 @@ A state is a set of rows that some program reaches. States are kept in long form
 their members, so programs that reach the same rows meet in one state and are carried on once. Each level is one plan for the
 states of all questions: functions run as joins and aggregates over cells, results that are empty or change nothing are pruned, and
 states that are already known are dropped by an anti join. Finished expressions are scored by a join with the answers; programs are read
-off the graph of states, forwards, through states alone from which an answer can still be reached.
+off the graph of states, forwards, through states alone from which an answer can still be reached. Joins are shuffled but for what is one row or a
+few a question: Spark's estimates of states and cells come from compressed files and are far too small.
 
 Admissibility follows from denotations: filters, extremes, first and last, and aggregates take two rows or more, ``same`` takes one,
 ``next`` and ``previous`` are not for the whole table, and a property has to be there for the rows. An answer is met if there are as
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.operators import ranks
 from lakeweave.operators.program import as_plain, near_value
 from lakeweave.sources.writers import checkpoint_dir
 
@@ -76,7 +78,7 @@ def extremes(base: DataFrame) -> DataFrame:
     first = base.filter("size > 1 and kind = 'number'").select(*KEYS, "tab", "row", "prop", F.get("nums", F.lit(0)).alias("x")).filter("x is not null")
     ends = first.groupBy(*KEYS, "prop").agg(F.max("x").alias("high"), F.min("x").alias("low"))
     names = F.array_compact(F.array(F.when(F.col("x") == F.col("high"), F.lit("argmax")), F.when(F.col("x") == F.col("low"), F.lit("argmin"))))
-    both = first.join(ends, [*KEYS, "prop"]).select(*KEYS, "tab", "row", "prop", F.explode(names).alias("name"))
+    both = first.join(ends.hint("merge"), [*KEYS, "prop"]).select(*KEYS, "tab", "row", "prop", F.explode(names).alias("name"))
     return both.select(*KEYS, "tab", "row", F.concat_ws(" ", F.lit("("), "name", F.lit(HERE), "prop", F.lit(")")).alias("op"))
 
 
@@ -90,14 +92,14 @@ def neighbours(states: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows below and above, where the table has them."""
     moved = F.explode(F.array(*[F.struct((F.col("row") + by).alias("row"), expression(n).alias("op")) for n, by in (("next", 1), ("previous", -1))]))
     x = states.filter("not whole").select(*KEYS, "tab", moved.alias("x")).select(*KEYS, "tab", "x.row", "x.op")
-    return x.join(rows, ["tab", "row"], "left_semi")
+    return x.join(rows.hint("merge"), ["tab", "row"], "left_semi")
 
 
 def same(base: DataFrame, cells: DataFrame) -> DataFrame:
     """The other rows with the same set of values as the only row."""
     key = lambda: F.array_sort(F.array_distinct("texts")).alias("set")
     one = base.filter("size = 1 and size(texts) > 0").select(*KEYS, "tab", F.col("row").alias("own"), "prop", key())
-    met = one.join(cells.select("tab", "row", "prop", key()), ["tab", "prop", "set"]).filter("row <> own")
+    met = one.join(cells.select("tab", "row", "prop", key()).hint("merge"), ["tab", "prop", "set"]).filter("row <> own")
     return met.select(*KEYS, "tab", "row", expression("same", F.col("prop")).alias("op"))
 
 
@@ -108,7 +110,7 @@ def denotations(states: DataFrame, base: DataFrame) -> DataFrame:
     hops = counted.select(*KEYS, expression("hop", F.col("prop")).alias("op"), F.col("texts").alias("value"))
     many = counted.filter("size > 1")
     most = many.groupBy(*KEYS, "prop").agg(F.max("n").alias("n"))
-    modes = many.join(most, [*KEYS, "prop", "n"]).select(*KEYS, expression("mode", F.col("prop")).alias("op"), F.col("texts").alias("value"))
+    modes = many.join(most.hint("merge"), [*KEYS, "prop", "n"]).select(*KEYS, expression("mode", F.col("prop")).alias("op"), F.col("texts").alias("value"))
     whole = many.filter("kind = 'number' and x is not null").groupBy(*KEYS, "prop")
     sums = whole.agg(F.max("x").alias("maximum"), F.min("x").alias("minimum"), F.sum(F.col("x") * F.col("n")).alias("sum"), F.sum("n").alias("_n"))
     sums = sums.withColumn("average", F.col("sum") / F.col("_n"))
@@ -121,9 +123,9 @@ def met(found: DataFrame, answers: DataFrame) -> DataFrame:
     """(env, sid, op) of the value sets that are the answer. Sets of another size go before anything is compared."""
     plain = lambda df: df.withColumn("value", as_plain(F.col("value"))).distinct()
     want, have = plain(answers), plain(found)
-    sizes = want.groupBy("env").agg(F.count("*").alias("n"))
+    sizes = ranks.beside(want.groupBy("env").agg(F.count("*").alias("n")))
     fit = have.groupBy(*KEYS, "op").agg(F.count("*").alias("n")).join(sizes, ["env", "n"])
-    pairs = have.join(fit, [*KEYS, "op"]).join(want.withColumnRenamed("value", "target"), "env").filter(near_value(F.col("value"), F.col("target")))
+    pairs = have.join(fit.hint("merge"), [*KEYS, "op"]).join(ranks.beside(want).withColumnRenamed("value", "target"), "env").filter(near_value(F.col("value"), F.col("target")))
     return pairs.groupBy(*KEYS, "op", "n").agg(F.countDistinct("target").alias("hit")).filter("hit = n").select(*KEYS, "op")
 
 
@@ -139,23 +141,24 @@ def _name() -> Column:
 def search(q: Questions, depth: int = 3) -> DataFrame:
     """(env, program, n_expressions): all programs of at most ``depth`` expressions, each but the last a set of rows, that give the answer."""
     checkpoint_dir(q.cells.sparkSession)
-    cells, given = q.cells.checkpoint(), q.given.distinct()
+    cells, given, answers = q.cells.checkpoint(), ranks.beside(q.given.distinct()), q.answers.checkpoint()
     rows = cells.select("tab", "row").distinct()
-    members = q.asked.join(rows, "tab")
+    members = rows.join(ranks.beside(q.asked), "tab").select("env", "tab", "row")
     root = members.groupBy("env", "tab").agg(*_digest(F.col("row"))).select("env", "tab", _name().alias("sid"), F.col("n").alias("size"))
+    root = ranks.beside(root)
     states = members.join(root, ["env", "tab"]).select(*KEYS, "tab", "row", "size", F.lit(True).alias("whole")).checkpoint()
     known, edges, done = root.select(*KEYS).checkpoint(), [], []
     for level in range(depth):
-        base = states.join(cells, ["tab", "row"])
-        done.append(met(denotations(states, base), q.answers).checkpoint())
+        base = states.join(cells.hint("merge"), ["tab", "row"])
+        done.append(met(denotations(states, base), answers).checkpoint())
         if level == depth - 1:
             break
         made = filters(base, given).unionByName(extremes(base)).unionByName(ends(states)).unionByName(neighbours(states, rows)).unionByName(same(base, cells)).checkpoint()
         named = made.groupBy(*KEYS, "op", "tab").agg(*_digest(F.col("row"))).withColumn("to", _name()).filter(F.col("to") != F.col("sid")).checkpoint()
         edges.append(named.select(*KEYS, "op", "to"))
         new = named.groupBy("env", "to", F.col("n").alias("size")).agg(F.min(F.struct("sid", "op")).alias("by"))
-        new = new.join(known.select("env", F.col("sid").alias("to")), ["env", "to"], "left_anti").select("env", "to", "size", "by.*")
-        states = made.join(new, [*KEYS, "op"]).select("env", F.col("to").alias("sid"), "tab", "row", "size", F.lit(False).alias("whole")).checkpoint()
+        new = new.join(known.select("env", F.col("sid").alias("to")).hint("merge"), ["env", "to"], "left_anti").select("env", "to", "size", "by.*")
+        states = made.join(new.hint("merge"), [*KEYS, "op"]).select("env", F.col("to").alias("sid"), "tab", "row", "size", F.lit(False).alias("whole")).checkpoint()
         known = known.unionByName(new.select("env", F.col("to").alias("sid"))).checkpoint()
     return programs(root, edges, done, depth)
 
@@ -171,14 +174,14 @@ def programs(root: DataFrame, edges: list[DataFrame], done: list[DataFrame], dep
         steps = e if steps is None else steps.unionByName(e)
     useful = [last.select(*KEYS).distinct()]
     for _ in range(depth - 1):
-        towards = steps.join(useful[-1].select("env", F.col("sid").alias("to")), ["env", "to"], "left_semi").select(*KEYS)
+        towards = steps.join(useful[-1].select("env", F.col("sid").alias("to")).hint("merge"), ["env", "to"], "left_semi").select(*KEYS)
         useful.append(useful[0].unionByName(towards).distinct().checkpoint())
     walk, out = root.select(*KEYS, F.array().cast("array<string>").alias("path")), None
     for level in range(depth):
-        ended = walk.join(last, KEYS).select("env", F.concat("path", F.array("op")).alias("path"))
+        ended = walk.join(last.hint("merge"), KEYS).select("env", F.concat("path", F.array("op")).alias("path"))
         out = ended if out is None else out.unionByName(ended)
         if level < depth - 1:
-            walk = walk.join(steps, KEYS).select("env", F.col("to").alias("sid"), F.concat("path", F.array("op")).alias("path")).join(useful[depth - 2 - level], KEYS, "left_semi")
+            walk = walk.join(steps.hint("merge"), KEYS).select("env", F.col("to").alias("sid"), F.concat("path", F.array("op")).alias("path")).join(useful[depth - 2 - level].hint("merge"), KEYS, "left_semi")
     name = lambda i: F.when(i == 0, F.lit("all_rows")).otherwise(F.concat(F.lit("v"), (i - 1).cast("string")))
     text = F.array_join(F.transform("path", lambda x, i: F.replace(x, F.lit(HERE), name(i))), "\n")
     return out.select("env", text.alias("program"), F.size("path").alias("n_expressions"))

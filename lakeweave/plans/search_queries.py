@@ -72,7 +72,7 @@ def brands(t) -> search.Questions:
         search.cells_of(part, "p_brand", "row", PROPS),
         types.select("env", F.col("env").alias("tab")),
         types.unionByName(types.select("env", F.lit(LEAST).alias("value"))),
-        large.join(dearest, ["env", "p_retailprice"]).select("env", F.col("p_name").alias("value")),
+        large.join(ranks.beside(dearest), ["env", "p_retailprice"]).select("env", F.col("p_name").alias("value")),
     )
 
 
