@@ -1,5 +1,6 @@
 """Pairs of tables by blocks against the operators on rows of pairs."""
 
+import math
 import random
 
 import pytest
@@ -66,3 +67,17 @@ def test_no_row_for_each_pair(spark):
         assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
     parts = B.meet(*Q.two_groups(lambda _: e), lambda q, c: q.select(["qid"]), "qid long", 50)
     assert parts.count() <= 200 * 4
+
+
+def test_hash_candidates_share_least_buckets(spark):
+    """Pairs meet by all of ``least`` buckets, each once, and nothing is summed up over pairs."""
+    planes = [[[math.sin((d + 1) * (b + 2) + 5 * k) for d in range(4)] for b in range(2)] for k in range(4)]
+    r = random.Random(2)
+    v = {i: [r.gauss(0, 1) for _ in range(4)] for i in range(60)}
+    codes = {i: [tuple(sum(x * y for x, y in zip(p, w)) > 0 for p in t) for t in planes] for i, w in v.items()}
+    df = spark.createDataFrame([*v.items(), (60, None)], "id long, v array<double>")
+    for least in (1, 2, 3):
+        hits = {(a, b): sum(x == y for x, y in zip(codes[a], codes[b])) for a in v for b in v if a < b}
+        found = J.lsh_candidates(df, planes, least)
+        assert sorted(map(tuple, found.collect())) == sorted((*p, n) for p, n in hits.items() if n >= least)
+        assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
