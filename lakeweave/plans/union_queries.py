@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeweave.functions import vectors as V
 from lakeweave.operators import lsh, neighbour_graph
 from lakeweave.operators import vector_join as J
 
@@ -26,7 +25,7 @@ def _probe_sql(asked: str, k: int) -> str:
 
 
 def _columns(t):
-    e = t("embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 4).alias("tab"), V.doubles(F.col("embedding")).alias("v"))
+    e = t("embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 4).alias("tab"), F.col("embedding").alias("v"))
     return e.select(F.col("id").alias("qid"), F.col("tab").alias("qgroup"), "v"), e.select(F.col("id").alias("cid"), F.col("tab").alias("cgroup"), "v")
 
 
