@@ -53,6 +53,7 @@ def capped_walk(edges: list[tuple[int, int]], cap: int) -> dict[int, int]:
 def capped_components(edges: DataFrame, cap: int) -> DataFrame:
     """(node, cluster) with at most ``cap`` nodes a cluster. Order only matters within a component, so that each plain
     component is one group and groups run in parallel; edges are walked by sim descending, then a, b."""
+    edges = edges.select("a", "b", "sim").checkpoint()
     own = edges.join(components(edges), edges["a"] == F.col("node")).select("comp", "a", "b", "sim")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
