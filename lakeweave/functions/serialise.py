@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -111,14 +112,21 @@ _TAIL = "(?:[" + MARKS + r"\s]|\[[0-9]+\]|(?!\A)(?:\[[^\]]*\]| \([^)]*\)))+\z"
 
 
 def decomposed(c: Column) -> Column:
-    """Compatibility decomposition without combining marks; ASCII stays in the JVM."""
+    """Compatibility decomposition without combining marks; ASCII stays in the JVM, and of other texts only what is not ASCII is looked up.
+
+    A function in Python gets every row, whatever condition it stands behind, so that ASCII texts go there as nulls.
+    """
+    other = re.compile(r"[^\x00-\x7F]+")  # ASCII is its own decomposition, and no mark moves across it
+
+    def plain(m: re.Match) -> str:
+        return "".join(ch for ch in unicodedata.normalize("NFKD", m[0]) if unicodedata.category(ch) != "Mn")
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(["".join(ch for ch in unicodedata.normalize("NFKD", x) if unicodedata.category(ch) != "Mn") if x is not None else None for x in s])
+            yield pd.Series([other.sub(plain, x) if x is not None else None for x in s], dtype=object)
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), run(c)).otherwise(c)
+    return F.coalesce(run(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def normal_answer(c: Column) -> Column:
@@ -127,7 +135,10 @@ def normal_answer(c: Column) -> Column:
     What is within quotes around the whole has none itself, so that its end is cleaned once more and nothing is left to do.
     """
     same = F.translate(decomposed(c), QUOTES + DOUBLE_QUOTES + DASHES, "'" * len(QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
-    trimmed = lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")
-    cleaned = lambda x: trimmed(F.regexp_replace(trimmed(x), _TAIL, ""))
+    trimmed = lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r"))
+    # only what ends in a mark or a bracket has a tail: no search through the others; the array holds the text, so that it is made once
+    ends = lambda x: F.right(x, F.lit(1)).rlike("[" + MARKS + r"\])]")
+    cut = lambda x: F.transform(F.array(x), lambda y: F.when(ends(y), F.regexp_replace(y, _TAIL, "")).otherwise(y))[0]
+    cleaned = lambda x: trimmed(cut(trimmed(x)))
     inner = cleaned(F.regexp_replace(cleaned(same), r'\A"([^"]*)"\z', "$1"))
     return trimmed(F.lower(F.regexp_replace(F.regexp_replace(inner, r"\.\z", ""), r"\s+", " ")))
