@@ -61,15 +61,18 @@ def key_column(profile: DataFrame, order: Column, uniqueness: float = 0.8, known
     return top_k(ok, ["table_id"], 1, F.col("is_text").desc(), F.col("uniqueness").desc(), order).drop("rank")
 
 
-def minhash(values: DataFrame, by: list[str], value: str, seeds: int) -> DataFrame:
-    """``seeds`` minima of hashes of each group's values, put together before the shuffle.
+def minhash(sets: DataFrame, by: list[str], words: str, seeds: int) -> DataFrame:
+    """``seeds`` minima of hashes of each group's values; rows hold them as arrays ``words``, and rows without any leave none.
 
-    Four hashes are cut from one md5. They are compared as hex digits, whose order is that of the numbers, and become numbers once a group.
+    Four hashes are cut from one md5. They are compared as hex digits, whose order is that of the numbers, within a row, and become numbers once
+    a row. What is summed up and shuffled are a row's numbers, never its values: minima of texts would sort all values of a task.
     """
-    digests = [F.md5(F.concat(F.lit(f"{i}:"), F.col(value)).cast("binary")).alias(f"_d{i}") for i in range((seeds + 3) // 4)]
-    least = [F.min(F.substring(f"_d{i // 4}", 8 * (i % 4) + 1, 8)).alias(f"_h{i}") for i in range(seeds)]
-    out = values.select(*by, *digests).groupBy(*by).agg(*least)
-    return out.select(*by, *[F.conv(f"_h{i}", 16, 10).cast("long").alias(f"h{i}") for i in range(seeds)])
+    digest = lambda i: F.transform(words, lambda w: F.md5(F.concat(F.lit(f"{i}:"), w).cast("binary")))
+    first = lambda i: F.array_min(F.transform(f"_d{i // 4}", lambda d: F.substring(d, 8 * (i % 4) + 1, 8)))
+    digests, least = [digest(i).alias(f"_d{i}") for i in range((seeds + 3) // 4)], [first(i).alias(f"h{i}") for i in range(seeds)]
+    rows = sets.filter(F.size(words) > 0).select(*by, *digests).select(*by, *least)
+    numbers = rows.select(*by, *[F.conv(f"h{i}", 16, 10).cast("long").alias(f"h{i}") for i in range(seeds)])
+    return numbers.groupBy(*by).agg(*[F.min(f"h{i}").alias(f"h{i}") for i in range(seeds)])
 
 
 def multiset_f1(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

@@ -179,8 +179,8 @@ _H = "min(('0x' || substr(md5('{j}:' || w), {k}, 8))::BIGINT) AS h{i}"
 
 @query(f"WITH d AS (SELECT * FROM ({_TOKENS.format(id='doc_id', c='text', t='documents')}) WHERE w <> '') SELECT id AS doc_id, {', '.join(_H.format(i=i, j=i // 4, k=8 * (i % 4) + 1) for i in range(8))} FROM d GROUP BY id")
 def minhash_signature(t):
-    words = t("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).filter("w <> ''")
-    return L.minhash(words, ["doc_id"], "w", 8)
+    words = F.array_remove(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")), "")
+    return L.minhash(t("documents").select("doc_id", words.alias("w")), ["doc_id"], "w", 8)
 
 
 _SIZES = "sizes AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_id, count(*) AS n_rows, {len(cs)} AS n_cols FROM {t}" for t, (_, cs) in SPEC.items()) + ")"
