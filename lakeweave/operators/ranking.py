@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.sources.writers import checkpoint_dir
+
 FLOOR, EXACT, UNKNOWN = 1e-6, 10_000.0, -1.0
 
 
@@ -16,12 +18,17 @@ def floored(c: Column | str) -> Column:
     return F.greatest(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)).cast("double"), F.lit(FLOOR))
 
 
-def overlap(held: DataFrame, seeds: DataFrame, item: str, name: str) -> DataFrame:
-    """(q, tab, share of the query's distinct seeds that the table holds); tables without any have no row."""
+def overlap(held: DataFrame, seeds: DataFrame, item: str, name: str, by: str = "tab") -> DataFrame:
+    """(q, tab, share of the query's distinct seeds that the table holds); tables without any have no row. Rows of no seed are not shuffled."""
     seeds = seeds.select("q", item).distinct()
     size = seeds.groupBy("q").agg(F.count("*").alias("_n"))
-    met = seeds.join(held.select("tab", item).distinct(), item).groupBy("q", "tab").agg(F.count("*").alias("_m"))
-    return met.join(size, "q").select("q", "tab", (F.col("_m") / F.col("_n")).alias(name))
+    met = held.select(by, item).join(seeds, item).distinct().groupBy("q", by).agg(F.count("*").alias("_m"))
+    return met.join(size, "q").select("q", by, (F.col("_m") / F.col("_n")).alias(name))
+
+
+def label_sets(labels: DataFrame) -> DataFrame:
+    """(tab, labels): each table's labels, once each and in order."""
+    return labels.select("tab", "label").distinct().groupBy("tab").agg(F.array_sort(F.collect_list("label")).alias("labels"))
 
 
 def label_scores(labels: DataFrame, entities: DataFrame, seed_labels: DataFrame, seed_entities: DataFrame, likelihood: DataFrame) -> DataFrame:
@@ -29,12 +36,22 @@ def label_scores(labels: DataFrame, entities: DataFrame, seed_labels: DataFrame,
     exp(``likelihood``), each with its floor, dealt equally to the table's labels.
 
     ``labels`` (tab, label), ``entities`` (tab, entity), seeds (q, label) and (q, entity), ``likelihood`` (tab, ll).
+
+    No row is made for a query and a table that share labels alone: what such a table adds follows from its set of labels, so likelihoods are
+    summed by sets (and by the seed entities that a table has, if any), and queries meet these sums.
     """
-    near = overlap(labels, seed_labels, "label", "by_label").join(overlap(entities, seed_entities, "entity", "by_entity"), ["q", "tab"], "full")
-    p = near.join(likelihood.select("tab", F.exp("ll").alias("_l")), "tab", "left").select("q", "tab", (floored("by_label") * floored("by_entity") * floored("_l")).alias("p"))
-    own = labels.select("tab", "label").distinct()
-    each = p.join(own.groupBy("tab").agg(F.count("*").alias("_n")), "tab").join(own, "tab")
-    return each.groupBy("q", "label").agg(F.sum(F.col("p") / F.col("_n")).alias("score"))
+    checkpoint_dir(labels.sparkSession)
+    hits = overlap(entities, seed_entities, "entity", "by_entity").groupBy("tab").agg(F.array_sort(F.collect_list(F.struct("q", floored("by_entity").alias("e")))).alias("hits"))
+    x = label_sets(labels).join(likelihood.select("tab", F.exp("ll").alias("_l")), "tab", "left").join(hits, "tab", "left")
+    sums = x.groupBy("labels", "hits").agg(F.sum(floored("_l")).alias("l")).checkpoint()
+    whole = sums.groupBy("labels").agg(F.sum("l").alias("l"))
+    near = overlap(whole.select("labels", F.explode("labels").alias("label")), seed_labels, "label", "by_label", "labels").withColumn("by_label", floored("by_label"))
+    alone = near.join(whole, "labels").select("q", "labels", (F.col("by_label") * FLOOR * F.col("l")).alias("p"))
+    met = sums.select("labels", "l", F.explode("hits").alias("h")).select("labels", "l", "h.q", "h.e").join(near, ["q", "labels"], "left")
+    more = F.when(F.col("by_label").isNull(), FLOOR * F.col("e")).otherwise(F.col("by_label") * (F.col("e") - FLOOR))  # than without the entity
+    p = alone.unionByName(met.select("q", "labels", (more * F.col("l")).alias("p"))).groupBy("q", "labels").agg(F.sum("p").alias("p"))
+    each = p.select("q", F.explode("labels").alias("label"), (F.col("p") / F.size("labels")).alias("p"))
+    return each.groupBy("q", "label").agg(F.sum("p").alias("score"))
 
 
 def entity_scores(entities: DataFrame, labels: DataFrame, captions: DataFrame, seeds: DataFrame, asked_labels: DataFrame, asked_words: DataFrame, lam: float = 0.5, mu: float = 2000.0) -> DataFrame:
@@ -44,25 +61,35 @@ def entity_scores(entities: DataFrame, labels: DataFrame, captions: DataFrame, s
     words by the captions of its tables, smoothed by all captions; and for each asked label its smoothed and its plain share among the entity's
     tables. ``entities`` (tab, entity), ``labels`` (tab, label), ``captions`` (tab, word, tf), seeds (q, entity), asked (q, label) and (q, word).
     """
-    held, own = entities.select("tab", "entity").distinct(), labels.select("tab", "label").distinct()
-    with_all = overlap(held, seeds, "entity", "share").filter("share = 1").select("q", "tab")
+    checkpoint_dir(entities.sparkSession)
+    rows = entities.select("tab", "entity")
+    with_all = overlap(rows, seeds, "entity", "share").filter("share = 1").select("q", "tab").checkpoint()
     tables = with_all.groupBy("q").agg(F.count("*").alias("_n"))
-    both = with_all.join(held, "tab").groupBy("q", "entity").agg(F.count("*").alias("_m")).join(seeds.select("q", "entity").distinct(), ["q", "entity"], "left_anti")
-    cand = both.join(tables, "q").select("q", "entity", (lam * F.col("_m") / F.col("_n")).alias("by_seeds"))
-
-    every = captions.groupBy("word").agg(F.sum("tf").alias("ctf"))
-    whole = float(captions.agg(F.sum("tf")).first()[0] or 1)
-    found = cand.select("entity").distinct().join(held, "entity")
-    words = found.join(captions, "tab").groupBy("entity", "word").agg(F.sum("tf").alias("tf"))
+    both = rows.join(with_all, "tab").distinct().groupBy("q", "entity").agg(F.count("*").alias("_m")).join(seeds.select("q", "entity").distinct(), ["q", "entity"], "left_anti")
+    cand = both.join(tables, "q").select("q", "entity", (lam * F.col("_m") / F.col("_n")).alias("by_seeds")).checkpoint()
+
+    # what tables say is held once a table, and counted by kinds of tables: words and labels are dealt out only then
+    said = captions.groupBy("tab").agg(F.array_sort(F.collect_list(F.struct("word", "tf"))).alias("words"))
+    about = said.join(label_sets(labels), "tab", "full").checkpoint()
+    kinds = about.groupBy("words", "labels").agg(F.count("*").alias("n")).checkpoint()
+    held = rows.join(cand.select("entity").distinct(), "entity", "left_semi").repartition("tab").dropDuplicates(["tab", "entity"])
+    found = held.join(about, "tab", "left").groupBy("entity", "words", "labels").agg(F.count("*").alias("n")).checkpoint()
+    words_of = lambda df, *by: df.select(*by, "n", F.explode("words").alias("x")).groupBy(*by, F.col("x.word").alias("word"))
+    labels_of = lambda df, *by: df.select(*by, "n", F.explode("labels").alias("label")).groupBy(*by, "label")
+    times = F.sum(F.col("x.tf") * F.col("n"))
+
+    every = words_of(kinds).agg(times.alias("ctf"))
+    whole = float(every.agg(F.sum("ctf")).first()[0] or 1)
+    words = words_of(found, "entity").agg(times.alias("tf"))
     length = words.groupBy("entity").agg(F.sum("tf").alias("len"))
     asked = cand.select("q", "entity").join(asked_words.select("q", "word"), "q").join(every, "word", "left").join(words, ["entity", "word"], "left").join(length, "entity", "left").fillna(0, ["ctf", "tf", "len"])
     p = (F.col("tf") + mu * F.col("ctf") / whole) / (F.col("len") + mu)
     said = asked.groupBy("q", "entity").agg(F.exp(F.sum(F.when(p > 0, F.log(p)))).alias("by_caption"))
 
-    n_labels = own.count() or 1
-    all_labels = own.groupBy("label").agg(F.count("*").alias("_all"))
-    marked = found.join(own, "tab").groupBy("entity", "label").agg(F.count("*").alias("_le"))
-    per = found.groupBy("entity").agg(F.count("*").alias("_e")).join(marked.groupBy("entity").agg(F.sum("_le").alias("_len")), "entity", "left")
+    all_labels = labels_of(kinds).agg(F.sum("n").alias("_all"))
+    n_labels = all_labels.agg(F.sum("_all")).first()[0] or 1
+    marked = labels_of(found, "entity").agg(F.sum("n").alias("_le"))
+    per = found.groupBy("entity").agg(F.sum("n").alias("_e")).join(marked.groupBy("entity").agg(F.sum("_le").alias("_len")), "entity", "left")
     many = asked_labels.select("q", "label").distinct()
     many = many.join(many.groupBy("q").agg(F.count("*").alias("_k")), "q").join(all_labels, "label", "left")
     each = cand.select("q", "entity").join(many, "q").join(per, "entity").join(marked, ["entity", "label"], "left").fillna(0, ["_all", "_le", "_len"])

@@ -20,8 +20,8 @@ def _parts(t):
     lines, orders, near = t("lineitem"), t("orders"), t("supplier")
     e = lines.select(F.col("l_orderkey").alias("tab"), F.col("l_suppkey").alias("entity"))
     names = F.explode(F.array(F.concat(F.lit("r:"), "l_returnflag"), F.concat(F.lit("s:"), "l_linestatus")))
-    labels = lines.select(F.col("l_orderkey").alias("tab"), names.alias("label")).distinct()
-    words = orders.select(F.col("o_orderkey").alias("tab"), F.explode(F.split("o_orderpriority", "[^A-Z]+")).alias("word")).filter("word <> ''").groupBy("tab", "word").agg(F.count("*").alias("tf"))
+    labels = lines.select(F.col("l_orderkey").alias("tab"), names.alias("label"))
+    words = orders.select(F.col("o_orderkey").alias("tab"), F.explode(F.split("o_orderpriority", "[^A-Z]+")).alias("word")).filter("word <> ''")
     seeds = near.groupBy(F.col("s_nationkey").alias("q")).agg(F.min("s_suppkey").alias("entity"))
     own = F.explode(F.array(F.when(F.col("q") % 2 == 0, "r:A").otherwise("r:R"), F.lit("s:F")))
     return e, labels, words, seeds, seeds.select("q", own.alias("label"))
@@ -35,9 +35,9 @@ SELECT q, label, round(sum(p / n), 6) AS score FROM p JOIN n USING (tab) JOIN l
 def label_rank(t):
     """Labels by the tables that share a supplier or a label with each nation's seeds, and the likelihood of their captions."""
     e, labels, words, seeds, own = _parts(t)
-    every = words.groupBy("word").agg(F.sum("tf").alias("ctf"))
-    whole = words.agg(F.sum("tf").alias("whole"))
-    ll = words.join(every, "word").join(whole).groupBy("tab").agg(F.sum(F.col("tf") * F.log(F.col("ctf") / F.col("whole"))).alias("ll"))
+    every = words.groupBy("word").agg(F.count("*").alias("ctf"))
+    share = every.join(every.agg(F.sum("ctf").alias("whole"))).select("word", F.log(F.col("ctf") / F.col("whole")).alias("x"))
+    ll = words.join(share, "word").groupBy("tab").agg(F.sum("x").alias("ll"))
     return R.label_scores(labels, e, own, seeds, ll).select("q", "label", F.round("score", 6).alias("score"))
 
 
@@ -54,6 +54,7 @@ def entity_scores(t):
     """Suppliers by what they share with each nation's seed, with the words of a caption and with two labels."""
     e, labels, words, seeds, own = _parts(t)
     asked = seeds.select("q", F.explode(F.array(F.lit("NOT"), F.lit("LOW"))).alias("word"))
+    words = words.groupBy("tab", "word").agg(F.count("*").alias("tf"))
     s = R.entity_scores(e, labels, words, seeds, own, asked)
     return s.select("q", "entity", *[F.round(c, 8).alias(c) for c in ("by_seeds", "by_caption", "by_label")], F.round(1e3 * F.col("score"), 7).alias("score"))
 
