@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions import cleaning as C
 from lakeweave.operators import lake as L
 from lakeweave.operators import ranks
+from lakeweave.operators import retrieval as R
 
 from .registry import query
 
@@ -56,11 +57,9 @@ h AS (SELECT q.id AS item_id, d.id AS doc_id, count(*) AS hits FROM q JOIN d USI
 SELECT item_id, doc_id, hits, round(hits / n, 6) AS containment, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank
 FROM h JOIN n ON n.id = item_id QUALIFY rank <= 5""")
 def doc_token_containment(t):
-    words = lambda name, key: t(name).select(F.col(key), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).filter("w <> ''")
-    q, d = words("benchmark", "item_id"), words("documents", "doc_id")
-    n = q.groupBy("item_id").agg(F.count("*").alias("n"))
-    h = d.join(F.broadcast(q) if t("benchmark").count() < 100_000 else q, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(n, "item_id")
-    out = L.top_k(h, ["item_id"], 5, F.col("hits").desc(), F.col("doc_id"))
+    q = R.postings(t("benchmark").select(F.col("item_id").alias("qid"), "text"), "qid", "text", "[^a-z0-9]+")
+    n = q.groupBy(F.col("qid").alias("item_id")).agg(F.count("*").alias("n"))
+    out = R.overlaps(q, R.words_of(t("documents"), "doc_id", "did"), 5).withColumnsRenamed({"qid": "item_id", "did": "doc_id"}).join(n, "item_id")
     return out.select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("containment"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -103,8 +103,7 @@ def _lm(how, prob):
     )
     def run(t):
         q = t("benchmark").select(F.col("item_id").alias("qid"), "text")
-        d = t("documents").select(F.col("doc_id").alias("did"), "text")
-        out = R.query_likelihood(R.postings(q, "qid", "text", "[^a-z0-9]+"), R.postings(d, "did", "text", "[^a-z0-9]+"), how, 5)
+        out = R.query_likelihood(R.postings(q, "qid", "text", "[^a-z0-9]+"), R.words_of(t("documents"), "doc_id", "did"), how, 5)
         return out.select(F.col("qid").alias("item_id"), F.col("did").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -114,7 +113,7 @@ _lm("jelinek_mercer", "0.9 * coalesce(tf, 0) / dl + 0.1 * ctf / cl")
 
 @query(f"WITH {_POST} SELECT (SELECT count(*) FROM len) AS doc_count, (SELECT cl FROM cl)::BIGINT AS length, (SELECT round(avg(dl), 6) FROM len) AS avg_len, (SELECT count(*) FROM c) AS terms, (SELECT max(n) FROM (SELECT count(*) AS n FROM dt GROUP BY w)) AS max_doc_freq")
 def collection_statistics(t):
-    return R.statistics(R.postings(t("documents").select(F.col("doc_id").alias("did"), "text"), "did", "text", "[^a-z0-9]+"))
+    return R.statistics(R.words_of(t("documents"), "doc_id", "did"))
 
 
 _RANKS = """WITH d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM benchmark),
@@ -123,9 +122,9 @@ g AS (SELECT *, doc_id % 4 = item_id % 4 AS gold FROM r)"""
 
 
 def _ranked(t):
-    words = lambda name, key: t(name).select(F.col(key), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).filter("w <> ''")
-    h = words("documents", "doc_id").join(words("benchmark", "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    return L.top_k(h, ["item_id"], 20, F.col("score").desc(), F.col("doc_id")).withColumn("gold", F.col("doc_id") % 4 == F.col("item_id") % 4)
+    q = R.postings(t("benchmark").select(F.col("item_id").alias("qid"), "text"), "qid", "text", "[^a-z0-9]+")
+    h = R.overlaps(q, R.words_of(t("documents"), "doc_id", "did"), 20).select(F.col("qid").alias("item_id"), F.col("did").alias("doc_id"), F.col("hits").alias("score"), "rank")
+    return h.withColumn("gold", F.col("doc_id") % 4 == F.col("item_id") % 4)
 
 
 @query(f"{_RANKS} SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM g WHERE NOT gold QUALIFY n <= 5")
