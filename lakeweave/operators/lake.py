@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,51 @@ def containment_join(queries: DataFrame, lake: DataFrame, k: int, digits: int =
     return top_k(scored, ["q_table", "q_col"], k, F.col("containment").desc(), F.col("table_id"), F.col("col"))
 
 
+def shared_values(sets: DataFrame, most: int = 2048) -> DataFrame:
+    """(q, c, x): pairs of different tables and how many distinct values they share, both ways round. ``sets`` is (t, v), rows may repeat.
+
+    Up to ``most`` tables, a task multiplies matrices of values by tables and gives its sums once, so that no row is made for a value and a pair
+    of tables. More tables meet by a join on values.
+    """
+    sets = sets.select("t", "v").filter("t is not null and v is not null")
+    names = [r.t for r in sets.select("t").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        s = sets.distinct()
+        return s.withColumnRenamed("t", "q").join(s.withColumnRenamed("t", "c"), "v").filter("q <> c").groupBy("q", "c").agg(F.count("*").alias("x"))
+    kind = sets.schema["t"].dataType.simpleString()
+    held = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+    rows = max((1 << 24) // max(len(names), 1), 1)  # a matrix has 64 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting, n = pa.array(names, held), [], 0
+        total = np.zeros((len(names), len(names)), np.int64)
+
+        def add(t: np.ndarray, v: np.ndarray) -> None:
+            m = np.zeros((int(v[-1]) + 1, len(names)), np.float32)
+            m[v, t] = 1.0
+            total[:] += (m.T @ m).astype(np.int64)
+
+        for b in batches:
+            t = pc.index_in(b.column(0), value_set=known).to_numpy()
+            waiting, n = [*waiting, (t, b.column(1))], n + b.num_rows
+            if n >= rows:
+                t, v = np.concatenate([x for x, _ in waiting]), pa.chunked_array([x for _, x in waiting]).combine_chunks()
+                code = pc.dictionary_encode(v).indices.to_numpy()  # rows come in order of values
+                whole = int(np.argmax(code == code[-1]))
+                if whole:
+                    add(t[:whole], code[:whole])
+                waiting, n = [(t[whole:], v.slice(whole))], n - whole
+        if n:
+            code = pc.dictionary_encode(pa.chunked_array([x for _, x in waiting]).combine_chunks()).indices.to_numpy()
+            add(np.concatenate([x for x, _ in waiting]), code)
+        np.fill_diagonal(total, 0)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(i)), known.take(pa.array(j)), pa.array(total[i, j])], names=["q", "c", "x"])
+
+    met = sets.repartition("v").dropDuplicates(["t", "v"]).sortWithinPartitions("v").mapInArrow(run, f"q {kind}, c {kind}, x long")
+    return met.groupBy("q", "c").agg(F.sum("x").alias("x"))
+
+
 def column_profile(cells: DataFrame) -> DataFrame:
     """Counts, nulls, distinct normalised values, uniqueness, non-null share, widths, and whether a column is text."""
     v = F.lower(F.col("value"))

@@ -146,9 +146,9 @@ o AS (SELECT a.t AS q, b.t AS c, count(*) / max(n) AS o FROM s a JOIN s b ON a.v
 SELECT q, count(*) FILTER (o < 0.15) AS hard, count(*) FILTER (o >= 0.15) AS easy FROM o GROUP BY q HAVING count(*) FILTER (o < 0.15) >= 5""")
 def hard_positive_filter(t):
     """Queries with five hard positives (overlap under .15) or more; easy ones are counted apart."""
-    s = t("lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey") % 400).alias("t"), F.col("l_partkey").alias("v")).distinct()
-    n = s.groupBy(F.col("t").alias("q")).agg(F.count("*").alias("n"))
-    o = s.withColumnRenamed("t", "q").join(s.withColumnRenamed("t", "c"), "v").filter("q <> c").groupBy("q", "c").agg(F.count("*").alias("x")).join(n, "q").withColumn("o", F.col("x") / F.col("n"))
+    s = t("lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey") % 400).alias("t"), F.col("l_partkey").alias("v"))
+    n = s.distinct().groupBy(F.col("t").alias("q")).agg(F.count("*").alias("n"))
+    o = L.shared_values(s).join(n, "q").withColumn("o", F.col("x") / F.col("n"))
     return o.groupBy("q").agg(F.count_if(F.col("o") < 0.15).alias("hard"), F.count_if(F.col("o") >= 0.15).alias("easy")).filter("hard >= 5")
 
 
