@@ -203,7 +203,9 @@ def header_tree_cells(t):
     node = lambda r, c, below="[]": F.concat(F.lit(f'{{"RI": '), r, F.lit(f', "CI": {c}, "Cd": {below}}}'))  # noqa: E731, F541
     about = '[{"RI": 1, "CI": 1, "Cd": []}, {"RI": 1, "CI": 2, "Cd": []}]'
     top = f'{{"Cd": [{{"RI": 0, "CI": 0, "Cd": []}}, {{"RI": 0, "CI": 1, "Cd": {about}}}]}}'
-    own = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    orders = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    parts = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # records are much more work than their bytes tell, so partitions are not joined
+    own = orders.repartition(parts, "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
     row = lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"], F.concat(F.lit("order "), x["o_orderkey"]))
     texts = F.to_json(F.concat(F.array(F.array(*map(F.lit, ("order", "about", ""))), F.array(*map(F.lit, ("", "status", "name")))), F.transform("o", row)))
     left = F.concat(F.lit('{"Cd": ['), F.array_join(F.transform("o", lambda x, i: node((i + 2).cast("string"), 0)), ", "), F.lit("]}"))

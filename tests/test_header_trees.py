@@ -80,3 +80,9 @@ def test_cells_lie_where_a_walk_puts_them(spark):
     looks = {(x.row, x.col): x.look for x in got if x.table_id == 1}
     assert looks[0, 0] == [1, 1, 1, 0, 0, 1, 1, 0, 1, 1, 0] and looks[1, 3][:2] == [1, 2]
     assert all(x.look is None for x in got if x.table_id != 1)
+
+
+def test_records_are_parsed_once_and_not_shuffled(spark):
+    lines = spark.createDataFrame([(k, json.dumps(t)) for k, t in TABLES.items()], "table_id int, value string")
+    plan = H.read_header_trees(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("parseJson") == 1
