@@ -2,16 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HELD = 1 << 16  # edges that a task gathers before it makes stars of them
+MOST = 500_000  # so many edges are joined by one task; more are rounds of joins
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of the n nodes that each is joined with by edges (i, j), and positions of edges, fewer than n, that join them.
+
+    In each turn every root that has a smaller neighbour is hung below the smallest; at least half of those that have any go."""
+    up, at, kept = np.arange(n), np.arange(len(i)), []
+    while True:
+        i, j = up[i], up[j]
+        at, i, j = (x[i != j] for x in (at, i, j))
+        if not len(at):
+            return up, np.sort(np.concatenate([np.empty(0, np.int64), *kept]))
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, np.maximum(i, j), np.minimum(i, j) * len(at) + np.arange(len(at)))
+        roots = np.flatnonzero(best < np.iinfo(np.int64).max)
+        up[roots], edge = np.divmod(best[roots], len(at))
+        kept.append(at[edge])
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Positions of pairs of one of n and one of m things that join all that the pairs join: fewer than n + m."""
+    return _joined(n + m, i, j + n)[1]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges (a, b), behind the smallest that it is joined with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes[_joined(len(nodes), at[: len(a)], at[len(a) :])[0]], nodes
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b): in each task's edges each node b and the smallest, a, of its component. A task holds its nodes, not its edges."""
+    edges = edges.select("a", "b").filter("a is not null and b is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, rows, schema = None, [], 0, None
+        for x in batches:
+            schema, rows = x.schema, rows + x.num_rows
+            more.append([c.to_numpy(zero_copy_only=False) for c in x.columns])
+            if rows >= HELD + (0 if held is None else len(held[0])):
+                held, more, rows = _stars(*map(np.concatenate, zip(*([] if held is None else [held]), *more, strict=True))), [], 0
+        if more:
+            held = _stars(*map(np.concatenate, zip(*([] if held is None else [held]), *more, strict=True)))
+        if held is not None:
+            yield from pa.table([pa.array(c, t) for c, t in zip(held, schema.types, strict=True)], schema=schema).to_batches(max_chunksize=HELD)
+
+    return edges.mapInArrow(run, edges.schema)
+
 
 def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, comp): the smallest node that can be reached, by min labels with jumps; each round's table is checkpointed.
 
-    Rounds go on until nothing changes; with ``max_rounds`` an error says that they did not suffice.
+    Tasks first make stars of their edges, which leaves a row for each task and node. Up to MOST of them are joined by one more task; what is
+    above it goes through rounds until nothing changes. With ``max_rounds`` there are only rounds, and an error says that they did not suffice.
     """
+    edges = stars(edges).checkpoint()
+    if max_rounds is None:
+        n = edges.count()
+        while n > MOST:
+            edges = stars(edges.repartition(-(-n // MOST), "a")).checkpoint()
+            before, n = n, edges.count()
+            if 2 * n > before:
+                break
+        if n <= MOST:
+            return stars(edges.repartition(1)).select(F.col("b").alias("node"), F.col("a").alias("comp"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")).checkpoint()
     rounds = 0
